@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locus.llm import hilbert, mixing, vafile, warc
+from locus.llm import hilbert, minhash, mixing, vafile, warc
 from locus.llm.common import table
 
 
@@ -15,9 +15,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_hilbert": lambda spark, d: hilbert.op1_hilbert(table(spark, d, "documents")),
         "op2_vafile": lambda spark, d: vafile.op2_vafile(table(spark, d, "embeddings")),
         "op3_warc": lambda spark, d: warc.op3_warc(table(spark, d, "pages")),
+        "op4_minhash": lambda spark, d: minhash.near_duplicates(table(spark, d, "documents")),
         "op7_poisson": lambda spark, d: mixing.op7_poisson(table(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_vafile": vafile.OP2_SQL, "op3_warc": warc.OP3_SQL, "op7_poisson": mixing.OP7_SQL}
+    return {"op2_vafile": vafile.OP2_SQL, "op3_warc": warc.OP3_SQL, "op4_minhash": minhash.OP4_SQL, "op7_poisson": mixing.OP7_SQL}
