@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locus.llm import hilbert, minhash, mixing, templates, vafile, warc
+from locus.llm import hilbert, langid, minhash, mixing, templates, vafile, warc
 from locus.llm.common import table
 
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_vafile": lambda spark, d: vafile.op2_vafile(table(spark, d, "embeddings")),
         "op3_warc": lambda spark, d: warc.op3_warc(table(spark, d, "pages")),
         "op4_minhash": lambda spark, d: minhash.near_duplicates(table(spark, d, "documents")),
+        "op5_kneser_ney": lambda spark, d: langid.op5_kneser_ney(table(spark, d, "documents")),
         "op6_templates": lambda spark, d: templates.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op7_poisson": lambda spark, d: mixing.op7_poisson(table(spark, d, "documents")),
     }
