@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locus.llm import hilbert, langid, minhash, mixing, templates, vafile, warc
+from locus.llm import hilbert, langid, minhash, mixing, repeats, templates, vafile, warc
 from locus.llm.common import table
 
 
@@ -19,8 +19,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_kneser_ney": lambda spark, d: langid.op5_kneser_ney(table(spark, d, "documents")),
         "op6_templates": lambda spark, d: templates.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op7_poisson": lambda spark, d: mixing.op7_poisson(table(spark, d, "documents")),
+        "op10_bwt": lambda spark, d: repeats.op10_bwt(table(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_vafile": vafile.OP2_SQL, "op3_warc": warc.OP3_SQL, "op4_minhash": minhash.OP4_SQL, "op6_templates": templates.OP6_SQL, "op7_poisson": mixing.OP7_SQL}
+    return {"op2_vafile": vafile.OP2_SQL, "op3_warc": warc.OP3_SQL, "op4_minhash": minhash.OP4_SQL, "op6_templates": templates.OP6_SQL, "op7_poisson": mixing.OP7_SQL, "op10_bwt": repeats.OP10_SQL}
