@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locus.llm import hilbert, langid, minhash, mixing, packing, repeats, templates, vafile, warc
+from locus.llm import chains, hilbert, langid, minhash, mixing, packing, repeats, templates, vafile, warc
 from locus.llm.common import table
 
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_kneser_ney": lambda spark, d: langid.op5_kneser_ney(table(spark, d, "documents")),
         "op6_templates": lambda spark, d: templates.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op7_poisson": lambda spark, d: mixing.op7_poisson(table(spark, d, "documents")),
+        "op8_chains": lambda spark, d: chains.op8_chains(table(spark, d, "documents")),
         "op9_packing": lambda spark, d: packing.op9_packing(table(spark, d, "documents")),
         "op10_bwt": lambda spark, d: repeats.op10_bwt(table(spark, d, "documents")),
     }

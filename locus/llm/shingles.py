@@ -31,8 +31,8 @@ def words(text: str | None) -> list[bytes]:
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     """One hash per run of `width` word hashes, in order."""
-    n = len(hashes) - width + 1
-    out = np.full(max(n, 0), np.uint64(width), np.uint64)
+    n = max(len(hashes) - width + 1, 0)
+    out = np.full(n, np.uint64(width), np.uint64)
     for i in range(width):
         out = mixed(out + hashes[i : i + n])
     return out
