@@ -123,7 +123,7 @@ def place_inserts(loci: DataFrame, variants: DataFrame, hosts: DataFrame) -> Dat
     The list of variants is short by design; loci without a host are left out.
     """
     order = W.orderBy("peak_id")
-    placed = loci.join(hosts.select("peak_id"), "peak_id", "left_semi").withColumn("_i", F.row_number().over(order) - 1)
+    placed = loci.withColumn("_i", F.row_number().over(order) - 1).join(hosts.select("peak_id"), "peak_id", "left_semi")
     return placed.crossJoin(F.broadcast(variants)).withColumn("seq_id", F.concat(F.lit("L"), F.format_string("%02d", F.col("_i")), F.lit("_"), F.col("variant"))).drop("_i")
 
 

@@ -165,8 +165,8 @@ def oracle_sql():
         "unmatched_ids": "SELECT DISTINCT c_custkey AS peak_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
         "join_scores": w(f"SELECT {S}, chrom FROM meta JOIN (SELECT {S} FROM scores) USING (seq_id)", SCORES, META),
         "filter_measured": w("SELECT seq_id, n_chars FROM sequences WHERE doc_id IN (SELECT doc_id FROM labels)", st.sequences_sql()),
-        "place_inserts": """WITH l AS (SELECT c_custkey AS peak_id, c_nationkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders))
-          SELECT peak_id, c_nationkey, 'r' || r_regionkey AS variant, upper(r_name) AS "insert", 'L' || CASE WHEN i < 100 THEN lpad(i::VARCHAR, 2, '0') ELSE i::VARCHAR END || '_r' || r_regionkey AS seq_id FROM l, region""",
+        "place_inserts": """WITH l AS (SELECT c_custkey AS peak_id, c_nationkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer)
+          SELECT peak_id, c_nationkey, 'r' || r_regionkey AS variant, upper(r_name) AS "insert", 'L' || CASE WHEN i < 100 THEN lpad(i::VARCHAR, 2, '0') ELSE i::VARCHAR END || '_r' || r_regionkey AS seq_id FROM l, region WHERE peak_id IN (SELECT o_custkey FROM orders)""",
         "assign_hosts": w(f"""SELECT s.seq_id AS sample_id, peak_id, chrom, start FROM scores s, (SELECT count(*) AS n FROM peaks) JOIN (SELECT *, row_number() OVER (ORDER BY md5('12:' || peak_id), peak_id) - 1 AS r FROM peaks) p ON p.r = floor({u(12, "'host'", 's.seq_id')} * n)""", SCORES, st.PEAKS),
         "fixed_host": w(f"""SELECT {S}, chrom, start, "end" FROM scores, (SELECT chrom, start, "end" FROM peaks WHERE peak_id = 5)""", SCORES, st.PEAKS),
         "selection_report": w("SELECT round(max(mssi_score), 6) AS best, round(min(mssi_score), 6) AS worst_kept, count(*) FILTER (mssi_score > (SELECT avg(mssi_score) FROM scores WHERE cell_type = 'ct0')) AS n_above, (SELECT round(avg(mssi_score), 6) FROM scores) AS pool_mean FROM (SELECT * FROM scores ORDER BY mssi_score DESC, seq_id LIMIT 20)"),
