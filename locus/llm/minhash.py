@@ -4,8 +4,9 @@
    a 128-bit key (equal sets have equal keys), 42 band keys over 5 minima each, and the
    packed signature: the low two bits of each of the 210 minima.
 2. Documents of equal sets are one class, represented by the smallest doc_id.
-3. Classes that share a band key are candidates. In a bucket each class is first paired with
-   the smallest one only (a star), never all with all.
+3. Classes that share a band key are candidates. Each class is first paired with the smallest
+   of its buckets' smallest classes (hubs), then with those hubs that are in another component,
+   never all with all.
 4. Bit counts of the packed signatures estimate the similarity of a pair, corrected for
    chance agreement of low bits; pairs far below the threshold are left out (4.5 standard
    errors, so a true link is lost with a chance of about 1e-6).
@@ -149,6 +150,12 @@ def plausible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     return with_bits.filter(estimate(F.col("bits_a"), F.col("bits_b")) >= PERCENT / 100 - SLACK).select("a", "b")
 
 
+def place(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """The bucket members with their components; a class without links is its own."""
+    of = groups.select(F.col("member").alias("doc_id"), "component")
+    return members.join(of, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row per row of docs(doc_id, text).
 
@@ -159,20 +166,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     sigs = written(signatures(docs), "signatures")
     linked = sigs.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = linked.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    reps = linked.join(classes, "set_key").filter("doc_id = rep").groupBy("doc_id", "set_key").agg(F.first("bands").alias("bands"), F.first("bits").alias("bits"))
-    reps = written(reps, "classes")
+    one = linked.groupBy("set_key").agg(F.min(F.struct("doc_id", "bands", "bits")).alias("one"))
+    reps = written(one.select("set_key", "one.*"), "classes")
+    classes = reps.select("set_key", F.col("doc_id").alias("rep"))
     bits = reps.select("doc_id", "bits").dropDuplicates(["doc_id"])
     keyed = reps.select(F.explode("bands").alias("key"), "doc_id")
     hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("_far")).filter("hub <> _far").select("key", "hub")
     members = written(keyed.join(hubs, "key"), "buckets")
-    star = written(members.filter("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "star")
-    links = written(confirmed(docs, plausible(star, bits)), "confirmed")
+
+    # First each class with the smallest of its hubs, then with hubs of other components.
+    tried = written(members.filter("hub <> doc_id").groupBy("doc_id").agg(F.min("hub").alias("a")).select("a", F.col("doc_id").alias("b")), "star")
+    links = written(confirmed(docs, plausible(tried, bits)), "confirmed")
     groups = components(links)
+    placed = written(place(members, groups), "placed")
+    of_hub = placed.filter("doc_id = hub").select("key", F.col("component").alias("_of_hub")).distinct()
+    star = placed.filter("doc_id <> hub").join(of_hub, "key").filter("component <> _of_hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    star = written(star.join(tried, ["a", "b"], "left_anti"), "star")
+    more = written(confirmed(docs, plausible(star, bits)), "confirmed")
+    tried = tried.union(star)
+    if not more.isEmpty():
+        links = links.union(more)
+        groups = components(links)
+        placed = written(place(members, groups), "placed")
 
-    of = groups.select(F.col("member").alias("doc_id"), F.col("component"))
-    placed = members.select("key", "doc_id").join(of, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    placed = written(placed, "placed")
     mixed_keys = placed.groupBy("key").agg(F.min("component").alias("_c"), F.max("component").alias("_d")).filter("_c <> _d").select("key")
     open_ones = placed.join(mixed_keys, "key").join(bits, "doc_id")
     x, y = open_ones.alias("x"), open_ones.alias("y")
@@ -180,7 +196,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
         & (estimate(F.col("x.bits"), F.col("y.bits")) >= PERCENT / 100 - SLACK)
     )
-    rest = x.join(y, apart).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    rest = x.join(y, apart).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = written(confirmed(docs, written(rest, "rest")), "confirmed")
     if not more.isEmpty():
         groups = components(links.union(more))
