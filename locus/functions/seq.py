@@ -116,8 +116,8 @@ def shuffle_spans(seq: Column, spans: Column, seed: int, key: Column) -> Column:
     return F.aggregate(spans, seq, one)
 
 
-def control_spans(spans: Column, length: Column, seed: int, key: Column, tries: int = 100) -> Column:
-    """Spans of the same widths off all given ones and off each other; one that finds no place in `tries` is left out.
+def control_spans(spans: Column, length: Column, seed: int, key: Column, tries: int = 100, off: Column | None = None) -> Column:
+    """Spans of the same widths off all given ones (or those in `off`) and off each other; one that finds no place in `tries` is left out.
 
     A start is drawn below max(1, length - width), so the last legal place is never taken.
     """
@@ -129,7 +129,7 @@ def control_spans(spans: Column, length: Column, seed: int, key: Column, tries:
         def one(acc: Column, span: Column) -> Column:
             w = span["end"] - span["start"]
             starts = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda t: pick_index(seed, F.greatest(F.lit(1), length - w), key, span["start"], t))
-            free = F.filter(starts, lambda s: ~overlaps(s, w, given) & ~overlaps(s, w, acc) & (s + w <= length))
+            free = F.filter(starts, lambda s: ~overlaps(s, w, given if off is None else off) & ~overlaps(s, w, acc) & (s + w <= length))
             return F.concat(acc, F.transform(F.slice(free, 1, 1), lambda s: F.struct(s.alias("start"), (s + w).alias("end"))))
 
         return F.aggregate(given, F.slice(given, 1, 0), one)
