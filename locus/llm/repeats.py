@@ -262,13 +262,14 @@ def op10_bwt(docs: DataFrame) -> DataFrame:
 
 OP10_SQL = """
 WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-g AS (SELECT doc_id, p, substr(x, 2 * p + 1, 100) AS s FROM (SELECT doc_id, x, unnest(generate_series(0, length(x) // 2 - 50)) AS p FROM h)),
+k AS (SELECT doc_id, j, substr(x, 512 * j + 1, 610) AS y FROM (SELECT doc_id, x, unnest(generate_series(0, (length(x) // 2 - 1) // 256)) AS j FROM h)),
+g AS (SELECT doc_id, 256 * j + q AS p, substr(y, 2 * q + 1, 100) AS s FROM (SELECT doc_id, j, y, unnest(generate_series(0, least(255, length(y) // 2 - 50))) AS q FROM k)),
 f AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS low FROM g) WHERE low < doc_id),
-b AS (SELECT doc_id, unnest(generate_series(0, length(x) // 2 - 1)) AS p, x FROM h),
-c AS (SELECT b.doc_id, b.p, substr(b.x, 2 * b.p + 1, 2) AS byte,
+b AS (SELECT doc_id, 256 * j + q AS p, substr(y, 2 * q + 1, 2) AS byte FROM (SELECT doc_id, j, y, unnest(generate_series(0, least(255, length(y) // 2 - 1))) AS q FROM k)),
+c AS (SELECT b.doc_id, b.p, byte,
         coalesce(b.p - max(f.p) OVER (PARTITION BY b.doc_id ORDER BY b.p) < 50, false) AS gone FROM b LEFT JOIN f ON f.doc_id = b.doc_id AND f.p = b.p),
 r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM c),
-k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, coalesce(string_agg(byte, '' ORDER BY p) FILTER (NOT gone), '') AS kept FROM r GROUP BY doc_id)
+t AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, coalesce(string_agg(byte, '' ORDER BY p) FILTER (NOT gone), '') AS kept FROM r GROUP BY doc_id)
 SELECT h.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
-FROM h LEFT JOIN k USING (doc_id)
+FROM h LEFT JOIN t USING (doc_id)
 """
