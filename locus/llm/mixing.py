@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from locus.llm.common import text_bytes, unit_hash
 
-SEED, PART = 20240, 256.0
+SEED, PART, SALTS = 20240, 256.0, 64
 
 
 def source_key(col: Column) -> Column:
@@ -68,6 +68,7 @@ def poisson_mix(
     """
     docs = docs.drop("copy", "rate", "mix_key")
     per = rates(docs, text_bytes(F.col(f"`{text_col}`")) + 8, source_col, weights, budget)
+    per = per.withColumn("_msalt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # splits a hot source
     doc_id = F.col(f"`{id_col}`")
 
     def drawn(acc: Column, j: Column) -> Column:
@@ -77,13 +78,13 @@ def poisson_mix(
     one = F.size(F.filter(F.col("_mcdf"), lambda c: c <= F.col("_mu")))
     many = F.aggregate(F.sequence(F.lit(1), F.col("_mparts")), F.lit(0), drawn)
     out = (
-        docs.withColumns({"_mkey": source_key(F.col(f"`{source_col}`")), "_mu": unit_hash(seed, doc_id, 1)})
-        .join(per, "_mkey")
+        docs.withColumns({"_mkey": source_key(F.col(f"`{source_col}`")), "_mu": unit_hash(seed, doc_id, 1), "_msalt": F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int")})
+        .join(per, ["_mkey", "_msalt"])
         .withColumn("_mn", F.when(F.col("_mparts") == 1, one).otherwise(many))
         .filter("_mn > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_mn") - 1)))
         .withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.col("copy"))))
-        .drop("_mkey", "_mu", "_mn", "_mparts", "_mcdf")
+        .drop("_mkey", "_msalt", "_mu", "_mn", "_mparts", "_mcdf")
     )
     return out.orderBy("mix_key")
 
