@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,18 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """While texts are sent to Python by the jobs inside, a batch holds this much, which bounds the workers' memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
@@ -60,6 +74,20 @@ def unit_hash(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def create_shared(path: str):
+    """A new file of any store that pyarrow can write; local folders are made as needed."""
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    if path.startswith("/"):
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        return open(path, "xb")
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path)
+    store.create_dir(os.path.dirname(inner), recursive=True)
+    return store.open_output_stream(inner)
+
+
 def open_shared(path: str):
     """A seekable file of any store that pyarrow can open; local paths need no library."""
     if path.startswith("file:"):
@@ -71,6 +99,3 @@ def open_shared(path: str):
     store, inner = fs.FileSystem.from_uri(path)
     return store.open_input_file(inner)
 
-
-def spark_path(path: str) -> str:
-    return path if "://" in path or path.startswith("file:") else "file://" + os.path.abspath(path)

@@ -1,11 +1,10 @@
-"""WARC archives written and read by Spark: the index first, then coalesced range reads.
+"""WARC archives of gzip records, written and read by Spark: the index first, then coalesced range reads.
 
-Writing. Digests, record types, record lengths and therefore offsets follow from thin
-columns, so the index (archive, offset, length, URL, digest, type) is made without
-moving payloads. Payloads are shuffled once, to their archive, and each archive is one
-file of Spark's text writer: a WARC record ends in two line breaks, which is the
-writer's line separator, so any store that Spark writes to can hold the archives, and
-its commit protocol covers lost executors.
+Writing. Digests and record types follow from thin columns; payloads are shuffled once, to
+their archive, where a task writes one file of gzip members, one a record, and returns the
+index rows (archive, path, offset, length, URL, digest, type). A file has a name of its own in
+every attempt, and only the rows of the attempt that Spark commits are in the index, so a lost
+executor leaves at most a file that nothing refers to.
 
 Reading. The index rows that are asked for are sorted by offset and neighbours are
 coalesced into byte ranges of about RANGE bytes; each range is one seek and read.
@@ -17,8 +16,10 @@ are revisits of it without a payload.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locus.llm.common import open_shared, parts_for, shared_dir, text_bytes, total_bytes, written
+from locus.llm.common import create_shared, open_shared, parts_for, shared_dir, text_bytes, total_bytes, written
 
 ARCHIVE, RANGE, GAP = 32 << 20, 4 << 20, 64 << 10
 #: The digits of conv() in base 32, and those of RFC 4648.
@@ -43,37 +44,27 @@ def sha1_base32(data: Column) -> Column:
     return F.translate(F.concat(*groups), CONV32, RFC32)
 
 
-def lines(*parts: str | Column) -> Column:
-    return F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in parts])
+INDEX = "page_id long, url string, archive int, path string, offset long, length long, payload_digest string, record_type string, refers_to long"
 
 
-def heads(kind: Column, page: Column, refers: Column, url: Column, digest: Column, size: Column) -> tuple[Column, Column]:
-    """The WARC header (with its blank line) and the HTTP header of a record."""
-    http = lines("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: ", size.cast("string"), "\r\n\r\n")
-    is_response = kind == "response"
-    block = F.octet_length(http) + F.when(is_response, size).otherwise(F.lit(0))
-    head = lines(
-        f"{VERSION}\r\nWARC-Type: ", kind, "\r\nWARC-Record-ID: <urn:page:", F.coalesce(page.cast("string"), F.lit("null")), f">\r\nWARC-Date: {DATE}\r\n",
-        F.coalesce(lines("WARC-Target-URI: ", url, "\r\n"), F.lit("")),
-        "WARC-Payload-Digest: sha1:", digest, "\r\n",
-        F.when(is_response, "").otherwise(lines(f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: <urn:page:", F.coalesce(refers.cast("string"), F.lit("null")), ">\r\n")),
-        "Content-Type: application/http; msgtype=response\r\nContent-Length: ", block.cast("string"), "\r\n\r\n",
-    )
-    return head, http
+def record_bytes(page: int | None, url: str | None, digest: str, kind: str, refers: int | None, payload: bytes) -> bytes:
+    """One WARC record; a revisit has the HTTP header of the payload, but not the payload."""
 
+    def name(x: int | None) -> str:
+        return f"<urn:page:{'null' if x is None else x}>"
 
-def plan_records(pages: DataFrame, n_archives: int) -> DataFrame:
-    """One thin row per page row: type, reference, archive, offset and length; payloads aren't carried."""
-    thin = pages.select("page_id", "_url", "_digest", "_size", "_archive")
-    first = thin.groupBy(F.col("_digest"), F.col("_size")).agg(F.max("page_id").alias("_last"))
-    kinds = thin.join(first, ["_digest", "_size"])
-    kinds = kinds.withColumn("_kind", F.when(F.col("page_id").eqNullSafe(F.col("_last")), F.lit("response")).otherwise(F.lit("revisit")))
-    kinds = kinds.withColumn("_refers", F.when(F.col("_kind") == "revisit", F.col("_last")))
-    head, http = heads(F.col("_kind"), F.col("page_id"), F.col("_refers"), F.col("_url"), F.col("_digest"), F.col("_size"))
-    body = F.when(F.col("_kind") == "response", F.col("_size")).otherwise(F.lit(0))
-    kinds = kinds.withColumn("_length", (F.octet_length(head) + F.octet_length(http) + body + 4).cast("long"))
-    order = W.partitionBy("_archive").orderBy("page_id", "_digest", "_url")
-    return kinds.withColumn("_offset", F.sum("_length").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("_length"))
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = http + (payload if kind == "response" else b"")
+    head = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: {name(page)}", f"WARC-Date: {DATE}"]
+    head += [f"WARC-Target-URI: {url}"] if url is not None else []
+    head += [f"WARC-Payload-Digest: sha1:{digest}"]
+    head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {name(refers)}"] if kind == "revisit" else []
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    return "\r\n".join([*head, "", ""]).encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
+
+
+def whole(x: object) -> int | None:
+    return None if pd.isna(x) else int(x)
 
 
 def write_warc(pages: DataFrame, root: str, *, url_col: str = "url", body_col: str = "html", archive_bytes: int = ARCHIVE) -> DataFrame:
@@ -87,7 +78,7 @@ def write_warc(pages: DataFrame, root: str, *, url_col: str = "url", body_col: s
     """
     n = parts_for(total_bytes(pages, body_col) + 1, archive_bytes)
     rows = pages.select(
-        F.col("page_id"),
+        F.col("page_id").cast("long"),
         F.regexp_replace(F.col(url_col), r"[\x00-\x20\x7f]", "%20").alias("_url"),
         F.coalesce(F.col(body_col), F.lit("")).alias("_body"),
     ).withColumns({
@@ -95,24 +86,45 @@ def write_warc(pages: DataFrame, root: str, *, url_col: str = "url", body_col: s
         "_size": text_bytes(F.col("_body")),
         "_archive": F.pmod(F.xxhash64("page_id"), F.lit(n)).cast("int"),
     })
-    plan = written(plan_records(rows, n), "warc-plan")
+    thin = rows.select("_archive", "page_id", "_digest", "_size")
+    first = thin.groupBy("_digest", "_size").agg(F.max("page_id").alias("_last"))
+    kind = F.when(F.col("page_id").eqNullSafe(F.col("_last")), F.lit("response")).otherwise(F.lit("revisit"))
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("_last")), F.col("_last"))
+    none = F.lit(None).cast("string")
+    decided = thin.join(first, ["_digest", "_size"]).select(
+        "_archive", "page_id", "_digest", none.alias("_url"), kind.alias("_kind"), refers.alias("_refers"), none.alias("_body"), F.lit(0).alias("_late")
+    )
+    bodies = rows.select("_archive", "page_id", "_digest", "_url", none.alias("_kind"), F.lit(None).cast("long").alias("_refers"), "_body", F.lit(1).alias("_late"))
     # One shuffle of payloads: decisions and rows meet in their archive, decisions first.
-    decided = plan.select("_archive", "page_id", "_digest", "_url", "_kind", "_refers", F.lit(None).cast("string").alias("_body"), F.lit(0).alias("_late")).dropDuplicates(["_archive", "page_id", "_digest"])
-    bodies = rows.select("_archive", "page_id", "_digest", "_url", F.lit(None).cast("string").alias("_kind"), F.lit(None).cast("long").alias("_refers"), "_body", F.lit(1).alias("_late"))
     key = ["_archive", "page_id", "_digest"]
-    both = decided.select(bodies.columns).unionByName(bodies).repartition(n, "_archive").sortWithinPartitions(*key, "_late", "_url")
+    both = decided.dropDuplicates(key).unionByName(bodies).repartition(n, "_archive").sortWithinPartitions(*key, "_late", "_url")
     here = W.partitionBy(*key).orderBy("_late", "_url").rowsBetween(W.unboundedPreceding, 0)
-    filled = both.withColumns({c: F.first(c).over(here) for c in ("_kind", "_refers")}).filter("_late = 1")
-    head, http = heads(F.col("_kind"), F.col("page_id"), F.col("_refers"), F.col("_url"), F.col("_digest"), text_bytes(F.col("_body")))
-    record = F.concat(head, http, F.when(F.col("_kind") == "response", F.col("_body")).otherwise(F.lit("")))
-    filled.select(record.alias("value"), "_archive").write.partitionBy("_archive").option("lineSep", "\r\n\r\n").option("compression", "none").text(root)
-    files = pages.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(root).select("path")
-    files = files.withColumn("archive", F.regexp_extract("path", r"_archive=(\d+)", 1).cast("int"))
-    index = plan.select(
-        "page_id", F.col("_url").alias("url"), F.col("_archive").alias("archive"), F.col("_offset").alias("offset"), F.col("_length").alias("length"),
-        F.col("_digest").alias("payload_digest"), F.col("_kind").alias("record_type"), F.col("_refers").alias("refers_to"),
-    )
-    return index.join(files, "archive")
+    filled = both.withColumns({c: F.first(c).over(here) for c in ("_kind", "_refers")}).filter("_late = 1").drop("_late")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        archive, path, out, at = None, "", None, 0
+        try:
+            for batch in batches:
+                index = []
+                for a, page, digest, url, kind, refers, body in zip(*(batch[c] for c in ("_archive", "page_id", "_digest", "_url", "_kind", "_refers", "_body"))):
+                    if a != archive:
+                        if out is not None:
+                            out.close()
+                        archive, at = a, 0
+                        path = f"{root}/{a:05d}-{uuid.uuid4().hex}.warc.gz"
+                        out = create_shared(path)
+                    page, refers, url = whole(page), whole(refers), url if isinstance(url, str) else None
+                    data = gzip.compress(record_bytes(page, url, digest, kind, refers, body.encode("utf-8", "surrogatepass")), 6, mtime=0)
+                    out.write(data)
+                    index.append((page, url, a, path, at, len(data), digest, kind, refers))
+                    at += len(data)
+                table = pd.DataFrame(index, columns=[c.split()[0] for c in INDEX.split(", ")])
+                yield table.astype({"page_id": "Int64", "refers_to": "Int64"})
+        finally:
+            if out is not None:
+                out.close()
+
+    return written(filled.mapInPandas(write, INDEX), "warc-index")
 
 
 def byte_ranges(index: DataFrame, *, most: int = RANGE, gap: int = GAP) -> DataFrame:
@@ -134,6 +146,7 @@ def byte_ranges(index: DataFrame, *, most: int = RANGE, gap: int = GAP) -> DataF
 
 def parse_record(data: bytes) -> tuple:
     """page_id, payload bytes, digest, type, refers_to, payload of one record; a revisit has no payload."""
+    data = gzip.decompress(data)
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
     block = rest[: int(fields[b"Content-Length"])]
