@@ -31,6 +31,8 @@ from locus.llm.shingles import mixed
 
 ORDER, SAMPLE_DOCS, CALIBRATE, SIGMAS, CHUNK = 4, 2000, 0.1, 8.0, 1 << 19
 SPACE, UNKNOWN = 32, "und"
+#: What a batch of texts holds on its way to Python; learn() sets this for the session, as texts are scored when its caller runs the plan.
+BATCH = "8m"
 
 
 @lru_cache(1)
@@ -185,6 +187,7 @@ def held_out(doc_id: Column) -> Column:
 
 def learn(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> Models:
     """Models from docs(doc_id, text, lang): rows that aren't held out, with text and lang."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     usable = docs.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string")).filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # one row per language
     if not sizes:
