@@ -12,7 +12,8 @@
    errors, so a true link is lost with a chance of about 1e-6).
 5. The rest is confirmed on full shingle sets, and links are joined into components.
 6. Buckets that now hold more than one component are searched once more for untested pairs
-   between components; pairs within a component can't change the result.
+   between components, by signatures of 1680 minima, eight times as many, so that few but
+   true links are left to confirm; pairs within a component can't change the result.
 
 At a similarity of exactly 0.75 the bands miss a pair with a chance of 1e-5.
 """
@@ -28,20 +29,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locus.llm.common import written
+from locus.llm.common import small_batches, written
 from locus.llm.components import components
 from locus.llm.shingles import MIX, WordHashes, mixed, shingle_set
 
 BANDS, ROWS, BITS, PERCENT, SLACK = 42, 5, 2, 75, 0.17
 MINIMA = BANDS * ROWS
 PER_LONG = 64 // BITS
-LONGS = -(-MINIMA // PER_LONG)
+#: The longer signature of classes that still have to be compared with each other, and its 4.7 standard errors.
+LONG_MINIMA, LONG_SLACK = 8 * MINIMA, 0.06
 #: Ids that may be broadcast to pick rows, 8 bytes each; above, a shuffled join picks them.
 BROADCAST_IDS = 1_000_000
 
 
-def multipliers(seed: int = 7) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def multipliers(n: int = MINIMA, seed: int = 7) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def minima(sets: list[np.ndarray], by: np.ndarray) -> np.ndarray:
@@ -54,9 +56,10 @@ def minima(sets: list[np.ndarray], by: np.ndarray) -> np.ndarray:
 def packed(low: np.ndarray) -> np.ndarray:
     """BITS bits of each minimum, PER_LONG to a long."""
     bits = (low >> np.uint64(20)) & np.uint64((1 << BITS) - 1)
-    bits = np.concatenate([bits, np.zeros((len(bits), LONGS * PER_LONG - MINIMA), np.uint64)], axis=1)
+    longs = -(-low.shape[1] // PER_LONG)
+    bits = np.concatenate([bits, np.zeros((len(bits), longs * PER_LONG - low.shape[1]), np.uint64)], axis=1)
     at = np.arange(PER_LONG, dtype=np.uint64) * np.uint64(BITS)
-    return np.bitwise_or.reduce(bits.reshape(len(bits), LONGS, PER_LONG) << at, axis=2)
+    return np.bitwise_or.reduce(bits.reshape(len(bits), longs, PER_LONG) << at, axis=2)
 
 
 def band_keys(low: np.ndarray) -> np.ndarray:
@@ -100,19 +103,33 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(sign, schema)
 
 
-def estimate(x: Column, y: Column) -> Column:
+def long_signatures(docs: DataFrame) -> DataFrame:
+    """doc_id and bits of LONG_MINIMA minima, for documents with words."""
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, by = WordHashes(), multipliers(LONG_MINIMA, 8)
+        for batch in batches:
+            sets = [shingle_set(t, known) for t in batch["text"]]
+            ids = [int(i) for i, s in zip(batch["doc_id"], sets) if len(s)]
+            bits = [packed(minima([s], by)).view(np.int64)[0] for s in sets if len(s)]
+            yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "bits": bits})
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(sign, "doc_id long, bits array<long>")
+
+
+def estimate(x: Column, y: Column, n_minima: int = MINIMA) -> Column:
     """Similarity from two packed signatures: agreeing minima by bit count, less chance agreement."""
     apart = F.lit(0)
     low_of_each = sum(1 << (BITS * i) for i in range(PER_LONG))
     low_of_each = low_of_each - (1 << 64) if low_of_each >= 1 << 63 else low_of_each
-    for i in range(LONGS):
+    for i in range(-(-n_minima // PER_LONG)):
         diff = x[i].bitwiseXOR(y[i])
         some = diff
         for j in range(1, BITS):
             some = some.bitwiseOR(F.shiftrightunsigned(diff, j))
         apart = apart + F.bit_count(some.bitwiseAND(F.lit(low_of_each)))
     chance = 1 / (1 << BITS)
-    return (1 - apart / F.lit(MINIMA) - chance) / (1 - chance)
+    return (1 - apart / F.lit(n_minima) - chance) / (1 - chance)
 
 
 def pick(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -164,6 +181,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     A row without doc_id links with nothing: its component_id is null and it is kept.
     An empty table gives no rows. Other columns of docs are not read.
     """
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs)
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     sigs = written(signatures(docs), "signatures")
     linked = sigs.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     one = linked.groupBy("set_key").agg(F.min(F.struct("doc_id", "bands", "bits")).alias("one"))
@@ -172,6 +194,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bits = reps.select("doc_id", "bits").dropDuplicates(["doc_id"])
     keyed = reps.select(F.explode("bands").alias("key"), "doc_id")
     hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("_far")).filter("hub <> _far").select("key", "hub")
+    hubs = written(hubs, "hubs")  # a plain table, so that the join below can split a large bucket
     members = written(keyed.join(hubs, "key"), "buckets")
 
     # First each class with the smallest of its hubs, then with hubs of other components.
@@ -190,11 +213,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         placed = written(place(members, groups), "placed")
 
     mixed_keys = placed.groupBy("key").agg(F.min("component").alias("_c"), F.max("component").alias("_d")).filter("_c <> _d").select("key")
-    open_ones = placed.join(mixed_keys, "key").join(bits, "doc_id")
+    open_ones = written(placed.join(mixed_keys, "key"), "open")
+    sharper = long_signatures(pick(docs.select("doc_id", "text"), open_ones.select("doc_id"), "doc_id")).dropDuplicates(["doc_id"])
+    open_ones = open_ones.join(written(sharper, "long-signatures"), "doc_id")
     x, y = open_ones.alias("x"), open_ones.alias("y")
     apart = (
         (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
-        & (estimate(F.col("x.bits"), F.col("y.bits")) >= PERCENT / 100 - SLACK)
+        & (estimate(F.col("x.bits"), F.col("y.bits"), LONG_MINIMA) >= PERCENT / 100 - LONG_SLACK)
     )
     rest = x.join(y, apart).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = written(confirmed(docs, written(rest, "rest")), "confirmed")

@@ -13,7 +13,7 @@ class WordHashes(dict):
     """Word to 64-bit hash, computed on first sight; emptied when it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
