@@ -1,12 +1,13 @@
 import hashlib
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
 
 from locus.llm import chains, repeats
 from locus.llm.bwt import least_owner
-from locus.llm.shingles import words
+from locus.llm.shingles import WordHashes, window_hashes, words
 
 DOCS = "doc_id long, text string, n_bytes string, block string"
 
@@ -134,3 +135,51 @@ def test_chain_score_equals_quadratic_dynamic_programming(seed):
     for c in found:
         assert all(x[a] < x[b] and y[a] < y[b] for a, b in zip(c, c[1:]))
     assert max(chains.K + sum(gain(a, b) for a, b in zip(c, c[1:])) for c in found) == pytest.approx(max(best))
+
+
+def repeated(data):
+    """By doc_id, the words of seeds that make a passage shared with any earlier document, by all pairs and all positions."""
+    known, seen = WordHashes(), {}
+    for i, t in data:
+        w = words(t)
+        h = np.array([known[x] for x in w], np.uint64)
+        runs, places = window_hashes(h, chains.K), defaultdict(list)
+        for p in chains.seeds(h).tolist():
+            places[runs[p]].append(p)
+        seen[i] = w, places
+    out = {}
+    for i, (w, mine) in seen.items():
+        out[i] = set()
+        for j, (v, theirs) in seen.items():
+            met = [(x, y) for s in mine.keys() & theirs.keys() for x in mine[s] for y in theirs[s]] if j < i else []
+            for c in chains.chain(*np.array(met).T) if met else []:
+                a0, a1, b0, b1, n = chains.align(w, v, [met[k] for k in c]) if len(c) >= chains.LEAST_SEEDS else (0,) * 5
+                if min(a1 - a0, b1 - b0) >= chains.LEAST_WORDS and n >= chains.LEAST_IDENTITY * max(a1 - a0, b1 - b0):
+                    out[i] |= {p for k in c for p in range(met[k][0], met[k][0] + chains.K) if a0 <= p < a1}
+    return out
+
+
+def test_families_of_edited_copies_and_passages_quoted_before_in_parts(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    many = lambda n: [word() for _ in range(n)]
+    passage, quoted, twice = many(60), many(60), many(60)
+    data = [(i, many(20) + [word() if rng.random() < 0.06 else w for w in passage] + many(20)) for i in range(100, 160)]
+    data += [(i, many(10) + quoted[i * 10 : i * 10 + 18] + many(10)) for i in range(6)]  # each quote is the first holder of its seeds
+    data += [(i, many(9) + quoted + many(9)) for i in (200, 201)]
+    data += [(300, sum((twice[k : k + 18] + many(70) for k in range(40, -1, -10)), []) + twice), (301, many(7) + twice)]  # the first holder has the seeds before, in another order
+    data = [(i, " ".join(w)) for i, w in data]
+    want, got = repeated(data), defaultdict(set)
+    for r in chains.fuzzy_passages(spark.createDataFrame([(i, t, "own", "own") for i, t in data], DOCS)).collect():
+        got[r["doc_id"]] |= set(range(r["start"], r["stop"]))
+    assert want[201] and want[301] and sum(map(bool, want.values())) > 40
+    assert [i for i in want if want[i] - got[i]] == []
+
+
+def test_a_word_said_over_and_over_leaves_a_seed_in_each_stretch():
+    rng = random.Random(3)
+    for word_list in (["long"] * 200, ["a", "b"] * 90, [rng.choice("ab") for _ in range(300)]):
+        h = np.array([WordHashes()[w.encode()] for w in word_list], np.uint64)
+        at = chains.seeds(h).tolist()
+        assert max(b - a for a, b in zip(at, at[1:])) <= chains.W and at[0] < chains.W and at[-1] >= len(h) - chains.K + 1 - chains.W
+    assert len(chains.seeds(np.ones(30_000, np.uint64))) < 3000
