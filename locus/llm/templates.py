@@ -44,16 +44,16 @@ def is_slot(token: Column) -> Column:
     return token.contains("<name>") | token.contains("<num>") | token.contains("<unit>")
 
 
-def windows(df: DataFrame, key: str) -> DataFrame:
-    """key, pos and window hash of every run of WINDOW template tokens."""
+def windows(df: DataFrame, key: str, width: int = WINDOW) -> DataFrame:
+    """key, pos and window hash of every run of `width` template tokens."""
     hashed = df.select(key, F.transform(tokens(template(F.col("text"))), lambda t: F.xxhash64(t)).alias("_h"))
-    last = F.size("_h") - WINDOW
-    every = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.slice(F.col("_h"), i + 1, WINDOW))))
+    last = F.size("_h") - width
+    every = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.slice(F.col("_h"), i + 1, width))))
     return hashed.select(key, F.posexplode(every).alias("pos", "window"))
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """Windows of the items with at least MIN_LITERALS tokens that are no slots, and the item's length."""
+    """Windows of the items with at least MIN_LITERALS tokens that are no slots, and how many of them a match needs."""
     toks = benchmark.select("item_id", "text", tokens(template(F.col("text"))).alias("_t"))
     toks = toks.withColumn("n_item", F.size("_t"))
     rich = F.transform(
@@ -61,7 +61,34 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
         lambda i: F.size(F.filter(F.slice(F.col("_t"), i + 1, WINDOW), lambda t: ~is_slot(t))) >= MIN_LITERALS,
     )
     rich = toks.filter(F.col("n_item") >= WINDOW).select("item_id", "n_item", F.posexplode(rich).alias("pos", "rich")).filter("rich").distinct()
-    return windows(benchmark, "item_id").join(rich, ["item_id", "pos"]).select("item_id", F.col("pos").alias("item_pos"), "window", "n_item").distinct()
+    n_rich = rich.groupBy("item_id", "n_item").agg(F.count(F.lit(1)).alias("_n"))
+    needed = n_rich.select("item_id", "n_item", F.least(F.least(F.lit(MIN_TOKENS), F.col("n_item") - 1) - WINDOW + 1, F.col("_n")).alias("n_needed"))
+    rich = rich.join(needed, ["item_id", "n_item"])
+    return windows(benchmark, "item_id").join(rich, ["item_id", "pos"]).select("item_id", F.col("pos").alias("item_pos"), "window", F.greatest("n_needed", F.lit(1)).alias("n_needed")).distinct()
+
+
+def whole_items(benchmark: DataFrame) -> DataFrame:
+    """Items without a window for item_windows: their length and the hash of their first tokens, WINDOW at most."""
+    toks = benchmark.select("item_id", tokens(template(F.col("text"))).alias("_t")).filter("_t[0] <> ''")
+    literal = F.transform("_t", lambda t: F.when(is_slot(t), 0).otherwise(1))
+    most = F.array_max(F.transform(F.sequence(F.lit(0), F.greatest(F.size("_t") - WINDOW, F.lit(0))), lambda i: F.aggregate(F.slice(literal, i + 1, WINDOW), F.lit(0), lambda a, b: a + b)))
+    poor = toks.filter((F.size("_t") < WINDOW) | (most < MIN_LITERALS))
+    hashes = F.transform(F.slice("_t", 1, WINDOW), lambda t: F.xxhash64(t))
+    return poor.select("item_id", F.size("_t").alias("n_item"), F.least(F.size("_t"), F.lit(WINDOW)).alias("width"), F.xxhash64(hashes).alias("window")).distinct()
+
+
+def whole_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
+    """As matches(), for whole_items(): places where the first tokens stand, all tokens to be compared."""
+    items = written(whole_items(benchmark), "whole-items")
+    few, out = items.count() <= BROADCAST_WINDOWS, None
+    for width in sorted(r[0] for r in items.select("width").distinct().collect()):  # WINDOW values at most
+        of_width = items.filter(F.col("width") == width).drop("width")
+        at = F.sequence(F.lit(0), F.greatest(F.col("n_item") - WINDOW, F.lit(0)))
+        found = windows(docs, "doc_id", width).join(F.broadcast(of_width) if few else of_width, "window").select(
+            "doc_id", "item_id", F.size(at).alias("n_needed"), F.col("pos").alias("diagonal"), F.size(at).cast("long").alias("n_windows"), F.lit(0).alias("first"), (F.col("n_item") - WINDOW).alias("last"), at.alias("at")
+        ).distinct()
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -69,10 +96,12 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     of_items = written(item_windows(benchmark), "item-windows")
     few = of_items.count() <= BROADCAST_WINDOWS
     found = windows(docs, "doc_id").join(F.broadcast(of_items) if few else of_items, "window")
-    runs = found.groupBy("doc_id", "item_id", "n_item", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
+    runs = found.groupBy("doc_id", "item_id", "n_needed", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
         F.countDistinct("item_pos").alias("n_windows"), F.min("item_pos").alias("first"), F.max("item_pos").alias("last"), F.sort_array(F.collect_set("item_pos")).alias("at")
     )
-    return runs.filter(F.col("n_windows") >= F.least(F.lit(MIN_TOKENS), F.col("n_item") - 1) - WINDOW + 1)
+    runs = runs.filter(F.col("n_windows") >= F.col("n_needed"))
+    whole = whole_matches(docs, benchmark)
+    return runs if whole is None else runs.unionByName(whole)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -80,7 +109,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     doc_id, item_id, n_tokens (template tokens matched on the best diagonal), n_slots (slot
     tokens among them), item_pos and doc_pos (its first tokens). A match needs 13 tokens, or
-    all but one of a shorter item; items of fewer than 8 tokens are never matched. Null or
+    all but one of a shorter item, or, of an item with fewer windows that hold MIN_LITERALS
+    words, all of these; an item without any, as one of fewer than 8 tokens, is matched as a
+    whole, however short. Null or
     empty texts match nothing, rows without doc_id or item_id are left out. Rows that repeat a
     doc_id are judged together, each of its texts against each item. Other columns are ignored.
     """

@@ -129,3 +129,11 @@ def test_templates_keep_the_number_of_tokens(spark):
     for r in df.select(templates.tokens(F.col("text")).alias("a"), templates.tokens(templates.template(F.col("text"))).alias("b")).collect():
         assert len(r["a"]) == len(r["b"])
     assert "<name>" in r["b"] and "<num>" in r["b"] and "<unit>" in r["b"]
+
+
+def test_short_and_slot_heavy_items_are_matched(spark):
+    heavy, short, bare = "Ann, Bob, Carl, Dan and Eve scored 3, 7, 9, 12 and 15 points. What is the mean?", "What is 12 times 7?", "add 1 2 3 4 5 6 7 8 9 10"
+    rng = random.Random(1)
+    filler = " ".join("".join(rng.choice("abcdefg") for _ in range(4)) for _ in range(50))
+    docs = [(1, f"{filler} {heavy} {filler}"), (2, f"{filler}. {short} {filler}"), (3, f"{filler} what is 5 plus 6? {filler}"), (4, f"{filler} {bare} {filler}"), (5, f"{filler} add 1 2 3 4 {filler}"), (6, short)]
+    assert leaks(spark, docs, [(1, heavy), (2, short), (3, bare), (4, "")]) == {(1, 1), (2, 2), (6, 2), (4, 3)}
