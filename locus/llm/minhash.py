@@ -11,9 +11,11 @@
    chance agreement of low bits; pairs far below the threshold are left out (4.5 standard
    errors, so a true link is lost with a chance of about 1e-6).
 5. The rest is confirmed on full shingle sets, and links are joined into components.
-6. Buckets that now hold more than one component are searched once more for untested pairs
-   between components, by signatures of 1680 minima, eight times as many, so that few but
-   true links are left to confirm; pairs within a component can't change the result.
+6. Classes of buckets that now hold more than one component are searched once more for links
+   between components. Two sets as alike as asked share one of the rarest shingles of each
+   (as many as may be missing from the other, and one), so only classes that share such a
+   shingle meet: edited copies differ in rare shingles, and pairs below the threshold hardly
+   ever do. No such link is lost. Classes of one component don't meet.
 
 At a similarity of exactly 0.75 the bands miss a pair with a chance of 1e-5.
 """
@@ -36,8 +38,10 @@ from locus.llm.shingles import MIX, WordHashes, mixed, shingle_set
 BANDS, ROWS, BITS, PERCENT, SLACK = 42, 5, 2, 75, 0.17
 MINIMA = BANDS * ROWS
 PER_LONG = 64 // BITS
-#: The longer signature of classes that still have to be compared with each other, and its 4.7 standard errors.
-LONG_MINIMA, LONG_SLACK = 8 * MINIMA, 0.06
+#: Sizes within this ratio share a bin where rare shingles are looked up.
+SIZE_STEP = 1.03
+#: Pairs of one class that are confirmed in one task at most.
+PAIRS_PER_SALT = 128
 #: Ids that may be broadcast to pick rows, 8 bytes each; above, a shuffled join picks them.
 BROADCAST_IDS = 1_000_000
 
@@ -103,18 +107,17 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(sign, schema)
 
 
-def long_signatures(docs: DataFrame) -> DataFrame:
-    """doc_id and bits of LONG_MINIMA minima, for documents with words."""
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, n and grams, the sorted distinct shingles, for documents with words."""
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, by = WordHashes(), multipliers(LONG_MINIMA, 8)
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHashes()
         for batch in batches:
             sets = [shingle_set(t, known) for t in batch["text"]]
-            ids = [int(i) for i, s in zip(batch["doc_id"], sets) if len(s)]
-            bits = [packed(minima([s], by)).view(np.int64)[0] for s in sets if len(s)]
-            yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "bits": bits})
+            full = [(int(i), len(s), s.view(np.int64)) for i, s in zip(batch["doc_id"], sets) if len(s)]
+            yield pd.DataFrame(full, columns=["doc_id", "n", "grams"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(sign, "doc_id long, bits array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(find, "doc_id long, n long, grams array<long>")
 
 
 def estimate(x: Column, y: Column, n_minima: int = MINIMA) -> Column:
@@ -140,23 +143,30 @@ def pick(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs(a, b) whose full shingle sets are similar enough, texts read again for these documents only."""
+    """The pairs(a, b) whose full shingle sets are similar enough, texts read again for these documents only.
+
+    A document of many pairs is dealt over tasks by a salt, its text sent to each.
+    """
+    pairs = written(pairs, "pairs")
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
-    texts = pick(docs.select("doc_id", "text"), ends, "doc_id").dropDuplicates(["doc_id"])
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    texts = pick(docs.select("doc_id", "text"), ends, "doc_id").withColumn("_h", F.xxhash64("text"))
+    texts = texts.repartition("doc_id").dropDuplicates(["doc_id", "_h"]).drop("_h")
+    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_SALT).alias("_n"))
+    left = salts.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    dealt = pairs.join(salts, "a").withColumn("_s", F.pmod(F.xxhash64("b"), F.col("_n"))).select("a", "_s", "b")
+    right = dealt.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
+    both = right.join(left.select("a", "_s", "text_a"), ["a", "_s"]).select("a", "b", "text_a", "text_b")
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, last, of_last = WordHashes(), None, np.empty(0, np.uint64)
         for batch in batches:
             keep = []
-            for a, text_a, text_b in zip(batch["a"], batch["text_a"], batch["text_b"]):
-                if a != last:  # rows come sorted by a after a merge join
-                    last, of_last = a, shingle_set(text_a, known)
+            for text_a, text_b in zip(batch["text_a"], batch["text_b"]):
+                if text_a != last:  # rows come sorted by a after a merge join
+                    last, of_last = text_a, shingle_set(text_a, known)
                 other = shingle_set(text_b, known)
                 common = len(np.intersect1d(of_last, other, assume_unique=True))
-                keep.append(100 * common >= PERCENT * (len(of_last) + len(other) - common))
+                keep.append(100 * common >= PERCENT * (len(of_last) + len(other) - common) > 0)
             yield batch.loc[keep, ["a", "b"]]
 
     return both.mapInPandas(confirm, "a long, b long")
@@ -164,7 +174,61 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def plausible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     with_bits = pairs.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")
-    return with_bits.filter(estimate(F.col("bits_a"), F.col("bits_b")) >= PERCENT / 100 - SLACK).select("a", "b")
+    return with_bits.filter(estimate(F.col("bits_a"), F.col("bits_b")) >= PERCENT / 100 - SLACK).select("a", "b").distinct()
+
+
+def needed(n: Column, m: Column) -> Column:
+    """Shingles that sets of n and m must share: at least PERCENT of their union."""
+    return F.ceil(F.lit(PERCENT) * (n + m) / (100 + PERCENT) - F.lit(1e-9))
+
+
+def rare_partners(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets(doc_id, component, n, grams) of different components that may be similar enough.
+
+    A shingle's rank in a set counts those that fewer sets hold, or as many of smaller hash. The
+    first shared shingle of a similar pair stands at rank n - needed at most in both. The smaller
+    set offers the ranks that hold for a set of its own size, the larger asks for each bin of sizes.
+    """
+    grams = sets.select("doc_id", "component", "n", F.monotonically_increasing_id().alias("_set"), "grams")
+    grams = written(grams, "shingle-sets")
+    long = grams.select("_set", F.explode("grams").alias("g"))
+    held = written(long.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared-shingles")
+    shared = long.join(held, "g").groupBy("_set").agg(F.sort_array(F.collect_list(F.struct("df", "g")))["g"].alias("shared"))
+    rows = grams.drop("grams").join(shared, "_set").withColumn("m", F.size("shared").cast("long")).filter(100 * F.col("m") >= PERCENT * F.col("n"))
+    rows = rows.withColumn("alone", F.col("n") - F.col("m"))
+    size_bin = lambda c: F.floor(F.log(c.cast("double")) / F.log(F.lit(SIZE_STEP))).cast("int")
+    least = F.ceil(F.lit(PERCENT) * F.col("n") / 100)
+    rows = written(rows.drop("_set"), "rare-shingles")
+
+    def ranked(df: DataFrame, last: Column) -> DataFrame:
+        """One row per shared shingle at a rank of `last` at most."""
+        first = F.slice("shared", F.lit(1), F.greatest(F.lit(0), last - F.col("alone") + 1).cast("int"))
+        out = df.select("doc_id", "component", "n", "m", "alone", "bin", F.posexplode(first).alias("_i", "g"))
+        return out.select("bin", "g", "doc_id", "component", "n", "m", (F.col("_i") + F.col("alone")).alias("rank"))
+
+    own = rows.withColumn("bin", size_bin(F.col("n")))
+    offers = written(ranked(own, F.col("n") - needed(F.col("n"), F.col("n"))), "offers")
+    below = rows.withColumn("bin", F.explode(F.sequence(size_bin(least), size_bin(F.col("n")))))
+    smallest = F.greatest(least, F.floor(F.pow(F.lit(SIZE_STEP), F.col("bin")) - 1e-6))
+    asks = written(ranked(below, F.col("n") - needed(smallest, F.col("n"))), "asks")
+    # Where most rows of a key are of one component, they needn't meet each other.
+    by = ["bin", "g", "component"]
+    count = offers.groupBy(*by).agg(F.count(F.lit(1)).alias("o"), F.lit(0).cast("long").alias("q")).union(asks.groupBy(*by).agg(F.lit(0).cast("long"), F.count(F.lit(1))))
+    count = count.groupBy(*by).agg(F.sum("o").alias("o"), F.sum("q").alias("q"))
+    keys = count.groupBy("bin", "g").agg(F.max_by("component", F.struct(F.col("o") + F.col("q"), "component")).alias("home"), F.sum("o").alias("o"), F.sum("q").alias("q"), F.min("component").alias("_c"), F.max("component").alias("_d"))
+    keys = written(keys.filter("_c <> _d AND o > 0 AND q > 0").select("bin", "g", "home"), "keys")
+    offers, asks = (written(df.join(keys, ["bin", "g"]), "met").withColumn("out", F.col("component") != F.col("home")) for df in (offers, asks))
+    sides = [(offers.filter("out"), asks), (offers.filter("NOT out"), asks.filter("out"))]
+    found = None
+    for x, y in ((x.alias("x"), y.alias("y")) for x, y in sides):
+        both = needed(F.col("x.n"), F.col("y.n"))
+        may = (
+            (F.col("x.bin") == F.col("y.bin")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.component") != F.col("y.component"))
+            & (F.col("x.n") <= F.col("y.n")) & (F.col("x.rank") <= F.col("x.n") - both) & (F.col("y.rank") <= F.col("y.n") - both) & (F.least("x.m", "y.m") >= both)
+        )
+        pairs = x.join(y, may).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
+        found = pairs if found is None else found.union(pairs)
+    return found.distinct()
 
 
 def place(members: DataFrame, groups: DataFrame) -> DataFrame:
@@ -191,7 +255,7 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     one = linked.groupBy("set_key").agg(F.min(F.struct("doc_id", "bands", "bits")).alias("one"))
     reps = written(one.select("set_key", "one.*"), "classes")
     classes = reps.select("set_key", F.col("doc_id").alias("rep"))
-    bits = reps.select("doc_id", "bits").dropDuplicates(["doc_id"])
+    bits = reps.select("doc_id", "bits")
     keyed = reps.select(F.explode("bands").alias("key"), "doc_id")
     hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("_far")).filter("hub <> _far").select("key", "hub")
     hubs = written(hubs, "hubs")  # a plain table, so that the join below can split a large bucket
@@ -213,16 +277,10 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
         placed = written(place(members, groups), "placed")
 
     mixed_keys = placed.groupBy("key").agg(F.min("component").alias("_c"), F.max("component").alias("_d")).filter("_c <> _d").select("key")
-    open_ones = written(placed.join(mixed_keys, "key"), "open")
-    sharper = long_signatures(pick(docs.select("doc_id", "text"), open_ones.select("doc_id"), "doc_id")).dropDuplicates(["doc_id"])
-    open_ones = open_ones.join(written(sharper, "long-signatures"), "doc_id")
-    x, y = open_ones.alias("x"), open_ones.alias("y")
-    apart = (
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
-        & (estimate(F.col("x.bits"), F.col("y.bits"), LONG_MINIMA) >= PERCENT / 100 - LONG_SLACK)
-    )
-    rest = x.join(y, apart).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = written(confirmed(docs, written(rest, "rest")), "confirmed")
+    open_ones = written(placed.join(mixed_keys, "key").select("doc_id", "component").distinct(), "open")
+    sets = shingle_sets(pick(docs.select("doc_id", "text"), open_ones.select("doc_id"), "doc_id"))
+    rest = written(rare_partners(open_ones.join(sets, "doc_id")).join(tried, ["a", "b"], "left_anti"), "rest")
+    more = written(confirmed(docs, plausible(rest, bits)), "confirmed")
     if not more.isEmpty():
         groups = components(links.union(more))
 
@@ -235,10 +293,14 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group, that of the smallest doc_id; rows without doc_id stay. All columns are kept."""
+    """docs with one row of each group, that of the smallest doc_id; rows without doc_id stay. All columns are kept.
+
+    Of several rows with that doc_id the first in the order of their texts stays.
+    """
     keep = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id")).distinct()
+    ties = [c for c, kind in docs.dtypes if c != "text" and "map<" not in kind and "variant" not in kind]
     found = docs.join(keep, docs["doc_id"] == F.col("_kept_id"))
-    once = found.withColumn("_nth", F.row_number().over(W.partitionBy("_kept_id").orderBy("_kept_id"))).filter("_nth = 1")
+    once = found.withColumn("_nth", F.row_number().over(W.partitionBy("_kept_id").orderBy("text", *ties))).filter("_nth = 1")
     return once.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 

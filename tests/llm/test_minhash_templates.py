@@ -137,3 +137,46 @@ def test_short_and_slot_heavy_items_are_matched(spark):
     filler = " ".join("".join(rng.choice("abcdefg") for _ in range(4)) for _ in range(50))
     docs = [(1, f"{filler} {heavy} {filler}"), (2, f"{filler}. {short} {filler}"), (3, f"{filler} what is 5 plus 6? {filler}"), (4, f"{filler} {bare} {filler}"), (5, f"{filler} add 1 2 3 4 {filler}"), (6, short)]
     assert leaks(spark, docs, [(1, heavy), (2, short), (3, bare), (4, "")]) == {(1, 1), (2, 2), (6, 2), (4, 3)}
+
+
+def edited_copies(n, edits, seed=4):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(140)]
+    out = []
+    for _ in range(n):
+        copy = list(base)
+        for at in rng.sample(range(0, 140, 6), rng.choice(edits)):
+            copy[at] = word()
+        out.append(" ".join(copy))
+    return out
+
+
+def test_edited_copies_below_the_threshold_hardly_meet(spark):
+    texts = edited_copies(1500, [5, 6, 7]) + edited_copies(40, [1, 2], 4)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = minhash.shingle_sets(df).withColumn("component", F.col("doc_id"))
+    made = {(r["a"], r["b"]) for r in minhash.rare_partners(sets).collect()}
+    of = [shingles(t) for t in texts]
+    links = {(a, b) for a in range(len(of)) for b in range(a + 1, len(of)) if 100 * len(of[a] & of[b]) >= 75 * len(of[a] | of[b])}
+    assert 40 < len(links) and links <= made and len(made) < len(links) + 3 * len(texts)
+
+
+def test_links_between_components_are_all_found(spark):
+    rng = random.Random(9)
+    texts = edited_copies(60, [2, 4, 6, 9]) + [" ".join(t.split()[: rng.randint(30, 139)]) for t in edited_copies(60, [0, 1, 3])] + ["one two three"]
+    data = list(enumerate(texts))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    of = [shingles(t) for t in texts]
+    component = [rng.choice([0, 1, 2 + i]) for i in range(len(of))]
+    sets = minhash.shingle_sets(df).join(spark.createDataFrame(list(enumerate(component)), "doc_id long, component long"), "doc_id")
+    made = {(r["a"], r["b"]) for r in minhash.rare_partners(sets).collect()}
+    links = {(a, b) for a in range(len(of)) for b in range(a + 1, len(of)) if component[a] != component[b] and 100 * len(of[a] & of[b]) >= 75 * len(of[a] | of[b])}
+    assert len(links) > 100 and links <= made and all(component[a] != component[b] for a, b in made)
+
+
+def test_one_document_with_many_partners_and_ids_of_several_texts(spark):
+    texts = edited_copies(400, [1])
+    data = [(i + 10, t) for i, t in enumerate(texts)] + [(3, texts[0] + " more"), (3, "other words in a row here"), (900, "other words in a row here"), (901, "other words in a row there")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert sorted(map(tuple, minhash.near_duplicates(df).collect()), key=str) == brute(data)
