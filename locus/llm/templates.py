@@ -24,9 +24,15 @@ BLANK = r"[\x20\x09-\x0D]"
 #: The units of measure that become a placeholder after a number.
 UNITS = ["km", "cm", "mm", "m", "kg", "mg", "g", "ml", "l", "ms", "s", "min", "h", "hours", "minutes", "seconds", "days", "weeks", "months", "years",
          "meters", "miles", "feet", "inches", "pounds", "ounces", "dollars", "cents", "euros", "percent", "%"]
-NAME = r"\p{Lu}(?<=[\p{L}\p{N},;]" + BLANK + r"{1,4}\p{Lu})\p{Ll}[\p{L}'-]*"
+#: Capitalised words that open sentences and are no names there.
+OPENERS = ["A", "After", "All", "An", "And", "Are", "As", "At", "Before", "But", "By", "Can", "Could", "Did", "Do", "Does", "Each", "Every", "Find", "For", "From", "Give", "Had", "Has", "Have", "He", "Her", "His", "How",
+           "If", "In", "Is", "It", "Its", "Let", "Many", "Most", "No", "Not", "Now", "Of", "On", "One", "Or", "Our", "She", "Should", "Since", "So", "Some", "Such", "That", "The", "Their", "Then", "There", "These",
+           "They", "This", "Those", "To", "Two", "Under", "Was", "We", "Were", "What", "When", "Where", "Which", "While", "Who", "Whose", "Why", "Will", "With", "Would", "You", "Your"]
+_OPENERS = "|".join(OPENERS)
+#: Blanks are single spaces where these are looked for. A capitalised word is a name after a word or comma, and elsewhere unless it is an opener.
+NAME = r"(?<![^ ])(?:(?<=[\p{L}\p{N},;] )|(?!(?:" + _OPENERS + r")(?![\p{L}'-])))\p{Lu}\p{Ll}[\p{L}'-]*"
 NUMBER = r"\p{Nd}+(?:[.,]\p{Nd}+)*"
-UNIT = r"(<num>" + BLANK + r"{0,4})(?:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{N}])"
+UNIT = r"(<num> ?)(?:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{N}])"
 
 
 def tokens(text: Column) -> Column:
@@ -35,7 +41,8 @@ def tokens(text: Column) -> Column:
 
 def template(text: Column) -> Column:
     """The canonical text: as many tokens as the text itself, placeholders <name>, <num> and <unit>."""
-    named = F.regexp_replace(text, NAME, "<name>")
+    spaced = F.regexp_replace(text, BLANK + "+", " ")
+    named = F.regexp_replace(spaced, NAME, "<name>")
     counted = F.regexp_replace(named, NUMBER, "<num>")
     return F.lower(F.regexp_replace(counted, UNIT, "$1<unit>"))
 
@@ -44,12 +51,17 @@ def is_slot(token: Column) -> Column:
     return token.contains("<name>") | token.contains("<num>") | token.contains("<unit>")
 
 
-def windows(df: DataFrame, key: str, width: int = WINDOW) -> DataFrame:
-    """key, pos and window hash of every run of `width` template tokens."""
+def windows(df: DataFrame, key: str, widths: list[int] | None = None) -> DataFrame:
+    """key, width, pos and window hash of every run of template tokens of the given widths (WINDOW by default)."""
     hashed = df.select(key, F.transform(tokens(template(F.col("text"))), lambda t: F.xxhash64(t)).alias("_h"))
-    last = F.size("_h") - width
-    every = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.slice(F.col("_h"), i + 1, width))))
-    return hashed.select(key, F.posexplode(every).alias("pos", "window"))
+
+    def of_width(width: int) -> Column:
+        last = F.size("_h") - width
+        every = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(F.lit(width).alias("width"), i.alias("pos"), F.xxhash64(F.slice(F.col("_h"), i + 1, width)).alias("window")))
+        return F.when(last >= 0, every).otherwise(F.slice(every, 1, 0))
+
+    every = F.concat(*[of_width(w) for w in widths or [WINDOW]])
+    return hashed.select(key, F.explode(every).alias("w")).select(key, "w.*")
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
@@ -64,7 +76,8 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     n_rich = rich.groupBy("item_id", "n_item").agg(F.count(F.lit(1)).alias("_n"))
     needed = n_rich.select("item_id", "n_item", F.least(F.least(F.lit(MIN_TOKENS), F.col("n_item") - 1) - WINDOW + 1, F.col("_n")).alias("n_needed"))
     rich = rich.join(needed, ["item_id", "n_item"])
-    return windows(benchmark, "item_id").join(rich, ["item_id", "pos"]).select("item_id", F.col("pos").alias("item_pos"), "window", F.greatest("n_needed", F.lit(1)).alias("n_needed")).distinct()
+    found = windows(benchmark, "item_id").join(rich, ["item_id", "pos"])
+    return found.select("item_id", F.col("pos").alias("item_pos"), "width", "window", F.greatest("n_needed", F.lit(1)).alias("n_needed")).distinct()
 
 
 def whole_items(benchmark: DataFrame) -> DataFrame:
@@ -77,31 +90,27 @@ def whole_items(benchmark: DataFrame) -> DataFrame:
     return poor.select("item_id", F.size("_t").alias("n_item"), F.least(F.size("_t"), F.lit(WINDOW)).alias("width"), F.xxhash64(hashes).alias("window")).distinct()
 
 
-def whole_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
-    """As matches(), for whole_items(): places where the first tokens stand, all tokens to be compared."""
-    items = written(whole_items(benchmark), "whole-items")
-    few, out = items.count() <= BROADCAST_WINDOWS, None
-    for width in sorted(r[0] for r in items.select("width").distinct().collect()):  # WINDOW values at most
-        of_width = items.filter(F.col("width") == width).drop("width")
-        at = F.sequence(F.lit(0), F.greatest(F.col("n_item") - WINDOW, F.lit(0)))
-        found = windows(docs, "doc_id", width).join(F.broadcast(of_width) if few else of_width, "window").select(
-            "doc_id", "item_id", F.size(at).alias("n_needed"), F.col("pos").alias("diagonal"), F.size(at).cast("long").alias("n_windows"), F.lit(0).alias("first"), (F.col("n_item") - WINDOW).alias("last"), at.alias("at")
-        ).distinct()
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, diagonal (document less item position) and the matched window count and ends."""
+    """doc_id, item_id, diagonal (document less item position) and the matched window count and ends.
+
+    One pass over the documents looks for the windows of all items; for whole_items() that is
+    their first tokens, all others to be compared.
+    """
     of_items = written(item_windows(benchmark), "item-windows")
-    few = of_items.count() <= BROADCAST_WINDOWS
-    found = windows(docs, "doc_id").join(F.broadcast(of_items) if few else of_items, "window")
-    runs = found.groupBy("doc_id", "item_id", "n_needed", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
+    whole = written(whole_items(benchmark), "whole-items")
+    widths = sorted({WINDOW} | {r[0] for r in whole.select("width").distinct().collect()})  # WINDOW values at most
+    known = written(of_items.select("width", "window").union(whole.select("width", "window")).distinct(), "known-windows")
+    few = known.count() <= BROADCAST_WINDOWS
+    found = written(windows(docs, "doc_id", widths).join(F.broadcast(known) if few else known, ["width", "window"]), "found-windows")
+    runs = found.join(of_items, ["width", "window"]).groupBy("doc_id", "item_id", "n_needed", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
         F.countDistinct("item_pos").alias("n_windows"), F.min("item_pos").alias("first"), F.max("item_pos").alias("last"), F.sort_array(F.collect_set("item_pos")).alias("at")
     )
     runs = runs.filter(F.col("n_windows") >= F.col("n_needed"))
-    whole = whole_matches(docs, benchmark)
-    return runs if whole is None else runs.unionByName(whole)
+    at = F.sequence(F.lit(0), F.greatest(F.col("n_item") - WINDOW, F.lit(0)))
+    wholes = found.join(whole, ["width", "window"]).select(
+        "doc_id", "item_id", F.size(at).alias("n_needed"), F.col("pos").alias("diagonal"), F.size(at).cast("long").alias("n_windows"), F.lit(0).alias("first"), (F.col("n_item") - WINDOW).alias("last"), at.alias("at")
+    ).distinct()
+    return runs.unionByName(wholes)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -126,9 +135,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return df.select(key, tokens(F.col("text")).alias(f"{to}_raw"), tokens(template(F.col("text"))).alias(f"{to}_tok"))
 
     aligned = runs.join(both(items, "item_id", "i"), "item_id").join(both(texts, "doc_id", "d"), "doc_id")
-    inside = F.filter(
-        F.sequence(F.col("first"), F.col("last") + WINDOW - 1), lambda p: F.exists(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda w: F.array_contains(F.col("at"), p - w))
-    )
+    # Items shorter than a window end before it does.
+    covered = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(i, i + WINDOW - 1))))
+    inside = F.filter(covered, lambda p: p <= F.col("last") + WINDOW - 1)
     pairs = F.transform(
         "_inside",
         lambda p: F.struct(
@@ -165,7 +174,7 @@ def _toks(key: str, view: str) -> str:
   SELECT {key}, ws, list_transform(list_transform(nums, lambda t, i: CASE WHEN i > 1 AND regexp_matches(nums[i - 1], '<num>$') AND regexp_matches(t, '^({_UNITS})([^\\p{{L}}\\p{{N}}]|$)')
       THEN regexp_replace(t, '^({_UNITS})([^\\p{{L}}\\p{{N}}]|$)', '<unit>\\2') ELSE t END),
       lambda t: lower(regexp_replace(t, '<num>({_UNITS})([^\\p{{L}}\\p{{N}}]|$)', '<num><unit>\\2'))) AS ts
-  FROM (SELECT *, list_transform(list_transform(ws, lambda t, i: CASE WHEN i > 1 AND regexp_matches(ws[i - 1], '[\\p{{L}}\\p{{N}},;]$')
+  FROM (SELECT *, list_transform(list_transform(ws, lambda t, i: CASE WHEN (i > 1 AND regexp_matches(ws[i - 1], '[\\p{{L}}\\p{{N}},;]$')) OR NOT regexp_matches(t, '^({_OPENERS})([^\\p{{L}}''-]|$)')
       THEN regexp_replace(t, '^\\p{{Lu}}\\p{{Ll}}[\\p{{L}}''-]*', '<name>') ELSE t END), lambda t: regexp_replace(t, '\\p{{Nd}}+(?:[.,]\\p{{Nd}}+)*', '<num>', 'g')) AS nums
       FROM (SELECT {key}, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM {view} WHERE text IS NOT NULL))
 """

@@ -180,3 +180,16 @@ def test_one_document_with_many_partners_and_ids_of_several_texts(spark):
     data = [(i + 10, t) for i, t in enumerate(texts)] + [(3, texts[0] + " more"), (3, "other words in a row here"), (900, "other words in a row here"), (901, "other words in a row there")]
     df = spark.createDataFrame(data, "doc_id long, text string")
     assert sorted(map(tuple, minhash.near_duplicates(df).collect()), key=str) == brute(data)
+
+
+def test_names_that_open_sentences_and_wide_blanks(spark):
+    pears = "Alice buys 4 apples and 3 pears today. Alice eats 2 of the pears at lunch. How many pieces are left?"
+    cards = "Mark has 5 cards. Mark buys 12 more. Mark loses 3 of them. How many are left?"
+    rng = random.Random(1)
+    filler = " ".join("".join(rng.choice("abcdefg") for _ in range(4)) for _ in range(50))
+    changed = pears.replace("Alice", "Bob").replace("4", "7").replace("3", "5")
+    docs = [
+        (1, f"{filler}. {changed} {filler}"), (2, f"{filler}. {cards.replace('Mark', 'Tom').replace('12', '9')} {filler}"), (3, f"{filler} {changed.replace('Bob eats', 'Eve eats')} {filler}"),
+        (4, pears.replace(" ", " \t\n    ")), (5, filler),
+    ]
+    assert leaks(spark, docs, [(1, pears), (2, cards)]) == {(1, 1), (2, 2), (4, 1)}
