@@ -183,3 +183,30 @@ def test_a_word_said_over_and_over_leaves_a_seed_in_each_stretch():
         at = chains.seeds(h).tolist()
         assert max(b - a for a, b in zip(at, at[1:])) <= chains.W and at[0] < chains.W and at[-1] >= len(h) - chains.K + 1 - chains.W
     assert len(chains.seeds(np.ones(30_000, np.uint64))) < 3000
+
+
+def test_a_passage_whose_seeds_all_have_other_first_holders(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    many = lambda n: [word() for _ in range(n)]
+    passage = many(144)
+    data = [(i, many(10) + passage[12 * i : 12 * i + 24] + many(10)) for i in range(11)]
+    data += [(100, many(20) + passage + many(5)), (101, many(3) + passage + many(30))]
+    got = chains.fuzzy_passages(spark.createDataFrame([(i, " ".join(w), "", "") for i, w in data], DOCS)).collect()
+    assert [(r["doc_id"], r["first_id"], r["start"], r["stop"], r["identity"]) for r in got] == [(101, 100, 3, 147, 1.0)]
+
+
+def test_words_said_over_and_over_are_covered_without_all_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    data = [(i, " ".join([word() for _ in range(8)] + ["the"] * rng.randint(45, 200) + [word() for _ in range(8)])) for i in range(60)]
+    data += [(100 + i, " ".join([word() for _ in range(30)] + ["a short common phrase of so many words that it has some seeds but is no passage by itself"] + [word() for _ in range(30)])) for i in range(60)]
+    made, passages_of = [], chains.passages_of
+    monkeypatch.setattr(chains, "passages_of", lambda m, *a: made.append(m.count()) or passages_of(m, *a))
+    covered = defaultdict(set)
+    for r in chains.fuzzy_passages(spark.createDataFrame([(i, t, "", "") for i, t in data], DOCS)).collect():
+        covered[r["doc_id"]] |= set(range(r["start"], r["stop"]))
+    for i, t in data[:60]:
+        said = {p for p, w in enumerate(t.split()) if w == "the"}
+        assert not said - covered[i] if i else not covered[i]
+    assert not any(covered[i] for i, _ in data[60:]) and sum(made) < 6000
