@@ -25,11 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, kind: str) -> str:
     """A new folder below the session's checkpoint folder, which all executors share.
 
-    Only a session without that setting (as in tests) gets one of its own.
+    Only a local session without that setting (as in tests) gets one of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not jvm_dir.isDefined() and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = jvm_dir.get() if jvm_dir.isDefined() else "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 

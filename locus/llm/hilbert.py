@@ -17,32 +17,50 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from locus.llm.common import text_bytes
+from locus.llm.common import text_bytes, written
 
 BITS, SALTS = 4, 256
 
 
 def order_code(col: Column, kind: T.DataType) -> Column:
-    """A number that orders like the value; strings by their first seven UTF-8 bytes. Null is -1."""
+    """What a dimension is ordered by: strings by their bytes, all else as a number; null and NaN are null."""
     if isinstance(kind, T.StringType):
-        digits = F.rpad(F.hex(F.substring(F.encode(col, "UTF-8"), 1, 7)), 14, "0")
-        return F.coalesce(F.conv(digits, 16, 10).cast("double"), F.lit(-1.0))
+        return col
     value = col.cast("double")
-    return F.when(value.isNull() | F.isnan(value), F.lit(-1.0)).otherwise(value)
+    return F.when(~F.isnan(value), value)
 
 
-def quantiles(df: DataFrame, codes: list[Column], bits: int) -> list[list[float]]:
-    """2**bits - 1 cut points per dimension: a bounded row, computed once so that retries agree."""
+def quantiles(df: DataFrame, codes: list[Column], bits: int) -> list[list]:
+    """2**bits - 1 cut points or fewer per dimension: a bounded row, computed once so that retries agree.
+
+    Numbers are cut at approximate quantiles. Strings are counted per value; the values are
+    dealt in order into as many partitions as Spark shuffles by and cut where the rows before
+    them pass each share, so that long common beginnings don't matter.
+    """
+    kinds = df.select(*[c.alias(f"_{i}") for i, c in enumerate(codes)]).schema
     at = F.array(*[F.lit(i / (1 << bits)) for i in range(1, 1 << bits)])
-    row = df.agg(*[F.percentile_approx(c, at, F.lit(10_000)).alias(f"_{i}") for i, c in enumerate(codes)]).first()
-    return [list(x or []) for x in row]
+    numbers = [i for i, f in enumerate(kinds) if not isinstance(f.dataType, T.StringType)]
+    row = df.agg(F.lit(0).alias("_"), *[F.percentile_approx(codes[i], at, F.lit(10_000)).alias(f"_{i}") for i in numbers]).first()
+    return [list(row[f"_{i}"] or []) if i in numbers else string_cuts(df.select(codes[i].alias("v")), bits) for i in range(len(codes))]
+
+
+def string_cuts(values: DataFrame, bits: int) -> list[str]:
+    """The last value of each share of the rows, in the order of the values."""
+    counts = written(values.filter("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n")), "values")
+    dealt = written(counts.repartitionByRange("v").withColumn("_p", F.spark_partition_id()), "values-in-order")
+    along = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    before = dealt.groupBy("_p").agg(F.sum("n").alias("_s")).select("_p", F.coalesce(F.sum("_s").over(along), F.lit(0)).alias("_before"), F.sum("_s").over(W.partitionBy()).alias("_all"))
+    upto = F.col("_before") + F.sum("n").over(W.partitionBy("_p").orderBy("v"))
+    share = F.floor((F.col("_upto") - F.col("n") / 2) * (1 << bits) / F.col("_all"))
+    shares = dealt.join(F.broadcast(before), "_p").withColumn("_upto", upto).groupBy(share.alias("_share")).agg(F.max("v").alias("v"))
+    return sorted(r["v"] for r in shares.collect())[:-1]  # 2**bits at most
 
 
-def level(code: Column, cuts: list[float]) -> Column:
-    """How many distinct cut points lie below the code."""
+def level(code: Column, cuts: list) -> Column:
+    """How many distinct cut points lie below the code; null is lowest."""
     out = F.lit(0)
     for cut in sorted(set(cuts)):
-        out = out + (code > F.lit(cut)).cast("int")
+        out = out + F.coalesce((code > F.lit(cut)).cast("int"), F.lit(0))
     return out
 
 
@@ -93,7 +111,7 @@ def hilbert_shards(
     cell = [f"_hq{i}" for i in range(len(dims))]
     group = [*cell, "_hsalt"]
     rows = df.withColumns(
-        {c: level(code, x) for c, code, x in zip(cell, codes, cuts)} | {"_hsalt": F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(salts)).cast("int")}
+        {c: level(code, x) for c, code, x in zip(cell, codes, cuts)} | {"_hsalt": F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in [key, *(ties or [])]]), F.lit(salts)).cast("int")}
     )
     counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_hn"))
     cells = with_hilbert_index(counts.groupBy(*cell).agg(F.sum("_hn").alias("_hcell_n")), cell, bits, "hilbert")
@@ -122,7 +140,8 @@ def hilbert_shards(
 def shard_documents(docs: DataFrame, n_shards: int) -> DataFrame:
     """Documents with size, text_crc32, law, hilbert, shard, slot and grown_shard, by source, language and length.
 
-    A null text counts as empty. grown_shard is null, as the law is `rows`.
+    A null text counts as empty. grown_shard is null, as the law is `rows`. Columns of docs with
+    these names are replaced, all others kept.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     with_size = docs.withColumns({

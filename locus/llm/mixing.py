@@ -89,6 +89,13 @@ def poisson_mix(
     return out.orderBy("mix_key")
 
 
+def repeated_documents(docs: DataFrame) -> DataFrame:
+    """docs mixed to equal weights of their sources, with its own columns only, whatever their names."""
+    taken = {c: f"_own_{c}" for c in ("copy", "rate", "mix_key") if c in docs.columns}
+    mixed = poisson_mix(docs.withColumnsRenamed(taken)).drop("copy", "rate", "mix_key")
+    return mixed.withColumnsRenamed({v: k for k, v in taken.items()}).select(docs.columns)
+
+
 def op7_poisson(docs: DataFrame) -> DataFrame:
     out = poisson_mix(docs.select("doc_id", "text", "source"))
     return out.select("doc_id", "source", "copy", F.round("rate", 6).alias("rate"), "mix_key")

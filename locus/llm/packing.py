@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -79,6 +80,7 @@ def best_fit_decreasing(lengths: list[int], most: int) -> list[list[int]]:
     return rows
 
 
+@lru_cache(1)  # a worker reads the file once
 def tiktoken_encoder(path: str = TOKENIZER) -> Callable[[str], list[int]]:
     import tiktoken
 
@@ -120,7 +122,7 @@ def pack(docs: DataFrame, *, length: int = LENGTH, tokenizer: str = TOKENIZER, e
     n = parts_for(total_bytes(docs) + 1, group_bytes)
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("_group"),
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("_group"),
     )
     return rows.groupBy("_group").applyInPandas(lambda pdf: pack_group(pdf, tiktoken_encoder(tokenizer), length, end, id_type), ROWS)
 

@@ -84,8 +84,7 @@ def write_warc(pages: DataFrame, root: str, *, url_col: str = "url", body_col: s
     ).withColumns({
         "_digest": sha1_base32(F.encode("_body", "UTF-8")),
         "_size": text_bytes(F.col("_body")),
-        "_archive": F.pmod(F.xxhash64("page_id"), F.lit(n)).cast("int"),
-    })
+    }).withColumn("_archive", F.pmod(F.xxhash64("page_id", "_digest"), F.lit(n)).cast("int"))
     thin = rows.select("_archive", "page_id", "_digest", "_size")
     first = thin.groupBy("_digest", "_size").agg(F.max("page_id").alias("_last"))
     kind = F.when(F.col("page_id").eqNullSafe(F.col("_last")), F.lit("response")).otherwise(F.lit("revisit"))

@@ -110,3 +110,25 @@ def test_weights(spark):
     n = Counter(r["source"] for r in mixing.poisson_mix(df, weights={"a": 1, "b": 3}).collect())
     assert abs(n["b"] / (n["a"] + n["b"]) - 0.75) < 0.03 and abs(sum(n.values()) - 4000) < 300
     assert {r["source"] for r in mixing.poisson_mix(df, weights={"a": 1}).collect()} == {"a"}
+
+
+def test_strings_with_a_long_common_beginning_are_told_apart(spark):
+    names = [f"https://example.org/common_crawl_{y}" for y in range(2015, 2023)]
+    df = spark.createDataFrame([(i, "x" * 5, "en", names[i % 8], "", "") for i in range(400)], SCHEMA)
+    of = {n: {r["hilbert"] for r in hilbert.shard_documents(df.drop("copy"), 8).collect() if r["source"] == n} for n in names}
+    assert all(not of[a] & of[b] for a in names for b in names if a < b)
+    shards = {n: {r["shard"] for r in hilbert.shard_documents(df.drop("copy"), 8).collect() if r["source"] == n} for n in names}
+    assert all(len(s) == 1 for s in shards.values())  # a reader of one source opens one file of eight
+
+
+def test_rows_follow_the_curve_within_and_across_shards(spark):
+    got = hilbert.shard_documents(rows(spark).drop("copy"), 7).orderBy("shard", "slot").select("hilbert").collect()
+    along = [r["hilbert"] for r in got]
+    assert along == sorted(along) and len(set(along)) > 20
+
+
+def test_clashing_columns_of_sharding_are_replaced_and_of_mixing_kept(spark):
+    df = spark.createDataFrame([(i, "text", "en", "s", "own", "own", "own", "own") for i in range(60)], "doc_id long, text string, lang string, source string, size string, law string, copy string, rate string")
+    assert {(r["size"], r["law"], r["copy"], r["rate"]) for r in hilbert.shard_documents(df, 3).collect()} == {(12, "rows", "own", "own")}
+    got = mixing.repeated_documents(df)
+    assert got.columns == df.columns and {(r["size"], r["law"], r["copy"], r["rate"]) for r in got.collect()} == {("own",) * 4}
