@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from locus.llm.common import unit_hash
 from locus.llm.shingles import mixed
 
-ORDER, SAMPLE_DOCS, CALIBRATE, SIGMAS, CHUNK = 4, 2000, 0.1, 8.0, 1 << 19
+ORDER, SAMPLE_DOCS, CALIBRATE, SIGMAS, CHUNK = 4, 2000, 0.1, 8.0, 1 << 17
 SPACE, UNKNOWN = 32, "und"
 #: What a batch of texts holds on its way to Python; learn() sets this for the session, as texts are scored when its caller runs the plan.
 BATCH = "8m"

@@ -21,6 +21,8 @@ WINDOW, MIN_TOKENS, MIN_LITERALS = 8, 13, 4
 BROADCAST_WINDOWS = 2_000_000
 BROADCAST_IDS = 1_000_000
 BLANK = r"[\x20\x09-\x0D]"
+#: Blanks that are no single space.
+WIDE = r"[\x09-\x0D]" + BLANK + r"*|\x20" + BLANK + "+"
 #: The units of measure that become a placeholder after a number.
 UNITS = ["km", "cm", "mm", "m", "kg", "mg", "g", "ml", "l", "ms", "s", "min", "h", "hours", "minutes", "seconds", "days", "weeks", "months", "years",
          "meters", "miles", "feet", "inches", "pounds", "ounces", "dollars", "cents", "euros", "percent", "%"]
@@ -30,7 +32,7 @@ OPENERS = ["A", "After", "All", "An", "And", "Are", "As", "At", "Before", "But",
            "They", "This", "Those", "To", "Two", "Under", "Was", "We", "Were", "What", "When", "Where", "Which", "While", "Who", "Whose", "Why", "Will", "With", "Would", "You", "Your"]
 _OPENERS = "|".join(OPENERS)
 #: Blanks are single spaces where these are looked for. A capitalised word is a name after a word or comma, and elsewhere unless it is an opener.
-NAME = r"(?<![^ ])(?:(?<=[\p{L}\p{N},;] )|(?!(?:" + _OPENERS + r")(?![\p{L}'-])))\p{Lu}\p{Ll}[\p{L}'-]*"
+NAME = r"(?=\p{Lu}\p{Ll})(?<![^ ])(?:(?<=[\p{L}\p{N},;] )|(?!(?:" + _OPENERS + r")(?![\p{L}'-])))\p{Lu}[\p{L}'-]+"
 NUMBER = r"\p{Nd}+(?:[.,]\p{Nd}+)*"
 UNIT = r"(<num> ?)(?:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{N}])"
 
@@ -41,7 +43,7 @@ def tokens(text: Column) -> Column:
 
 def template(text: Column) -> Column:
     """The canonical text: as many tokens as the text itself, placeholders <name>, <num> and <unit>."""
-    spaced = F.regexp_replace(text, BLANK + "+", " ")
+    spaced = F.regexp_replace(text, WIDE, " ")
     named = F.regexp_replace(spaced, NAME, "<name>")
     counted = F.regexp_replace(named, NUMBER, "<num>")
     return F.lower(F.regexp_replace(counted, UNIT, "$1<unit>"))
@@ -55,13 +57,20 @@ def windows(df: DataFrame, key: str, widths: list[int] | None = None) -> DataFra
     """key, width, pos and window hash of every run of template tokens of the given widths (WINDOW by default)."""
     hashed = df.select(key, F.transform(tokens(template(F.col("text"))), lambda t: F.xxhash64(t)).alias("_h"))
 
-    def of_width(width: int) -> Column:
+    def hashes(width: int) -> Column:
         last = F.size("_h") - width
-        every = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(F.lit(width).alias("width"), i.alias("pos"), F.xxhash64(F.slice(F.col("_h"), i + 1, width)).alias("window")))
-        return F.when(last >= 0, every).otherwise(F.slice(every, 1, 0))
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.slice(F.col("_h"), i + 1, width))))
+
+    widths = widths or [WINDOW]
+    if len(widths) == 1:
+        return hashed.select(key, F.lit(widths[0]).alias("width"), F.posexplode(hashes(widths[0])).alias("pos", "window"))
+
+    def of_width(width: int) -> Column:
+        found = F.coalesce(hashes(width), F.array().cast("array<bigint>"))
+        return F.transform(found, lambda h, i: F.struct(F.lit(width).alias("width"), i.alias("pos"), h.alias("window")))
 
-    every = F.concat(*[of_width(w) for w in widths or [WINDOW]])
-    return hashed.select(key, F.explode(every).alias("w")).select(key, "w.*")
+    every = [of_width(w) for w in widths]
+    return hashed.select(key, F.explode(F.concat(*every)).alias("w")).select(key, "w.*")
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
