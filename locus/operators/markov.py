@@ -7,14 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locus.functions.rand import uniform
-from locus.functions.seq import BASES, places
+from locus.functions.seq import BASES
+from locus.operators.seqstats import kmer_counts
 
 
 def markov_fit(df: DataFrame, k: int, alpha: float = 1.0) -> DataFrame:
     """context, base, n and p = (n + alpha) / (total + 4 alpha), four rows per observed context."""
-    seq = F.upper("seq")
-    grams = F.filter(F.transform(places(F.length(seq) - k), lambda i: F.substring(seq, i + 1, F.lit(k + 1))), lambda g: ~g.rlike("[^ACGT]"))
-    counts = df.select(F.explode(grams).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    counts = kmer_counts(df, k + 1).withColumnRenamed("kmer", "g").filter(~F.col("g").rlike("[^ACGT]"))
     counts = counts.select(F.substring("g", 1, k).alias("context"), F.substring("g", k + 1, 1).alias("base"), "n")
     full = counts.select("context").distinct().select("context", F.explode(F.array(*map(F.lit, BASES))).alias("base"))
     full = full.join(counts, ["context", "base"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BACKGROUND = 0.25
 #: Scores and thresholds are rounded to this many places before they are compared.
 PLACES = 9
+#: Matrices that may go to every task, and hits that a task holds before it passes them on.
+MATRICES, HELD = 10_000, 50_000
 
 
 def load_matrices(counts: DataFrame, names: list[str] | None, relative: float, validate: bool = True) -> DataFrame:
@@ -56,32 +58,46 @@ def scan_motifs(df: DataFrame, matrices: DataFrame) -> DataFrame:
     go to every task.
     """
     models = []
-    for r in matrices.collect():
+    for r in matrices.limit(MATRICES + 1).collect():
         m = np.array([[x[b] for b in "acgt"] for x in r["logodds"]])
-        models.append((r["tf"], r["matrix_id"], m, round(r["threshold"], PLACES), r["min"], r["max"]))
+        models.append((r["tf"], r["matrix_id"], m, round(r["threshold"], PLACES), round(r["min"], PLACES), round(r["max"], PLACES)))
+    if len(models) > MATRICES:
+        raise ValueError(f"more than {MATRICES} matrices")
+    columns = [c.split()[0] for c in HITS.split(", ")]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = np.full(256, 4, np.int64)
+        number = np.full(256, 4, np.uint8)
         number[[ord(b) for b in "ACGT"]] = range(4)
+        of_strand = {s: [np.concatenate([x, np.full((len(x), 1), -np.inf)], axis=1) for x in ms] for s, ms in (("+", [m[2] for m in models]), ("-", [m[2][::-1, ::-1] for m in models]))}
+
+        def of_sequence(seq_id: str, seq: str) -> Iterator[pd.DataFrame]:
+            seq = seq.upper()
+            code = number[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
+            for j, (tf, matrix_id, m, threshold, low, high) in enumerate(models):
+                w, n = len(m), len(code) - len(m) + 1
+                if n <= 0:
+                    continue
+                for strand, padded in of_strand.items():
+                    score = padded[j][0][code[:n]]
+                    for k in range(1, w):
+                        score = score + padded[j][k][code[k : k + n]]
+                    score = np.round(score, PLACES)
+                    at = np.flatnonzero(score >= threshold)
+                    if len(at):
+                        relative = np.round((score[at] - low) / (high - low), PLACES) if high > low else np.ones(len(at))
+                        yield pd.DataFrame({"seq_id": seq_id, "tf": tf, "matrix_id": matrix_id, "start": at, "end": at + w, "strand": strand, "match_seq": [seq[i : i + w] for i in at.tolist()], "score": score[at], "relative_score": relative})
+
+        held, n = [], 0
         for batch in batches:
-            out = []
             for seq_id, seq in zip(batch["seq_id"], batch["seq"]):
-                code = number[np.frombuffer(seq.upper().encode("latin-1", "replace"), np.uint8)]
-                for tf, matrix_id, forward, threshold, low, high in models:
-                    w = len(forward)
-                    n = len(code) - w + 1
-                    if n <= 0:
-                        continue
-                    for strand, m in (("+", forward), ("-", forward[::-1, ::-1])):
-                        padded = np.concatenate([m, np.full((w, 1), -np.inf)], axis=1)
-                        score = np.zeros(n)
-                        for k in range(w):
-                            score += padded[k, code[k : k + n]]
-                        score = np.round(score, PLACES)
-                        for i in np.flatnonzero(score >= threshold).tolist():
-                            relative = (score[i] - low) / (high - low) if high > low else 1.0
-                            out.append((seq_id, tf, matrix_id, i, i + w, strand, seq[i : i + w].upper(), float(score[i]), relative))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in HITS.split(", ")])
+                for hits in of_sequence(seq_id, seq):
+                    held.append(hits)
+                    n += len(hits)
+                    if n >= HELD:
+                        yield pd.concat(held)[columns]
+                        held, n = [], 0
+        if held:
+            yield pd.concat(held)[columns]
 
     return df.select("seq_id", "seq").filter("seq IS NOT NULL").mapInPandas(scan, HITS)
 

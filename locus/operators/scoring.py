@@ -18,7 +18,8 @@ def _signal(tracks: Column, index: Column) -> Column:
 
 
 def _mean(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
+    """Null for an empty array."""
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values))
 
 
 def mssi(df: DataFrame, panel: dict[str, list[int]], background: list[int]) -> DataFrame:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locus.functions.seq import cpg_count, longest_run, places, random_bases
+from locus.functions.seq import cpg_count, longest_run, random_bases
 
 ORDER_BUCKET = 100_000
+#: Bases that are counted together, at least one sequence.
+PIECE = 4_000_000
 
 
 def _count(seq: Column, letters: str) -> Column:
@@ -23,34 +27,99 @@ def gc_content(df: DataFrame) -> DataFrame:
     return df.agg(F.coalesce(F.when(total > 0, F.sum(_count(seq, "GC")) / total), F.lit(0.0)).alias("gc"))
 
 
+def _windows(texts: list[str], k: int) -> tuple[list[str], np.ndarray]:
+    """The distinct k-mers of some strings and how often each occurs; windows don't cross strings."""
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(code) - k + 1
+    if n <= 0:
+        return [], np.empty(0, np.int64)
+    lengths = np.array([len(t) for t in texts])
+    whole = np.arange(n) + k <= np.repeat(np.cumsum(lengths), lengths)[:n]
+    known = np.unique(code)
+    digit, base = np.searchsorted(known, code), len(known)
+    if base**k >= 1 << 62:
+        grams, counts = np.unique(np.lib.stride_tricks.sliding_window_view(code, k)[whole], axis=0, return_counts=True)
+    else:
+        number = np.zeros(n, np.int64)
+        for i in range(k):
+            number = number * base + digit[i : i + n]
+        number = number[whole]
+        if base**k <= 1 << 22:
+            counts = np.bincount(number, minlength=0)
+            number = np.flatnonzero(counts)
+            counts = counts[number]
+        else:
+            number, counts = np.unique(number, return_counts=True)
+        grams = known[number[:, None] // base ** np.arange(k - 1, -1, -1) % base]
+    return [g.tobytes().decode("utf-32-le", "surrogatepass") for g in grams.astype(np.uint32)], counts
+
+
+def kmer_tables(df: DataFrame, ks: list[int]) -> DataFrame:
+    """k, kmer and n of all overlapping k-mers of the upper-cased seq, for several k in one pass.
+
+    Counted inside the task for pieces of a batch, so what is shuffled is bounded by the kinds
+    of k-mers a piece holds, not by its bases.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [t.upper() for t in batch["seq"] if t]
+            ends = np.cumsum([len(t) for t in texts])
+            first = 0
+            while first < len(texts):
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PIECE, "right")))
+                for k in ks:
+                    grams, n = _windows(texts[first:last], k)
+                    yield pd.DataFrame({"k": k, "kmer": grams, "n": n})
+                first = last
+
+    counted = df.select(F.col("seq").cast("string")).mapInPandas(count, "k int, kmer string, n long")
+    return counted.groupBy("k", "kmer").agg(F.sum("n").alias("n"))
+
+
 def kmer_counts(df: DataFrame, k: int) -> DataFrame:
-    seq = F.upper("seq")
-    grams = F.transform(places(F.length(seq) - k + 1), lambda i: F.substring(seq, i + 1, F.lit(k)))
-    return df.select(F.explode(grams).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    return kmer_tables(df, [k]).select("kmer", "n")
+
+
+def entropy_of(n: Column) -> Column:
+    """Shannon entropy in bits of the counts in an aggregation; 0 without any."""
+    # -sum(p log2 p) = log2 N - sum(n log2 n) / N; nulls are left out
+    return F.coalesce(F.log2(F.sum(n)) - F.sum(n * F.log2(n)) / F.sum(n), F.lit(0.0))
 
 
-def kmer_entropy(df: DataFrame, k: int) -> DataFrame:
+def kmerentropy_of(df: DataFrame, k: int) -> DataFrame:
     """Shannon entropy in bits of all overlapping k-mers; 0 without any."""
-    total = F.sum("n")
-    # -sum(p log2 p) = log2 N - sum(n log2 n) / N
-    return kmer_counts(df, k).agg(F.coalesce(F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total, F.lit(0.0)).alias("entropy"))
+    return kmer_counts(df, k).agg(entropy_of(F.col("n")).alias("entropy"))
 
 
-def cpg_obs_exp_pool(df: DataFrame, order: str) -> DataFrame:
-    """CpG observed over expected of all sequences on end in `order` (an integer column), junctions included.
+def _composition(df: DataFrame, order: str) -> DataFrame:
+    """One row: n sequences, bases, and how many are G, C and CpG, junctions between sequences included.
 
     The next sequence's first base comes from a window within buckets of the order and, at a
-    bucket's end, from the next bucket's first row, so no task sees more than a bucket.
+    bucket's end, from the next bucket's first row, so no task sees more than a bucket, and
+    of each sequence only its counts and ends.
     """
-    s = df.select(F.upper("seq").alias("_s"), F.col(order).cast("long").alias("_o")).filter(F.length("_s") > 0)
+    s = df.select(F.upper("seq").alias("_s"), F.col(order).cast("long").alias("_o"))
+    s = s.select("_o", F.length("_s").alias("_n"), *[_count(F.col("_s"), b).alias(f"_{b}") for b in "CG"], cpg_count(F.col("_s")).alias("_cg"), F.substring("_s", 1, 1).alias("_first"), F.substring("_s", -1, 1).alias("_last"))
     s = s.withColumn("_b", F.floor(F.col("_o") / ORDER_BUCKET))
-    heads = s.groupBy("_b").agg(F.min(F.struct("_o", F.substring("_s", 1, 1).alias("c")))["c"].alias("_head"))
+    full = s.filter("_n > 0")
+    heads = full.groupBy("_b").agg(F.min(F.struct("_o", "_first"))["_first"].alias("_head"))
     heads = heads.select("_b", F.lead("_head").over(W.orderBy("_b")).alias("_after"))
-    following = F.lead(F.substring("_s", 1, 1)).over(W.partitionBy("_b").orderBy("_o", "_s"))
-    joined = s.withColumn("_next", following).join(heads, "_b").withColumn("_next", F.coalesce("_next", "_after"))
-    cg = F.sum(cpg_count(F.col("_s")) + ((F.substring("_s", -1, 1) == "C") & F.coalesce(F.col("_next") == "G", F.lit(False))).cast("int"))
-    n, c, g = F.sum(F.length("_s")), F.sum(_count(F.col("_s"), "C")), F.sum(_count(F.col("_s"), "G"))
-    return joined.agg(F.coalesce(F.when((n > 1) & (c > 0) & (g > 0), (cg / (n - 1)) / ((c / n) * (g / n))), F.lit(0.0)).alias("cpg_oe"))
+    following = F.lead("_first").over(W.partitionBy("_b").orderBy("_o", "_first", "_last"))
+    joined = full.withColumn("_next", following).join(heads, "_b", "left")
+    meets = ((F.col("_last") == "C") & F.coalesce(F.coalesce("_next", "_after") == "G", F.lit(False))).cast("int")
+    sums = joined.agg(F.sum("_n").alias("bases"), F.sum("_C").alias("c"), F.sum("_G").alias("g"), F.sum(F.col("_cg") + meets).alias("cg"))
+    return df.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(sums))
+
+
+def _oe() -> Column:
+    n, c, g, cg = map(F.col, ("bases", "c", "g", "cg"))
+    return F.coalesce(F.when((n > 1) & (c > 0) & (g > 0), (cg / (n - 1)) / ((c / n) * (g / n))), F.lit(0.0))
+
+
+def cpg_obs_exp_pool(df: DataFrame, order: str) -> DataFrame:
+    """CpG observed over expected of all sequences on end in `order` (an integer column), junctions included."""
+    return _composition(df, order).select(_oe().alias("cpg_oe"))
 
 
 def median_longest_run(df: DataFrame) -> DataFrame:
@@ -62,11 +131,15 @@ def median_longest_run(df: DataFrame) -> DataFrame:
 
 
 def realism_profile(df: DataFrame, order: str) -> DataFrame:
-    """One row: n, gc, entropy_2, entropy_4, entropy_6, cpg_oe and median_run."""
-    parts = [df.agg(F.count(F.lit(1)).alias("n")), gc_content(df)]
-    parts += [kmer_entropy(df, k).withColumnRenamed("entropy", f"entropy_{k}") for k in (2, 4, 6)]
-    parts += [cpg_obs_exp_pool(df, order), median_longest_run(df)]
-    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)  # one row each
+    """One row: n, gc, entropy_2, entropy_4, entropy_6, cpg_oe and median_run.
+
+    The k-mers of all lengths are counted in one pass; what has a number per sequence is summed from those.
+    """
+    entropies = kmer_tables(df, [2, 4, 6]).agg(*[entropy_of(F.when(F.col("k") == k, F.col("n"))).alias(f"entropy_{k}") for k in (2, 4, 6)])
+    gc = F.coalesce(F.when(F.col("bases") > 0, (F.col("c") + F.col("g")) / F.col("bases")), F.lit(0.0))
+    sums = _composition(df, order).select("n", gc.alias("gc"), _oe().alias("cpg_oe"))
+    out = sums.crossJoin(F.broadcast(entropies)).crossJoin(F.broadcast(median_longest_run(df)))  # one row each
+    return out.select("n", "gc", "entropy_2", "entropy_4", "entropy_6", "cpg_oe", "median_run")
 
 
 METRICS = ["gc", "entropy_2", "entropy_4", "entropy_6", "cpg_oe", "median_run"]

@@ -31,7 +31,7 @@ def folder(s, name):
 
 def candidates(s, d):
     t = qq.tiles(s, d)
-    return t.select("seq_id", "seq", "cell_type", F.round(fn.gc_fraction(F.col("seq")), 9).alias("mssi_score"))
+    return t.select("seq_id", "seq", "cell_type", F.round(F.length(F.regexp_replace("seq", "[^GC]", "")) / L, 9).alias("mssi_score"))
 
 
 def read_narrowpeak(s, d):
@@ -154,7 +154,7 @@ def measured(s, d):
 def generated(s, d):
     t = qq.seqs(s, d)
     w = st.sequences(s, d).select(F.col("seq_id").alias("peak_id"), "cell_type", "source")
-    return ds.markov_generate(t, w, t.select(F.col("seq_id").alias("sample_id")), "en", 2, 30, 5).select("sample_id", "seq", "peak_id", "source")
+    return ds.markov_generate(t, w, t.select(F.col("seq_id").alias("sample_id")), "en", qq.K, qq.SAMPLE, 5).select("sample_id", "seq", "peak_id", "source")
 
 
 def evaluation(s, d):
@@ -186,7 +186,7 @@ def queries():
         "draw_dose": lambda s, d: pt.draw_dose(hit_rows(s, d), 2, 8),
         "occlusion_set": lambda s, d: host(s, d, pt.occlusion_set(candidates(s, d), TOP, 60, 7)),
         "cpg_swap_set": lambda s, d: host(s, d, pt.cpg_swap_set(candidates(s, d), TOP, 3, 1)),
-        "motif_ablation_set": lambda s, d: pt.motif_ablation_set(candidates(s, d), hit_rows(s, d), 40, [1, 0], 2, 2).filter(~F.col("variant").contains("ctl")),
+        "motif_ablation_set": lambda s, d: pt.motif_ablation_set(candidates(s, d), hit_rows(s, d), 40, [1, 0], 0, 2),
         "motif_ablation_controls": lambda s, d: pt.motif_ablation_set(candidates(s, d), hit_rows(s, d), 40, [1, 0], 2, 2).filter(F.col("variant").contains("ctl")),
         "locus_survey_set": lambda s, d: survey(s, d, 0),
         "locus_survey_hosts": lambda s, d: rounded(survey(s, d, 1)),
@@ -198,7 +198,7 @@ def queries():
 
 def oracle_sql():
     peaks = f"WITH {st.PEAKS}"
-    cand = f"{qq.TL}, cand AS (SELECT seq_id, seq, cell_type, round({qq.count_of('GC')} / length(seq), 9) AS mssi_score FROM full_tiles)"
+    cand = f"{qq.TL}, cand AS (SELECT seq_id, seq, cell_type, round({qq.count_of('GC')} / {L}, 9) AS mssi_score FROM tiles)"
     best = "best AS (SELECT *, row_number() OVER (ORDER BY mssi_score DESC, seq_id) - 1 AS rank FROM cand QUALIFY rank < {})"
     at_host = """(SELECT chrom, start, "end" FROM peaks WHERE peak_id = 5)"""
     prefix = "'c' || lpad(rank::VARCHAR, 2, '0') || '_' || seq_id || '_'"
@@ -208,18 +208,18 @@ def oracle_sql():
         chosen = f"list_transform(list_sort(list_transform({places}, lambda i: {{'k': {qq.md5(seed, key, 'i')}, 'i': i}}))[1:{count}], lambda x: x.i)"
         return f"(SELECT array_to_string(list_transform(generate_series(0, length(seq) - 1), lambda i: CASE WHEN list_contains(ch, i) THEN '{word[1]}' WHEN list_contains(ch, i - 1) THEN '{word[0]}' ELSE substr(seq, i + 1, 1) END), '') FROM (SELECT {chosen} AS ch))"
 
-    occ = f"substr(seq, 1, t) || array_to_string(list_transform(generate_series(0, least(60, {L} - t) - 1), lambda i: substr('ACGT', 1 + floor({qq.u(7, 'seq_id', 't', 'i')} * 4)::INTEGER, 1)), '') || substr(seq, t + 61)"
+    occ = f"substr(seq, 1, t) || array_to_string(list_transform(generate_series(0, least(60, length(seq) - t) - 1), lambda i: substr('ACGT', 1 + floor({qq.u(7, 'seq_id', 't', 'i')} * 4)::INTEGER, 1)), '') || substr(seq, t + 61)"
     swaps = " UNION ALL ".join([f"SELECT seq_id, seq AS old, rank, 'intact' AS variant, seq FROM best"] + [f"SELECT seq_id, seq AS old, rank, '{n}', {swap(w, 1)} FROM best" for n, w in pt.SWAPS.items()])
     cg = lambda c: f"((length({c}) - length(replace({c}, 'CG', ''))) // 2)"
     fit_en = qq.FIT.replace("FROM sequences)", "FROM en)")
     syn = "'syn_en_' || seq_id"
     oe = f"CASE WHEN {qq.count_of('C')} > 0 AND {qq.count_of('G')} > 0 THEN round({qq.CPG} * length(seq) / ({qq.count_of('C')} * {qq.count_of('G')}), 6) END"
-    survey_ctes = f"""{cand}, o AS (SELECT seq_id, tile, doc_id, seq, row_number() OVER (ORDER BY doc_id::DOUBLE, seq_id) - 1 AS r, count(*) OVER () AS n FROM full_tiles),
-      k AS (SELECT (i * n) // 20 + floor({qq.u(3, 'i')} * (((i + 1) * n) // 20 - (i * n) // 20))::BIGINT AS r FROM (SELECT count(*) AS n FROM full_tiles), generate_series(0, 19) t(i)),
+    survey_ctes = f"""{cand}, o AS (SELECT seq_id, tile, doc_id, seq, row_number() OVER (ORDER BY doc_id::DOUBLE, seq_id) - 1 AS r, count(*) OVER () AS n FROM tiles),
+      k AS (SELECT (i * n) // 20 + floor({qq.u(3, 'i')} * (((i + 1) * n) // 20 - (i * n) // 20))::BIGINT AS r FROM (SELECT count(*) AS n FROM tiles), generate_series(0, 19) t(i)),
       loci AS (SELECT *, 'L' || lpad((row_number() OVER (ORDER BY seq_id) - 1)::VARCHAR, 2, '0') AS locus FROM o JOIN k USING (r)),
       ins AS (SELECT seq_id, seq, row_number() OVER (ORDER BY seq_id) - 1 AS i FROM (SELECT seq_id, seq FROM cand ORDER BY seq_id LIMIT 4)),
       v AS (SELECT i, 'intact' AS kind, seq FROM ins UNION ALL SELECT i, 'cpg_up', {swap('GC', 1)} FROM ins UNION ALL SELECT i, 'ctl', {swap('AT', 1)} FROM ins)"""
-    spans = f"{cand}, hits AS (SELECT seq_id, unnest(list_filter(generate_series(0, {L - 9}), lambda i: substr(seq, i + 1, 3) = 'TAC'))::INTEGER AS start FROM full_tiles)"
+    spans = f"{cand}, hits AS (SELECT seq_id, unnest(list_filter(generate_series(0, length(seq) - 9), lambda i: substr(seq, i + 1, 3) = 'TAC'))::INTEGER AS start FROM tiles)"
     drawn = "SELECT seq_id, start FROM (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY md5('{}:' || seq_id || ':' || start), start) AS n, count(*) OVER (PARTITION BY seq_id) AS m FROM hits) WHERE {}"
     data_w = f"""w AS (SELECT doc_id, CASE WHEN source = 'src3' THEN 'xx' ELSE lang END AS chrom, (doc_id * 7919) % 60000 AS start FROM documents),
       cut AS (SELECT 'w' || doc_id AS peak_id, w.chrom, doc_id, substr(whole, start + 1, {L}) AS seq FROM w JOIN contig USING (chrom)),
@@ -242,7 +242,7 @@ def oracle_sql():
         "align_metadata": f"WITH {st.sequences_sql()} SELECT seq_id AS peak_id, seq, quality FROM sequences s JOIN labels l ON s.doc_id = l.doc_id",
         "draw_dose": f"""WITH {spans}, x AS ({drawn.format(8, 'm >= 2 AND n <= 2')}) SELECT seq_id, start, start + 9 AS "end" FROM x""",
         "occlusion_set": f"""WITH {st.PEAKS}, {cand}, {best.format(TOP)}, v AS (SELECT {prefix} || 'intact' AS peak_id, seq_id AS parent_id, rank::INTEGER AS rank, 'intact' AS variant, seq FROM best
-          UNION ALL SELECT {prefix} || 'tile' || t, seq_id, rank::INTEGER, 'tile' || t, {occ} FROM best, generate_series(0, {L - 1}, 60) g(t)) SELECT * FROM v, {at_host}""",
+          UNION ALL SELECT {prefix} || 'tile' || t, seq_id, rank::INTEGER, 'tile' || t, {occ} FROM (SELECT *, unnest(generate_series(0, length(seq) - 1, 60)) AS t FROM best)) SELECT * FROM v, {at_host}""",
         "cpg_swap_set": f"WITH {st.PEAKS}, {cand}, {best.format(TOP)}, v AS ({swaps}) SELECT {prefix} || variant AS peak_id, seq_id AS parent_id, rank::INTEGER AS rank, variant, seq, ({cg('seq')} - {cg('old')})::INTEGER AS delta_cpg, h.* FROM v, {at_host} h",
         "motif_ablation_set": f"""WITH RECURSIVE {spans}, {best.format(40)}, x AS (SELECT 1 AS dose, * FROM ({drawn.format(3, 'n <= 1')}) UNION ALL SELECT 0, * FROM ({drawn.format(2, 'true')})),
           sp AS (SELECT dose, seq_id, start, row_number() OVER (PARTITION BY dose, seq_id ORDER BY start) AS k FROM x),
@@ -256,9 +256,9 @@ def oracle_sql():
           v AS (SELECT *, 'top' AS stratum FROM t UNION ALL SELECT *, 'bottom' FROM b UNION ALL SELECT * FROM (SELECT *, 'random' FROM m WHERE seq_id NOT IN (SELECT seq_id FROM t UNION ALL SELECT seq_id FROM b) ORDER BY md5('6:' || seq_id), seq_id LIMIT 20))
           SELECT seq_id AS peak_id, spec, stratum, h.* FROM v, {at_host} h""",
         "markov_generate": f"""WITH RECURSIVE {st.sequences_sql()}, en AS (SELECT * FROM sequences WHERE cell_type = 'en'), {fit_en}, cum AS (SELECT context, list(c ORDER BY base) AS r FROM (SELECT context, base, sum(p) OVER (PARTITION BY context ORDER BY base) AS c FROM fit) GROUP BY context),
-          pre AS (SELECT prefix, sum(w) OVER (ORDER BY prefix) AS upto, sum(w) OVER () AS total FROM (SELECT substr(seq, 1, 2) AS prefix, count(*) AS w FROM en WHERE length(seq) >= 2 GROUP BY ALL)),
+          pre AS (SELECT prefix, sum(w) OVER (ORDER BY prefix) AS upto, sum(w) OVER () AS total FROM (SELECT substr(seq, 1, {qq.K}) AS prefix, count(*) AS w FROM en WHERE length(seq) >= {qq.K} GROUP BY ALL)),
           f AS (SELECT {syn} AS sample_id, (SELECT min(prefix) FROM pre WHERE upto > {qq.u(5, syn, "'prefix'")} * total) AS seq, 0 AS i FROM sequences
-            UNION ALL SELECT f.sample_id, f.seq || substr('ACGT', 1 + len(list_filter(coalesce(r, [0.25, 0.5, 0.75, 1.0])[1:3], lambda c: c <= {qq.u(5, 'f.sample_id', 'f.i')})), 1), f.i + 1 FROM f LEFT JOIN cum ON context = substr(f.seq, f.i + 1, 2) WHERE f.i < 28),
+            UNION ALL SELECT f.sample_id, f.seq || substr('ACGT', 1 + len(list_filter(coalesce(r, [0.25, 0.5, 0.75, 1.0])[1:3], lambda c: c <= {qq.u(5, 'f.sample_id', 'f.i')})), 1), f.i + 1 FROM f LEFT JOIN cum ON context = substr(f.seq, f.i + 1, {qq.K}) WHERE f.i < {qq.SAMPLE - qq.K}),
           hosts AS (SELECT seq_id AS peak_id, source, row_number() OVER (ORDER BY md5('5:' || seq_id), seq_id) - 1 AS r, count(*) OVER () AS n FROM en)
-          SELECT sample_id, f.seq, peak_id, source FROM f JOIN hosts ON hosts.r = floor({qq.u(5, "'host'", 'f.sample_id')} * n) WHERE i = 28""",
+          SELECT sample_id, f.seq, peak_id, source FROM f JOIN hosts ON hosts.r = floor({qq.u(5, "'host'", 'f.sample_id')} * n) WHERE i = {qq.SAMPLE - qq.K}""",
     }

@@ -11,7 +11,8 @@ from locus.operators import seqstats as ss
 from locus.plans import standins as st
 
 TYPES = ["de", "en", "es", "fr"]
-L, K, SAMPLE = 200, 2, 40
+#: The order of the Markov chains and the length of a generated sequence are production values.
+L, K, SAMPLE = 200, 6, 1000
 
 
 def seqs(s, d):
@@ -19,7 +20,7 @@ def seqs(s, d):
 
 
 def tiles(s, d):
-    return st.tiles(s, d, L).filter(F.length("seq") == L)
+    return st.tiles(s, d, L)
 
 
 def rounded(df, *keep):
@@ -52,6 +53,11 @@ def compare(s, d):
     return rounded(ss.realism_compare(a, b, c))
 
 
+def entropies(s, d):
+    counts = ss.kmer_tables(seqs(s, d), [2, 4, 6])
+    return rounded(counts.groupBy("k").agg(ss.entropy_of(F.col("n")).alias("entropy")))
+
+
 def samples(s, d):
     base = seqs(s, d)
     return mk.markov_sample(base.select(F.col("seq_id").alias("sample_id")), mk.markov_fit(base, K), mk.markov_prefixes(base, K), K, SAMPLE, 5)
@@ -73,7 +79,7 @@ def queries():
         "cpg_obs_exp": lambda s, d: rounded(seqs(s, d).select("seq_id", fn.cpg_obs_exp(F.col("seq")).alias("cpg_oe"))),
         "longest_run": lambda s, d: seqs(s, d).select("seq_id", fn.longest_run(F.col("seq")).alias("run")),
         "gc_content": lambda s, d: rounded(ss.gc_content(seqs(s, d))),
-        "kmer_entropy": lambda s, d: rounded(ss.kmer_entropy(seqs(s, d), 4)),
+        "kmer_entropy": entropies,
         "cpg_obs_exp_pool": lambda s, d: rounded(ss.cpg_obs_exp_pool(seqs(s, d), "doc_id")),
         "median_longest_run": lambda s, d: ss.median_longest_run(seqs(s, d)),
         "realism_profile": lambda s, d: rounded(ss.realism_profile(seqs(s, d), "doc_id")),
@@ -82,7 +88,7 @@ def queries():
         "swap_dinucleotides": lambda s, d: tiles(s, d).select("seq_id", fn.swap_dinucleotides(F.col("seq"), "GC", 3, 1, F.col("seq_id")).alias("x")).select("seq_id", "x.seq", "x.swaps"),
         "shuffle_spans": lambda s, d: tiles(s, d).select("seq_id", fn.shuffle_spans(F.col("seq"), spans_of("TAC", 9), 2, F.col("seq_id")).alias("seq")),
         "control_spans": lambda s, d: tiles(s, d).select("seq_id", F.explode(fn.control_spans(spans_of("TAC", 9), F.length("seq"), 4, F.col("seq_id"))).alias("x")).select("seq_id", "x.*"),
-        "occlude_tiles": lambda s, d: tiles(s, d).withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(L - 1), F.lit(60)))).select("seq_id", "start", fn.occlude(F.col("seq"), F.col("start"), 60, 7, F.col("seq_id")).alias("seq")),
+        "occlude_tiles": lambda s, d: tiles(s, d).withColumn("start", F.explode(F.sequence(F.lit(0), F.length("seq") - 1, F.lit(60)))).select("seq_id", "start", fn.occlude(F.col("seq"), F.col("start"), 60, 7, F.col("seq_id")).alias("seq")),
         "markov_fit": lambda s, d: rounded(mk.markov_fit(seqs(s, d), K)),
         "markov_prefixes": lambda s, d: mk.markov_prefixes(seqs(s, d), 4),
         "markov_sample": samples,
@@ -90,7 +96,7 @@ def queries():
 
 
 SQ = st.sequences_sql()
-TL = st.tiles_sql(L) + f", full_tiles AS (SELECT * FROM tiles WHERE length(seq) = {L})"
+TL = st.tiles_sql(L)
 TN = st.tiles_sql(L, "ACGTN")
 
 
@@ -142,7 +148,7 @@ def profile(view, digits=6):
 
 
 RANDOM = "SELECT doc_id, seq_id, coalesce(array_to_string(list_transform(generate_series(0, length(seq) - 1), lambda i: substr('ACGT', 1 + floor(" + u(3, "seq_id", "i") + " * 4)::INTEGER, 1)), ''), '') AS seq FROM {}"
-SPANS = f"spans AS (SELECT seq_id, seq, unnest(list_filter(generate_series(0, {L - 9}), lambda i: substr(seq, i + 1, 3) = 'TAC')) AS start FROM full_tiles)"
+SPANS = f"spans AS (SELECT seq_id, seq, unnest(list_filter(generate_series(0, length(seq) - 9), lambda i: substr(seq, i + 1, 3) = 'TAC')) AS start FROM tiles)"
 FIT = f"""counts AS (SELECT substr(g, 1, {K}) AS context, substr(g, {K + 1}, 1) AS base, count(*) AS n FROM (SELECT substr(seq, unnest(generate_series(1, length(seq) - {K})), {K + 1}) AS g FROM sequences) GROUP BY ALL),
 fit AS (SELECT context, base, coalesce(n, 0) AS n, (coalesce(n, 0) + 1.0) / (sum(coalesce(n, 0)) OVER (PARTITION BY context) + 4.0) AS p
   FROM (SELECT DISTINCT context, unnest(['A', 'C', 'G', 'T']) AS base FROM counts) LEFT JOIN counts USING (context, base))"""
@@ -158,7 +164,7 @@ def oracle_sql():
           UNION ALL SELECT 'minmax', ['n_chars', 'n_bases'], [min(n_chars)::DOUBLE, min(n_bases)::DOUBLE], [(max(n_chars) - min(n_chars))::DOUBLE, (max(n_bases) - min(n_bases))::DOUBLE] FROM b""",
         "condition_vectors": f"""WITH {SQ}, b AS (SELECT seq_id, cell_type, n_chars, length(seq) AS n_bases FROM sequences), s AS (SELECT avg(n_chars) AS a, stddev_pop(n_chars) AS sa, avg(n_bases) AS b, stddev_pop(n_bases) AS sb FROM b)
           SELECT seq_id, [{', '.join(f"(cell_type = '{t}')::INTEGER::DOUBLE" for t in TYPES)}, round((n_chars - a) / sa, 6), round((n_bases - s.b) / sb, 6)] AS condition FROM b, s""",
-        "filter_sequence_length": f"WITH {TL} SELECT seq_id, seq FROM full_tiles",
+        "filter_sequence_length": f"WITH {TL} SELECT seq_id, seq FROM tiles WHERE length(seq) = {L}",
         "window_qc": f"""WITH {TN}, r AS (SELECT CASE WHEN length(seq) <> {L} THEN 'length' WHEN {count_of('N')} / length(seq) > 0.36 THEN 'n_fraction' END AS reason FROM tiles)
           SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY reason""",
         "gc_fraction": f"WITH {SQ} SELECT seq_id, CASE WHEN length(seq) > 0 THEN round({count_of('GC')} / length(seq), 6) END AS gc FROM sequences",
@@ -166,7 +172,7 @@ def oracle_sql():
         "cpg_obs_exp": f"WITH {SQ} SELECT seq_id, CASE WHEN {count_of('C')} > 0 AND {count_of('G')} > 0 THEN round({CPG} * length(seq) / ({count_of('C')} * {count_of('G')}), 6) END AS cpg_oe FROM sequences",
         "longest_run": f"WITH {SQ} SELECT seq_id, run FROM {runs('sequences')}",
         "gc_content": f"WITH {SQ} SELECT round({gc('sequences')}, 6) AS gc",
-        "kmer_entropy": f"WITH {SQ} SELECT round({entropy(4, 'sequences')}, 6) AS entropy",
+        "kmer_entropy": f"WITH {SQ} " + " UNION ALL ".join(f"SELECT {k}::INTEGER AS k, round({entropy(k, 'sequences')}, 6) AS entropy" for k in (2, 4, 6)),
         "cpg_obs_exp_pool": f"WITH {SQ} SELECT round({oe('sequences')}, 6) AS cpg_oe",
         "median_longest_run": f"WITH {SQ} SELECT {median('sequences')} AS median_run",
         "realism_profile": f"WITH {SQ} {profile('sequences')}",
@@ -174,21 +180,21 @@ def oracle_sql():
           a AS ({profile('fr', 0)}), b AS ({profile('en', 0)}), c AS ({profile('rnd', 0)}), m AS ({UNPIVOT})
           SELECT metric, round(generated, 6) AS generated, round(reference, 6) AS reference, round(control, 6) AS control, round(1 - (generated - reference) / (control - reference), 6) AS realism FROM m WHERE abs(control - reference) >= 1e-12""",
         "random_control": f"WITH {SQ}, r AS ({RANDOM.format('sequences')}) SELECT seq_id, seq FROM r",
-        "swap_dinucleotides": f"""WITH {TL}, o AS (SELECT seq_id, seq, list_filter(generate_series(0, {L - 2}), lambda i: substr(seq, i + 1, 2) = 'GC') AS at FROM full_tiles),
+        "swap_dinucleotides": f"""WITH {TL}, o AS (SELECT seq_id, seq, list_filter(generate_series(0, length(seq) - 2), lambda i: substr(seq, i + 1, 2) = 'GC') AS at FROM tiles),
           c AS (SELECT seq_id, seq, list_transform(list_sort(list_transform(at, lambda i: {{'k': {md5(1, 'seq_id', 'i')}, 'i': i}}))[1:3], lambda x: x.i) AS ch FROM o)
-          SELECT seq_id, array_to_string(list_transform(generate_series(0, {L - 1}), lambda i: CASE WHEN list_contains(ch, i) THEN 'C' WHEN list_contains(ch, i - 1) THEN 'G' ELSE substr(seq, i + 1, 1) END), '') AS seq, len(ch)::INTEGER AS swaps FROM c""".replace(" AS at FROM", " AS ats FROM").replace("list_transform(at,", "list_transform(ats,"),
+          SELECT seq_id, array_to_string(list_transform(generate_series(0, length(seq) - 1), lambda i: CASE WHEN list_contains(ch, i) THEN 'C' WHEN list_contains(ch, i - 1) THEN 'G' ELSE substr(seq, i + 1, 1) END), '') AS seq, len(ch)::INTEGER AS swaps FROM c""".replace(" AS at FROM", " AS ats FROM").replace("list_transform(at,", "list_transform(ats,"),
         "shuffle_spans": f"""WITH RECURSIVE {TL}, {SPANS}, sp AS (SELECT seq_id, start, row_number() OVER (PARTITION BY seq_id ORDER BY start) AS k FROM spans),
-          f AS (SELECT seq_id, seq, 0::BIGINT AS k FROM full_tiles UNION ALL SELECT f.seq_id, substr(seq, 1, start) || array_to_string(list_transform(list_sort(list_transform(generate_series(0, 8),
+          f AS (SELECT seq_id, seq, 0::BIGINT AS k FROM tiles UNION ALL SELECT f.seq_id, substr(seq, 1, start) || array_to_string(list_transform(list_sort(list_transform(generate_series(0, 8),
             lambda i: {{'k': {md5(2, 'f.seq_id', 'start', 'i')}, 'c': substr(f.seq, start + i + 1, 1)}})), lambda x: x.c), '') || substr(seq, start + 10), sp.k FROM f JOIN sp ON f.seq_id = sp.seq_id AND sp.k = f.k + 1)
           SELECT seq_id, seq FROM f QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY k DESC) = 1""",
-        "control_spans": f"""WITH RECURSIVE {TL}, {SPANS}, sp AS (SELECT seq_id, start, row_number() OVER (PARTITION BY seq_id ORDER BY start) AS k, list(start) OVER (PARTITION BY seq_id) AS own FROM spans),
-          f AS (SELECT seq_id, [-1000] AS got, 0::BIGINT AS k FROM full_tiles UNION ALL
-            SELECT f.seq_id, list_concat(got, list_filter(list_transform(generate_series(0, 99), lambda t: floor({u(4, 'f.seq_id', 'start', 't')} * {L - 9})::INTEGER),
+        "control_spans": f"""WITH RECURSIVE {TL}, {SPANS}, sp AS (SELECT seq_id, start, length(seq) AS len, row_number() OVER (PARTITION BY seq_id ORDER BY start) AS k, list(start) OVER (PARTITION BY seq_id) AS own FROM spans),
+          f AS (SELECT seq_id, [-1000] AS got, 0::BIGINT AS k FROM tiles UNION ALL
+            SELECT f.seq_id, list_concat(got, list_filter(list_transform(generate_series(0, 99), lambda t: floor({u(4, 'f.seq_id', 'start', 't')} * greatest(1, len - 9))::INTEGER),
               lambda s: len(list_filter(own, lambda o: s < o + 9 AND s + 9 > o)) = 0 AND len(list_filter(got, lambda o: s < o + 9 AND s + 9 > o)) = 0)[1:1]), sp.k FROM f JOIN sp ON f.seq_id = sp.seq_id AND sp.k = f.k + 1),
           e AS (SELECT seq_id, got FROM f QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY k DESC) = 1)
           SELECT seq_id, start, start + 9 AS "end" FROM (SELECT seq_id, unnest(got) AS start FROM e) WHERE start >= 0""",
-        "occlude_tiles": f"""WITH {TL}, t AS (SELECT seq_id, seq, unnest(generate_series(0, {L - 1}, 60))::INTEGER AS start FROM full_tiles)
-          SELECT seq_id, start, substr(seq, 1, start) || array_to_string(list_transform(generate_series(0, least(60, {L} - start) - 1), lambda i: substr('ACGT', 1 + floor({u(7, 'seq_id', 'start', 'i')} * 4)::INTEGER, 1)), '') || substr(seq, start + 61) AS seq FROM t""",
+        "occlude_tiles": f"""WITH {TL}, t AS (SELECT seq_id, seq, unnest(generate_series(0, length(seq) - 1, 60))::INTEGER AS start FROM tiles)
+          SELECT seq_id, start, substr(seq, 1, start) || array_to_string(list_transform(generate_series(0, least(60, length(seq) - start) - 1), lambda i: substr('ACGT', 1 + floor({u(7, 'seq_id', 'start', 'i')} * 4)::INTEGER, 1)), '') || substr(seq, start + 61) AS seq FROM t""",
         "markov_fit": f"WITH {SQ}, {FIT} SELECT context, base, n, round(p, 6) AS p FROM fit",
         "markov_prefixes": f"WITH {SQ} SELECT substr(seq, 1, 4) AS prefix, count(*) AS weight FROM sequences WHERE length(seq) >= 4 GROUP BY ALL",
         "markov_sample": f"""WITH RECURSIVE {SQ}, {FIT}, cum AS (SELECT context, list(c ORDER BY base) AS r FROM (SELECT context, base, sum(p) OVER (PARTITION BY context ORDER BY base) AS c FROM fit) GROUP BY context),
