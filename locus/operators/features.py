@@ -44,7 +44,7 @@ def window_qc(df: DataFrame, length: int, max_n: float = 0.05) -> tuple[DataFram
     return marked.filter("reason IS NULL").drop("reason"), marked.filter("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def align_metadata(sequences: DataFrame, metadata: DataFrame, key: str = "peak_id", validate: bool = False) -> DataFrame:
+def align_metadata(sequences: DataFrame, metadata: DataFrame, key: str = "peak_id", validate: bool = True) -> DataFrame:
     """Sequences with their metadata; with `validate`, a sequence without metadata is an error."""
     if validate and not sequences.join(metadata, key, "left_anti").isEmpty():
         raise ValueError("sequences without metadata")

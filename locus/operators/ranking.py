@@ -30,13 +30,18 @@ def numbered(df: DataFrame, code: Column, order: list[Column], name: str = "row"
     return out.withColumn(name, F.col("_start") + F.col("_in")).drop("_bucket", "_in", "_start")
 
 
-def select_top_k(scores: DataFrame, metadata: DataFrame, k: int, partition_by: list[str] | None = None) -> DataFrame:
-    """The k best by mssi_score, over all or per partition (scores compare only within one locus), with their metadata."""
+def select_top_k(scores: DataFrame, metadata: DataFrame, k: int, partition_by: list[str] | None = None, validate: bool = True) -> DataFrame:
+    """The k best by mssi_score, over all or per partition (scores compare only within one locus), with their metadata.
+
+    With `validate`, a candidate without a score or one of them without metadata is an error.
+    """
     if partition_by:
         order = W.partitionBy(*partition_by).orderBy(F.desc("mssi_score"), "seq_id")
         best = scores.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n")
     else:
         best = scores.orderBy(F.desc("mssi_score"), "seq_id").limit(k)
+    if validate and not (scores.filter("mssi_score IS NULL").isEmpty() and unmatched_ids(best, metadata, "seq_id").isEmpty()):
+        raise ValueError("candidates without scores or metadata")
     return best.join(metadata, "seq_id")
 
 
@@ -54,8 +59,10 @@ def split_tails(scores: DataFrame, fraction: float, real: str = "real") -> DataF
     return marked.withColumn("tail", tail).filter("tail IS NOT NULL").drop("_size", "_up", "_down")
 
 
-def choose_loci(windows: DataFrame, n: int, seed: int, id_col: str = "peak_id") -> DataFrame:
+def choose_loci(windows: DataFrame, n: int, seed: int, id_col: str = "peak_id", validate: bool = True) -> DataFrame:
     """n windows spread over the peak-score range: one at random in each of n equal strata of the order."""
+    if validate and windows.limit(n).count() < n:
+        raise ValueError(f"fewer than {n} windows")
     rows = numbered(windows, F.col("peak_score"), [F.col("peak_score"), F.col(id_col)])
     stratum = F.least(F.floor((F.col("row") * n + n - 1) / F.col("total")), F.lit(n - 1))  # corrected below by its edges
     first = lambda i: F.floor(i * F.col("total") / n)
@@ -88,7 +95,7 @@ def train_val_split(df: DataFrame, fraction: float, seed: int, id_col: str = "se
     return rows.withColumn("is_val", F.col("row") < F.floor(F.col("total") * fraction)).drop("row", "total")
 
 
-def pick_inserts(df: DataFrame, n: int, real: str = "real", validate: bool = False) -> DataFrame:
+def pick_inserts(df: DataFrame, n: int, real: str = "real", validate: bool = True) -> DataFrame:
     """The first n ids in order, `real` left out."""
     out = df.filter(F.col("seq_id") != real).orderBy("seq_id").limit(n)
     if validate and out.count() < n:
@@ -101,7 +108,7 @@ def unmatched_ids(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.select(key).distinct().join(right.select(key), key, "left_anti")
 
 
-def join_scores(candidates: DataFrame, scores: DataFrame, validate: bool = False) -> DataFrame:
+def join_scores(candidates: DataFrame, scores: DataFrame, validate: bool = True) -> DataFrame:
     """Candidates with their scores; with `validate`, one unmatched on either side is an error."""
     if validate:
         for a, b, what in ((candidates, scores, "candidates without scores"), (scores, candidates, "scores without candidates")):
@@ -110,7 +117,7 @@ def join_scores(candidates: DataFrame, scores: DataFrame, validate: bool = False
     return candidates.join(scores, "seq_id")
 
 
-def filter_measured(measurements: DataFrame, sequences: DataFrame, validate: bool = False) -> DataFrame:
+def filter_measured(measurements: DataFrame, sequences: DataFrame, validate: bool = True) -> DataFrame:
     out = measurements.join(sequences.select("seq_id"), "seq_id", "left_semi")
     if validate and out.isEmpty():
         raise ValueError("no measurement has a sequence")

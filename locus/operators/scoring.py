@@ -55,7 +55,7 @@ def attribution_summary(df: DataFrame) -> DataFrame:
     return out.select("seq_id", _mean(F.col("_a")).alias("mean_abs"), F.array_max("_a").alias("max_abs"), (F.array_position("_a", F.array_max("_a")) - 1).cast("int").alias("argmax"))
 
 
-def score_with_locus(sequences: DataFrame, metadata: DataFrame, order: str, validate: bool = False) -> DataFrame:
+def score_with_locus(sequences: DataFrame, metadata: DataFrame, order: str, validate: bool = True) -> DataFrame:
     """Sequences with chrom, center and cell_type of their metadata; of a repeated id the last in `order` counts."""
     last = metadata.groupBy("seq_id").agg(F.max_by(F.struct("chrom", "start", "end", "cell_type"), order).alias("m"))
     if validate and not sequences.join(last, "seq_id", "left_anti").isEmpty():

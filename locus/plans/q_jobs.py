@@ -182,7 +182,7 @@ def queries():
         "write_fasta": fasta,
         "write_report": write_report,
         "write_dataset": dataset,
-        "align_metadata": lambda s, d: ft.align_metadata(st.sequences(s, d).select(F.col("seq_id").alias("peak_id"), "seq"), st.table(s, d, "labels").select(F.concat(F.lit("seq"), F.col("doc_id")).alias("peak_id"), "quality")),
+        "align_metadata": lambda s, d: ft.align_metadata(st.sequences(s, d).select(F.col("seq_id").alias("peak_id"), "seq"), st.table(s, d, "labels").select(F.concat(F.lit("seq"), F.col("doc_id")).alias("peak_id"), "quality"), validate=False),
         "draw_dose": lambda s, d: pt.draw_dose(hit_rows(s, d), 2, 8),
         "occlusion_set": lambda s, d: host(s, d, pt.occlusion_set(candidates(s, d), TOP, 60, 7)),
         "cpg_swap_set": lambda s, d: host(s, d, pt.cpg_swap_set(candidates(s, d), TOP, 3, 1)),

@@ -99,14 +99,17 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     Files are split at headers, so a large one is read by many tasks. A repeated id keeps the
     record whose text orders last.
     """
-    text = spark.read.option("lineSep", "\n>").text(path).select(F.col("value").alias("v"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
-    record = F.regexp_replace("v", r"^>", "")
+    text = spark.read.option("lineSep", "\n>").text(path).select(
+        F.col("value").alias("v"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i")
+    )
     # Only a file's first record keeps its mark; if it has none, it is text before the first header.
-    first = (F.col("_b") == 0) & (F.col("_i").bitwiseAND((1 << 33) - 1) == 0)
-    rows = text.filter((F.startswith("v", F.lit(">")) | ~first) & (F.length(F.trim(record)) > 0))
+    heads = text.filter("_b = 0").groupBy("_f").agg(F.min("_i").alias("_first"))
+    record = F.regexp_replace("v", r"^>", "")
+    first = F.coalesce((F.col("_b") == 0) & (F.col("_i") == F.col("_first")), F.lit(False))
+    rows = text.join(heads, "_f", "left").filter((F.startswith("v", F.lit(">")) | ~first) & (F.length(F.trim(record)) > 0))
     head = F.split_part(record, F.lit("\n"), F.lit(1))
     body = F.regexp_replace(F.substring(record, F.length(head) + 1, F.length(record)), r"\s+", "")
-    out = rows.select(F.split_part(F.trim(head), F.lit(" "), F.lit(1)).alias("seq_id"), body.alias("seq"))
+    out = rows.select(F.regexp_extract(head, r"^\s*(\S*)", 1).alias("seq_id"), body.alias("seq"))
     return out.groupBy("seq_id").agg(F.max("seq").alias("seq"))
 
 

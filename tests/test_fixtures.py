@@ -280,3 +280,29 @@ def test_perturbation_sets(spark):
     assert {r["variant"] for r in swaps} == {"intact", *pt.SWAPS} and all(Counter(r["seq"]) == Counter("ACGT" * 30) for r in swaps)
     with pytest.raises(ValueError):
         pt.occlusion_set(c, 2, 0, 1)
+
+
+def test_fasta_of_several_files_with_carriage_returns_tabs_and_preambles(spark, tmp_path):
+    for name, text in {"a.fa": "junk\n>a one\nAC\nGT\n>b\nTT\n", "b.fa": "more junk\nand more\n>c\tdesc\nGG\n", "c.fa": ">d\r\nAA\r\nCC\r\n"}.items():
+        (tmp_path / name).write_bytes(text.encode())
+    got = files.read_fasta(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [("a", "ACGT"), ("b", "TT"), ("c", "GG"), ("d", "AACC")]
+
+
+def test_unmatched_ids_and_short_tables_are_errors(spark):
+    ids = spark.createDataFrame([("a",), ("b",)], "seq_id string")
+    scores = spark.createDataFrame([("a", 1.0)], "seq_id string, mssi_score double")
+    with pytest.raises(ValueError):
+        rk.join_scores(ids, scores)
+    assert rk.join_scores(ids, scores, validate=False).count() == 1
+    with pytest.raises(ValueError):
+        rk.select_top_k(scores, ids.filter("seq_id = 'b'"), 1)
+    with pytest.raises(ValueError):
+        rk.choose_loci(spark.createDataFrame([("p", 1.0)], "peak_id string, peak_score double"), 2, 1)
+    with pytest.raises(ValueError):
+        rk.pick_inserts(ids, 3)
+
+
+def test_empty_lists_of_tracks_have_no_mean(spark):
+    df = spark.createDataFrame([("a", [])], "seq_id string, attribution array<double>")
+    assert sc.attribution_summary(df).first()["mean_abs"] is None
