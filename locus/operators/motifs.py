@@ -70,34 +70,41 @@ def scan_motifs(df: DataFrame, matrices: DataFrame) -> DataFrame:
         number[[ord(b) for b in "ACGT"]] = range(4)
         of_strand = {s: [np.concatenate([x, np.full((len(x), 1), -np.inf)], axis=1) for x in ms] for s, ms in (("+", [m[2] for m in models]), ("-", [m[2][::-1, ::-1] for m in models]))}
 
-        def of_sequence(seq_id: str, seq: str) -> Iterator[pd.DataFrame]:
-            seq = seq.upper()
-            code = number[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
-            for j, (tf, matrix_id, m, threshold, low, high) in enumerate(models):
-                w, n = len(m), len(code) - len(m) + 1
-                if n <= 0:
-                    continue
-                for strand, padded in of_strand.items():
-                    score = padded[j][0][code[:n]]
-                    for k in range(1, w):
-                        score = score + padded[j][k][code[k : k + n]]
-                    score = np.round(score, PLACES)
-                    at = np.flatnonzero(score >= threshold)
-                    if len(at):
-                        relative = np.round((score[at] - low) / (high - low), PLACES) if high > low else np.ones(len(at))
-                        yield pd.DataFrame({"seq_id": seq_id, "tf": tf, "matrix_id": matrix_id, "start": at, "end": at + w, "strand": strand, "match_seq": [seq[i : i + w] for i in at.tolist()], "score": score[at], "relative_score": relative})
+        def table(found: list[tuple]) -> pd.DataFrame:
+            seq_ids, which, strands, at, score, match = zip(*found)
+            n = [len(x) for x in at]
+            which, at, score = np.repeat(which, n), np.concatenate(at), np.concatenate(score)
+            tf, matrix_id, m, _, low, high = (np.array(x, object) if i < 3 else np.array(x) for i, x in enumerate(zip(*[(x[0], x[1], len(x[2]), *x[3:]) for x in models])))
+            span = (high - low)[which]
+            relative = np.where(span > 0, np.round((score - low[which]) / np.where(span > 0, span, 1), PLACES), 1.0)
+            return pd.DataFrame({
+                "seq_id": np.repeat(np.array(seq_ids, object), n), "tf": tf[which], "matrix_id": matrix_id[which], "start": at, "end": at + m[which].astype(np.int64),
+                "strand": np.repeat(np.array(strands, object), n), "match_seq": [x for part in match for x in part], "score": score, "relative_score": relative,
+            })[columns]
 
         held, n = [], 0
         for batch in batches:
             for seq_id, seq in zip(batch["seq_id"], batch["seq"]):
-                for hits in of_sequence(seq_id, seq):
-                    held.append(hits)
-                    n += len(hits)
-                    if n >= HELD:
-                        yield pd.concat(held)[columns]
-                        held, n = [], 0
+                seq = seq.upper()
+                code = number[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
+                for j, (_, _, m, threshold, _, _) in enumerate(models):
+                    w, size = len(m), len(code) - len(m) + 1
+                    if size <= 0:
+                        continue
+                    for strand, padded in of_strand.items():
+                        score = padded[j][0][code[:size]]
+                        for k in range(1, w):
+                            score = score + padded[j][k][code[k : k + size]]
+                        score = np.round(score, PLACES)
+                        at = np.flatnonzero(score >= threshold)
+                        if len(at):
+                            held.append((seq_id, j, strand, at, score[at], [seq[i : i + w] for i in at.tolist()]))
+                            n += len(at)
+                            if n >= HELD:
+                                yield table(held)
+                                held, n = [], 0
         if held:
-            yield pd.concat(held)[columns]
+            yield table(held)
 
     return df.select("seq_id", "seq").filter("seq IS NOT NULL").mapInPandas(scan, HITS)
 
