@@ -4,13 +4,18 @@ Every component x is the integer floor(256 * x). The approximation of a vector h
 per component, a cell of a 16-level grid, in half a byte. Queries scan the
 approximations: a cell's two edges bound each product, so each (query, vector) pair gets
 a lower and an upper bound of its score. Exact vectors are then read in order of falling
-upper bound (rising lower bound of the distance) until the k-th best exact score of a
-query is at least the next upper bound, so the result is exact.
-
-Distribution: distinct vectors are dealt into blocks by hash, queries into blocks too, and
-each (query block, vector block) is a task of its own that keeps at most k rows a query;
-the k best of all blocks follow by rank. Copies of one vector are one entry with its k + 1
-smallest ids (more can't be in a result), so a vector that is copied often costs nothing.
+upper bound (rising lower bound of the distance) until the k-th result is certain.
+
+Steps, each a Spark job over written tables:
+
+1. Distinct vectors are dealt into blocks by hash and numbered there. Each block's edges and
+   packed cells become one row of the approximation file, built once. Copies of one vector are
+   one entry with its k + 1 smallest ids (more can't be in a result), so copies cost nothing.
+2. Query blocks scan approximation blocks, a task for each pair; no exact vector takes part.
+   Entries that can be among the k best of their block are listed with their bounds.
+3. The k-th largest lower bound over all blocks rules out what lies below it.
+4. The k entries of largest upper bound are fetched and scored exactly; then those whose upper
+   bound reaches the k-th exact score. Nothing else can be in the result.
 """
 
 from __future__ import annotations
@@ -21,9 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locus.llm.common import parts_for
+from locus.llm.common import parts_for, written
 
-K, LEVELS, BLOCK, QUERY_BLOCK, SALTS = 5, 16, 4096, 512, 32
+K, LEVELS, BLOCK, QUERY_BLOCK, SALTS = 5, 16, 8192, 4096, 32
+#: Queries whose bounds are held at once in a task.
+CHUNK = 128
+APPROXIMATION = "vb int, dim int, edges binary, cells binary, ids binary, sole binary"
+QUERIES = "qb int, dim int, ids binary, vectors binary"
+BOUNDS = "query_id long, vb int, dim int, pos int, low double, high double"
 
 
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -44,6 +54,8 @@ def smallest_ids(vectors: DataFrame, k: int) -> DataFrame:
 
 def grid(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cell edges (LEVELS + 1 per component, the outer ones exact) and the cell of each component."""
+    if vectors.shape[1] == 0:
+        return np.zeros((LEVELS + 1, 0)), np.zeros((len(vectors), 0), np.uint8)
     at = np.linspace(0, 1, LEVELS + 1)
     edges = np.quantile(vectors, at, axis=0, method="nearest")
     cells = np.stack([np.searchsorted(edges[1:-1, j], vectors[:, j], side="right") for j in range(vectors.shape[1])], axis=1)
@@ -67,29 +79,79 @@ def bounds(queries: np.ndarray, edges: np.ndarray, packed: np.ndarray) -> tuple[
     return up @ low.T + down @ high.T, up @ high.T + down @ low.T
 
 
-def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: list, k: int) -> list[tuple]:
-    """The k best (query_id, vec_id, score) of one block for each query."""
-    edges, packed = approximate(vectors)
-    lower, upper = bounds(queries, edges, packed)
-    slack = 1e-6 * (1 + np.abs(upper).max(initial=0) * 1e-6)
-    # An entry may hold only the query's own row, so k + 1 entries surely hold k candidates.
-    n = min(k + 1, len(vectors))
-    surely = np.partition(lower, len(vectors) - n, axis=1)[:, len(vectors) - n] - slack if len(vectors) > n else np.full(len(queries), -np.inf)
-    out = []
-    for q, (query, query_id) in enumerate(zip(queries, query_ids)):
-        maybe = np.flatnonzero(upper[q] >= surely[q])
-        maybe = maybe[np.argsort(-upper[q, maybe], kind="stable")]
-        best: list[tuple[int, int]] = []
-        step = 4 * (k + 1)
-        for at in range(0, len(maybe), step):
-            if len(best) >= k and best[k - 1][0] < -(upper[q, maybe[at]] + slack):
-                break  # the k-th result is certain, ties included
-            part = maybe[at : at + step]
-            scores = vectors[part] @ query
-            best += [(-int(s), int(i)) for e, s in zip(part, scores) for i in ids[e] if i != query_id]
-            best = sorted(best)[:k]
-        out += [(int(query_id), i, -s) for s, i in best]
-    return out
+def scan(queries: np.ndarray, query_ids: np.ndarray, edges: np.ndarray, packed: np.ndarray, ids: np.ndarray, sole: np.ndarray, k: int) -> list[np.ndarray]:
+    """Query number, entry, lower and upper bound of all entries that can be among a query's k best of this block.
+
+    ids holds each entry's first id and sole whether that is its only one: an entry of the query's own row alone is left out.
+    """
+    parts = []
+    for at in range(0, len(queries), CHUNK):
+        lower, upper = bounds(queries[at : at + CHUNK], edges, packed)
+        slack = 1e-6 + 1e-12 * np.maximum(np.abs(upper), np.abs(lower))
+        lower, upper = lower - slack, upper + slack
+        own = (query_ids[at : at + CHUNK, None] == ids[None, :]) & sole[None, :]
+        lower[own] = upper[own] = -np.inf
+        surely = np.partition(lower, len(packed) - k, axis=1)[:, len(packed) - k] if len(packed) > k else np.full(len(lower), -np.inf)
+        q, e = np.nonzero((upper >= surely[:, None]) & ~own)
+        parts.append((q + at, e, lower[q, e], upper[q, e]))
+    return [np.concatenate(x) for x in zip(*parts)]
+
+
+def approximation_file(entries: DataFrame) -> DataFrame:
+    """One row per block of entries(vb, dim, pos, v, ids): edges, packed cells by pos, first ids, and which entries have one id only."""
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        edges, packed = approximate(np.stack(pdf["v"].to_numpy()).astype(np.int64))
+        ids, sole = pdf["id"].to_numpy(np.int64), pdf["sole"].to_numpy(bool)
+        row = (pdf["vb"].iloc[0], pdf["dim"].iloc[0], edges.tobytes(), packed.tobytes(), ids.tobytes(), sole.tobytes())
+        return pd.DataFrame([row], columns=["vb", "dim", "edges", "cells", "ids", "sole"])
+
+    rows = entries.select("vb", "dim", "pos", "v", F.col("ids")[0].alias("id"), (F.size("ids") == 1).alias("sole"))
+    return rows.groupBy("vb", "dim").applyInPandas(build, APPROXIMATION)
+
+
+def query_blocks(asked: DataFrame, n_blocks: int) -> DataFrame:
+    """One row per block of queries(vec_id, v) of one length."""
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        vectors = np.stack(pdf["v"].to_numpy()).astype(np.int64)
+        row = (pdf["qb"].iloc[0], pdf["dim"].iloc[0], pdf["vec_id"].to_numpy(np.int64).tobytes(), vectors.tobytes())
+        return pd.DataFrame([row], columns=["qb", "dim", "ids", "vectors"])
+
+    dealt = asked.withColumns({"qb": F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"), "dim": F.size("v")})
+    return dealt.groupBy("qb", "dim").applyInPandas(build, QUERIES)
+
+
+def scan_blocks(asked: DataFrame, approximation: DataFrame, n_queries: int, n_vectors: int, k: int) -> DataFrame:
+    """Bounds of what can be among a query's k best of each block; the stated queries against all blocks."""
+
+    def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        columns = [c.split()[0] for c in BOUNDS.split(", ")]
+        if len(left) == 0 or len(right) == 0:
+            return pd.DataFrame(columns=columns)
+        q, v = left.iloc[0], right.iloc[0]
+        dim, ids = int(v["dim"]), np.frombuffer(q["ids"], np.int64)
+        own, sole = np.frombuffer(v["ids"], np.int64), np.frombuffer(v["sole"], bool)
+        edges = np.frombuffer(v["edges"], np.float64).reshape(LEVELS + 1, dim)
+        packed = np.frombuffer(v["cells"], np.uint8).reshape(len(sole), (dim + 1) // 2)
+        which, pos, low, high = scan(np.frombuffer(q["vectors"], np.int64).reshape(len(ids), dim), ids, edges, packed, own, sole, k)
+        return pd.DataFrame({"query_id": ids[which], "vb": v["vb"], "dim": dim, "pos": pos, "low": low, "high": high})
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = query_blocks(asked, n_queries).withColumn("vb", every(n_vectors))
+    right = approximation.withColumn("qb", every(n_queries))
+    key = ["qb", "vb", "dim"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(pair, BOUNDS)
+
+
+def exact_scores(wanted: DataFrame, asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """query_id, vec_id and score of wanted(query_id, vb, dim, pos), the query's own id left out."""
+    product = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
+    found = wanted.select("query_id", "vb", "dim", "pos").join(entries, ["vb", "dim", "pos"])
+    scored = found.join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    rows = scored.select("query_id", product.alias("score"), "ids").select("query_id", F.explode("ids").alias("vec_id"), "score")
+    return rows.filter("vec_id <> query_id")
 
 
 def topk(df: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, block: int = BLOCK) -> DataFrame:
@@ -102,34 +164,23 @@ def topk(df: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vec_col:
     Components must be below 2**26 in size, so that scores fit a long. An empty table gives no rows.
     """
     vectors = integer_vectors(df, id_col, vec_col).dropDuplicates()
-    asked = integer_vectors(queries, id_col, vec_col).groupBy("vec_id").agg(F.min("v").alias("v"))
-    entries = smallest_ids(vectors, k)
-    n_vectors, n_asked = df.count(), queries.count()
-    v_blocks, q_blocks = parts_for(n_vectors, block), parts_for(n_asked, QUERY_BLOCK)
-    every_v, every_q = F.sequence(F.lit(0), F.lit(v_blocks - 1)), F.sequence(F.lit(0), F.lit(q_blocks - 1))
-    # A stated query set against all rows, block by block.
-    left = asked.select(
-        F.col("vec_id"), "v", F.lit(None).cast("array<long>").alias("ids"), F.explode(every_v).alias("_vb"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int").alias("_qb"), F.size("v").alias("_dim"),
-    )
-    right = entries.select(
-        F.lit(None).cast("long").alias("vec_id"), "v", "ids", F.pmod(F.xxhash64("v"), F.lit(v_blocks)).cast("int").alias("_vb"), F.explode(every_q).alias("_qb"), F.size("v").alias("_dim")
-    )
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        is_query = pdf["vec_id"].notna()
-        q, v = pdf[is_query], pdf[~is_query]
-        if len(q) == 0 or len(v) == 0 or pdf["_dim"].iloc[0] == 0:
-            none = [(int(i), int(j), 0) for i in q["vec_id"] for e in v["ids"] for j in e if j != i]  # vectors without components
-            out = pd.DataFrame(none, columns=["query_id", "vec_id", "score"])
-        else:
-            found = search_block(np.stack(q["v"].to_numpy()).astype(np.int64), q["vec_id"].to_numpy(np.int64), np.stack(v["v"].to_numpy()).astype(np.int64), list(v["ids"]), k)
-            out = pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-        return out.astype("int64")
-
-    found = left.unionByName(right).groupBy("_qb", "_vb", "_dim").applyInPandas(search, "query_id long, vec_id long, score long")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    asked = written(integer_vectors(queries, id_col, vec_col).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    n_vectors, n_queries = parts_for(df.count(), block), parts_for(asked.count(), QUERY_BLOCK)
+    dealt = smallest_ids(vectors, k).withColumns({"vb": F.pmod(F.xxhash64("v"), F.lit(n_vectors)).cast("int"), "dim": F.size("v")})
+    entries = written(dealt.withColumn("pos", F.row_number().over(W.partitionBy("vb", "dim").orderBy("v")) - 1), "vectors")
+    approximation = written(approximation_file(entries), "approximation")
+    listed = written(scan_blocks(asked, approximation, n_queries, n_vectors, k), "bounds")
+
+    per = W.partitionBy("query_id")
+    kth = listed.withColumn("_n", F.row_number().over(per.orderBy(F.desc("low")))).filter(F.col("_n") == k).select("query_id", F.col("low").alias("_least"))
+    passed = listed.join(kth, "query_id", "left").filter("_least IS NULL OR high >= _least")
+    passed = written(passed.withColumn("_n", F.row_number().over(per.orderBy(F.desc("high"), "vb", "pos"))).drop("_least", "low"), "passed")
+    # In bound order: the first k entries, then all that can still be better than their k-th score or tie with it.
+    first = written(exact_scores(passed.filter(F.col("_n") <= k), asked, entries), "scores")
+    certain = first.withColumn("_r", F.row_number().over(per.orderBy(F.desc("score"), "vec_id"))).filter(F.col("_r") == k).select("query_id", F.col("score").alias("_kth"))
+    more = passed.filter(F.col("_n") > k).join(certain, "query_id", "left").filter("_kth IS NULL OR high >= _kth")
+    scores = first.unionByName(exact_scores(more, asked, entries)).dropDuplicates()
+    ranked = scores.withColumn("rank", F.row_number().over(per.orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -108,3 +108,18 @@ def test_bounds_hold():
     v, q = rng.integers(-300, 300, (200, 7)), rng.integers(-300, 300, (20, 7))
     low, high = vafile.bounds(q, *vafile.approximate(v))
     assert (low <= q @ v.T).all() and (q @ v.T <= high).all()
+
+
+def test_query_ids_of_several_vectors_and_negative_ids(spark):
+    rng = random.Random(4)
+    data = [(i // 4, [rng.gauss(0, 1) for _ in range(5)]) for i in range(400)] + [(-i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(1, 60)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    asked = {i for i, _ in data if i % 10 == 0}
+    got = sorted(map(tuple, vafile.topk(df, df.filter("vec_id % 10 = 0"), block=64).collect()))
+    assert got == brute(data, asked)
+
+
+def test_vectors_without_components(spark):
+    df = spark.createDataFrame([(i, []) for i in range(9)] + [(20, [1.0])], "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, vafile.topk(df, df.filter("vec_id = 3")).collect()))
+    assert got == [(3, r + 1, i, 0) for r, i in enumerate([0, 1, 2, 4, 5])]
