@@ -1,15 +1,15 @@
 """Exact top-k inner products by a vector-approximation file.
 
 Every component x is the integer floor(256 * x). The approximation of a vector holds,
-per component, a cell of a 16-level grid, in half a byte. Queries scan the
-approximations: a cell's two edges bound each product, so each (query, vector) pair gets
+per component, a cell of a 256-level grid of the block's quantiles, in a byte. Queries scan
+the approximations: a cell's smallest and largest integer bound each product, so each (query, vector) pair gets
 a lower and an upper bound of its score. Exact vectors are then read in order of falling
 upper bound (rising lower bound of the distance) until the k-th result is certain.
 
 Steps, each a Spark job over written tables:
 
 1. Distinct vectors are dealt into blocks by hash and numbered there. Each block's edges and
-   packed cells become one row of the approximation file, built once. Copies of one vector are
+   cells become one row of the approximation file, built once. Copies of one vector are
    one entry with its k + 1 smallest ids (more can't be in a result), so copies cost nothing.
 2. Query blocks scan approximation blocks, a task for each pair; no exact vector takes part.
    Entries that can be among the k best of their block are listed with their bounds.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from locus.llm.common import parts_for, written
 
-K, LEVELS, BLOCK, QUERY_BLOCK, SALTS = 5, 16, 8192, 4096, 32
+K, LEVELS, BLOCK, QUERY_BLOCK, SALTS = 5, 256, 8192, 4096, 32
 #: Queries whose bounds are held at once in a task.
 CHUNK = 128
 APPROXIMATION = "vb int, dim int, edges binary, cells binary, ids binary, sole binary"
@@ -52,59 +52,51 @@ def smallest_ids(vectors: DataFrame, k: int) -> DataFrame:
     return few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
-def grid(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cell edges (LEVELS + 1 per component, the outer ones exact) and the cell of each component."""
-    if vectors.shape[1] == 0:
+def approximate(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The approximation of a block: cell edges (LEVELS + 1 per component; a cell is [edge, next edge)) and each component's cell."""
+    dims = vectors.shape[1]
+    if dims == 0:
         return np.zeros((LEVELS + 1, 0)), np.zeros((len(vectors), 0), np.uint8)
-    at = np.linspace(0, 1, LEVELS + 1)
-    edges = np.quantile(vectors, at, axis=0, method="nearest")
-    cells = np.stack([np.searchsorted(edges[1:-1, j], vectors[:, j], side="right") for j in range(vectors.shape[1])], axis=1)
-    return edges.astype(np.float64), cells.astype(np.uint8)
+    edges = np.quantile(vectors, np.linspace(0, 1, LEVELS + 1), axis=0, method="nearest").astype(np.float64)
+    edges[-1] += 1
+    cells = np.stack([np.searchsorted(edges[1:-1, j], vectors[:, j], side="right") for j in range(dims)], axis=1)
+    return edges, cells.astype(np.uint8)
 
 
-def approximate(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The approximation file of a block: edges, and cells packed two to a byte."""
-    edges, cells = grid(vectors)
-    if cells.shape[1] % 2:
-        cells = np.concatenate([cells, np.zeros((len(cells), 1), np.uint8)], axis=1)
-    return edges, (cells[:, ::2] << 4) | cells[:, 1::2]
-
-
-def bounds(queries: np.ndarray, edges: np.ndarray, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of all inner products, from packed cells and edges only."""
-    dims = edges.shape[1]
-    cells = np.stack([packed >> 4, packed & 15], axis=2).reshape(len(packed), -1)[:, :dims]
-    low, high = edges[cells, np.arange(dims)], edges[cells + 1, np.arange(dims)]
+def bounds(queries: np.ndarray, edges: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of all inner products, from cells and edges only; components are integers."""
+    dims = np.arange(edges.shape[1])
+    low, high = edges[cells, dims], edges[cells.astype(np.int64) + 1, dims] - 1
     up, down = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
     return up @ low.T + down @ high.T, up @ high.T + down @ low.T
 
 
-def scan(queries: np.ndarray, query_ids: np.ndarray, edges: np.ndarray, packed: np.ndarray, ids: np.ndarray, sole: np.ndarray, k: int) -> list[np.ndarray]:
+def scan(queries: np.ndarray, query_ids: np.ndarray, edges: np.ndarray, cells: np.ndarray, ids: np.ndarray, sole: np.ndarray, k: int) -> list[np.ndarray]:
     """Query number, entry, lower and upper bound of all entries that can be among a query's k best of this block.
 
     ids holds each entry's first id and sole whether that is its only one: an entry of the query's own row alone is left out.
     """
     parts = []
     for at in range(0, len(queries), CHUNK):
-        lower, upper = bounds(queries[at : at + CHUNK], edges, packed)
+        lower, upper = bounds(queries[at : at + CHUNK], edges, cells)
         slack = 1e-6 + 1e-12 * np.maximum(np.abs(upper), np.abs(lower))
         lower, upper = lower - slack, upper + slack
         own = (query_ids[at : at + CHUNK, None] == ids[None, :]) & sole[None, :]
         lower[own] = upper[own] = -np.inf
-        surely = np.partition(lower, len(packed) - k, axis=1)[:, len(packed) - k] if len(packed) > k else np.full(len(lower), -np.inf)
+        surely = np.partition(lower, len(cells) - k, axis=1)[:, len(cells) - k] if len(cells) > k else np.full(len(lower), -np.inf)
         q, e = np.nonzero((upper >= surely[:, None]) & ~own)
         parts.append((q + at, e, lower[q, e], upper[q, e]))
     return [np.concatenate(x) for x in zip(*parts)]
 
 
 def approximation_file(entries: DataFrame) -> DataFrame:
-    """One row per block of entries(vb, dim, pos, v, ids): edges, packed cells by pos, first ids, and which entries have one id only."""
+    """One row per block of entries(vb, dim, pos, v, ids): edges, cells by pos, first ids, and which entries have one id only."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        edges, packed = approximate(np.stack(pdf["v"].to_numpy()).astype(np.int64))
+        edges, cells = approximate(np.stack(pdf["v"].to_numpy()).astype(np.int64))
         ids, sole = pdf["id"].to_numpy(np.int64), pdf["sole"].to_numpy(bool)
-        row = (pdf["vb"].iloc[0], pdf["dim"].iloc[0], edges.tobytes(), packed.tobytes(), ids.tobytes(), sole.tobytes())
+        row = (pdf["vb"].iloc[0], pdf["dim"].iloc[0], edges.tobytes(), cells.tobytes(), ids.tobytes(), sole.tobytes())
         return pd.DataFrame([row], columns=["vb", "dim", "edges", "cells", "ids", "sole"])
 
     rows = entries.select("vb", "dim", "pos", "v", F.col("ids")[0].alias("id"), (F.size("ids") == 1).alias("sole"))
@@ -134,8 +126,8 @@ def scan_blocks(asked: DataFrame, approximation: DataFrame, n_queries: int, n_ve
         dim, ids = int(v["dim"]), np.frombuffer(q["ids"], np.int64)
         own, sole = np.frombuffer(v["ids"], np.int64), np.frombuffer(v["sole"], bool)
         edges = np.frombuffer(v["edges"], np.float64).reshape(LEVELS + 1, dim)
-        packed = np.frombuffer(v["cells"], np.uint8).reshape(len(sole), (dim + 1) // 2)
-        which, pos, low, high = scan(np.frombuffer(q["vectors"], np.int64).reshape(len(ids), dim), ids, edges, packed, own, sole, k)
+        cells = np.frombuffer(v["cells"], np.uint8).reshape(len(sole), dim)
+        which, pos, low, high = scan(np.frombuffer(q["vectors"], np.int64).reshape(len(ids), dim), ids, edges, cells, own, sole, k)
         return pd.DataFrame({"query_id": ids[which], "vb": v["vb"], "dim": dim, "pos": pos, "low": low, "high": high})
 
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
