@@ -42,7 +42,7 @@ def extract_windows(windows: DataFrame, tiles: DataFrame, key: str, tile: int =
     )
     seq = F.substring(F.col("_s"), (F.col("_from") - F.col("_first") * tile + 1).cast("int"), (F.col("_to") - F.col("_from")).cast("int"))
     contigs = tiles.select("chrom").distinct().withColumn("_known", F.lit(True))
-    out = windows.join(whole.select(key, seq.alias("seq")), key, "left").join(F.broadcast(contigs), "chrom", "left")
+    out = windows.join(whole.select(key, seq.alias("seq")), key, "left").join(contigs, "chrom", "left")
     return out.withColumn("seq", F.when(F.col("_known"), F.coalesce("seq", F.lit("")))).drop("_known")
 
 

@@ -58,15 +58,28 @@ def distinct_variants(variants: DataFrame) -> DataFrame:
     return variants.groupBy("rs_id", "chrom", "pos").agg(F.min("functional_class").alias("functional_class"))
 
 
-def merge_loci(intervals: DataFrame) -> DataFrame:
-    """Merges overlapping or touching (rs_id, chrom, start, end); name holds the first five ids, score the count."""
-    order = W.partitionBy("chrom").orderBy("start", "end", "rs_id")
-    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    opened = intervals.withColumn("_new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
-    island = opened.withColumn("_island", F.sum("_new").over(order))
-    merged = island.groupBy("chrom", "_island").agg(
+def merge_loci(intervals: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
+    """Merges overlapping or touching (rs_id, chrom, start, end); name holds the first five ids, score the count.
+
+    Starts are cut into buckets. What reaches in from earlier buckets, and how many islands
+    began there, comes from windows over one row per bucket, so no chromosome is one task; of
+    an island at most five ids per bucket are held.
+    """
+    rows = intervals.withColumn("_b", F.floor(F.col("start") / bucket).cast("long"))
+    before = W.partitionBy("chrom").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    reaches = rows.groupBy("chrom", "_b").agg(F.max("end").alias("_max")).select("chrom", "_b", F.max("_max").over(before).alias("_carry"))
+    order = W.partitionBy("chrom", "_b").orderBy("start", "end", "rs_id")
+    reach = F.greatest("_carry", F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)))
+    opened = rows.join(reaches, ["chrom", "_b"]).withColumn("_reach", reach)
+    opened = opened.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach")), 1).otherwise(0))
+    begun = opened.groupBy("chrom", "_b").agg(F.sum("_new").alias("_n")).select("chrom", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    island = opened.withColumn("_in", F.sum("_new").over(order)).join(begun, ["chrom", "_b"]).withColumn("_island", F.col("_base") + F.col("_in"))
+    key = ["chrom", "_island"]
+    nth = F.row_number().over(W.partitionBy(*key, "_b").orderBy("start", "end", "rs_id"))
+    first = F.when(F.col("_nth") <= 5, F.struct("start", "end", "rs_id"))
+    merged = island.withColumn("_nth", nth).groupBy(*key).agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("score"),
-        F.transform(F.slice(F.array_sort(F.collect_list(F.struct("start", "end", "rs_id"))), 1, 5), lambda x: x["rs_id"]).alias("_ids"),
+        F.transform(F.slice(F.array_sort(F.collect_list(first)), 1, 5), lambda x: x["rs_id"]).alias("_ids"),
     )
     name = F.concat(F.array_join("_ids", ","), F.when(F.col("score") > 5, "...").otherwise(""))
     return merged.select("chrom", "start", "end", name.alias("name"), "score")
@@ -124,15 +137,23 @@ def collapse_redundant_windows(windows: DataFrame, separation: int = SEPARATION)
 
 
 def drop_shared_windows(windows: DataFrame, separation: int = SEPARATION) -> DataFrame:
-    """Drops windows nearer than `separation` to one of another cell type on the same chromosome."""
+    """Drops windows nearer than `separation` to one of another cell type on the same chromosome.
+
+    Each start keeps its least and greatest cell type; a range frame over the starts of a bucket,
+    and those near its edges, tells whether two types meet. No pairs are made.
+    """
     if separation < 1:
         return windows
-    bucket = F.floor(F.col("win_start") / separation).cast("long")
-    mine = windows.withColumn("_b", bucket)
-    near = windows.select(F.col("chrom"), F.col("cell_type").alias("_ct"), F.col("win_start").alias("_ws")).distinct()
-    near = near.withColumn("_b", F.explode(F.array(*[F.floor(F.col("_ws") / separation).cast("long") + i for i in (-1, 0, 1)])))
-    other = (mine["chrom"] == near["chrom"]) & (mine["_b"] == near["_b"]) & (F.col("cell_type") != F.col("_ct")) & (F.abs(F.col("win_start") - F.col("_ws")) < separation)
-    return mine.join(near, other, "left_anti").drop("_b")
+    width = max(BUCKET, separation)
+    at = lambda c: F.floor(c / width).cast("long")
+    here = F.col("win_start")
+    starts = windows.groupBy("chrom", "win_start").agg(F.min("cell_type").alias("_low"), F.max("cell_type").alias("_high"))
+    dealt = starts.withColumn("_b", F.explode(F.array_distinct(F.array(at(here - separation), at(here), at(here + separation)))))
+    near = W.partitionBy("chrom", "_b").orderBy("win_start").rangeBetween(1 - separation, separation - 1)
+    met = dealt.withColumn("_two", F.min("_low").over(near) != F.max("_high").over(near)).filter((F.col("_b") == at(here)) & F.col("_two"))
+    shared = met.select("chrom", "win_start", F.lit(True).alias("_shared"))
+    marked = windows.join(shared, ["chrom", "win_start"], "left").filter("_shared IS NULL OR cell_type IS NULL")
+    return marked.select(windows.columns)
 
 
 def top_n_per_type(windows: DataFrame, n: int) -> DataFrame:

@@ -6,28 +6,53 @@ buckets at approximate quantiles, numbered inside them, and offset by the bucket
 
 from __future__ import annotations
 
+import math
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locus.functions.rand import shuffle_key, uniform
 
-BUCKETS = 64
+#: Rows per bucket that numbering aims at, and the least and most buckets.
+BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 250_000, 64, 1024
+
+
+def text_code(df: DataFrame, column: str) -> Column:
+    """A number that rises with a string (its six bytes behind what all values start with) or is the number itself."""
+    if df.schema[column].dataType.typeName() != "string":
+        return F.col(column).cast("double")
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    shared = len(os.path.commonprefix([low or "", high or ""]))
+    digits = F.rpad(F.substring(F.hex(F.substring(F.col(column), shared + 1, 6)), 1, 12), 12, "0")
+    return F.conv(digits, 16, 10).cast("double")
 
 
-def numbered(df: DataFrame, code: Column, order: list[Column], name: str = "row") -> DataFrame:
-    """Adds `name` (from 0, in the given order) and total; `code` is a number that rises with the order."""
-    at = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
-    cuts = df.agg(F.percentile_approx(code.cast("double"), at, F.lit(10_000))).first()[0] or []
-    bucket = F.lit(0)
-    for cut in sorted(set(cuts)):
-        bucket = bucket + (code > F.lit(cut)).cast("int")
-    rows = df.withColumn("_bucket", F.coalesce(bucket, F.lit(0)))
-    counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.select("_bucket", (F.sum("_n").over(W.orderBy("_bucket")) - F.col("_n")).alias("_start"), F.sum("_n").over(W.partitionBy()).alias("total"))
-    inside = F.row_number().over(W.partitionBy("_bucket").orderBy(*order)) - 1
-    out = rows.withColumn("_in", inside).join(F.broadcast(starts), "_bucket")  # at most BUCKETS rows
-    return out.withColumn(name, F.col("_start") + F.col("_in")).drop("_bucket", "_in", "_start")
+def numbered(df: DataFrame, code: Column, order: list[Column], name: str = "row", bucket: str | None = None) -> DataFrame:
+    """Adds `name` (from 0, in the given order) and total; `code` is a number that rises with the order.
+
+    The number of buckets grows with the rows. With `bucket`, that column tells a row's bucket, which rises with the order.
+    """
+    at = F.lit([i / MOST_BUCKETS for i in range(1, MOST_BUCKETS)])
+    n, cuts = df.agg(F.count(F.lit(1)), F.percentile_approx(code.cast("double"), at, F.lit(10_000))).first()
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-n // BUCKET_ROWS)))
+    cuts = sorted(set((cuts or [])[MOST_BUCKETS // buckets - 1 :: MOST_BUCKETS // buckets]))
+    size = max(1, math.isqrt(len(cuts)))
+    groups = [cuts[i : i + size] for i in range(0, len(cuts), size)]
+    below = lambda values: F.size(F.filter(values, lambda c: c < code.cast("double")))
+    place = F.lit(0)
+    if groups:
+        # Two steps: groups of cuts that begin below the code, then the cuts of the last such group.
+        group = below(F.lit([g[0] for g in groups]))
+        place = F.when(group > 0, (group - 1) * size + below(F.get(F.array(*[F.lit(g) for g in groups]), group - 1))).otherwise(0)
+    mark = bucket or "_bucket"
+    rows = df.withColumn(mark, F.when(code.isNull(), 0).otherwise(place))
+    counts = rows.groupBy(mark).agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select(mark, (F.sum("_n").over(W.orderBy(mark)) - F.col("_n")).alias("_start"), F.sum("_n").over(W.partitionBy()).alias("total"))
+    inside = F.row_number().over(W.partitionBy(mark).orderBy(*order)) - 1
+    out = rows.withColumn("_in", inside).join(F.broadcast(starts), mark)  # at most MOST_BUCKETS rows
+    return out.withColumn(name, F.col("_start") + F.col("_in")).drop("_in", "_start", *([] if bucket else [mark]))
 
 
 def select_top_k(scores: DataFrame, metadata: DataFrame, k: int, partition_by: list[str] | None = None, validate: bool = True) -> DataFrame:
@@ -129,8 +154,8 @@ def place_inserts(loci: DataFrame, variants: DataFrame, hosts: DataFrame) -> Dat
 
     The list of variants is short by design; loci without a host are left out.
     """
-    order = W.orderBy("peak_id")
-    placed = loci.withColumn("_i", F.row_number().over(order) - 1).join(hosts.select("peak_id"), "peak_id", "left_semi")
+    rows = numbered(loci, text_code(loci, "peak_id"), [F.col("peak_id")], "_i").drop("total")
+    placed = rows.join(hosts.select("peak_id"), "peak_id", "left_semi")
     return placed.crossJoin(F.broadcast(variants)).withColumn("seq_id", F.concat(F.lit("L"), F.format_string("%02d", F.col("_i")), F.lit("_"), F.col("variant"))).drop("_i")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locus.functions.rand import shuffle_key
+from locus.operators.ranking import numbered
 
 
 def permutation_test(long: DataFrame, n: int, seed: int) -> DataFrame:
@@ -32,10 +33,17 @@ def permutation_test(long: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 def bh_fdr(tests: DataFrame, key: str = "statistic") -> DataFrame:
-    """Adds q: p * m / rank, made monotone from the largest p down, at most 1. Tests are few, one row each."""
-    ranked = tests.withColumns({"_rank": F.row_number().over(W.orderBy("p", key)), "_m": F.count(F.lit(1)).over(W.partitionBy())})
-    q = F.min(F.col("p") * F.col("_m") / F.col("_rank")).over(W.orderBy(F.desc("_rank")))
-    return ranked.withColumn("q", F.least(F.lit(1.0), q)).drop("_rank", "_m")
+    """Adds q: p * m / rank, made monotone from the largest p down, at most 1.
+
+    Ranks and the least value behind a row come from buckets of p and a table of one row per bucket.
+    """
+    ranked = numbered(tests, F.col("p"), [F.col("p"), F.col(key)], "_rank", bucket="_b")
+    ranked = ranked.withColumn("_v", F.col("p") * F.col("total") / (F.col("_rank") + 1))
+    later = W.orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
+    carried = ranked.groupBy("_b").agg(F.min("_v").alias("_min")).select("_b", F.min("_min").over(later).alias("_later"))
+    inside = F.min("_v").over(W.partitionBy("_b").orderBy(F.desc("_rank")))
+    out = ranked.withColumn("_in", inside).join(F.broadcast(carried), "_b")  # one row per bucket
+    return out.withColumn("q", F.least(F.lit(1.0), "_in", "_later")).drop("_rank", "_b", "_v", "_in", "_later", "total")
 
 
 def test_floor(tests: DataFrame, n: int, alpha: float = 0.05) -> DataFrame:

@@ -115,7 +115,8 @@ def write_bed(s, d):
 def write_report(s, d):
     path = folder(s, "out")
     sinks.write_report(qs.scores(s, d).select("seq_id", "mssi_score"), path)
-    return rounded(s.read.schema("n long, mean_mssi double").json(f"{path}/summary"))
+    summary = s.read.schema("n long, mean_mssi double").json(f"{path}/summary")
+    return files.read_report(s, path).crossJoin(F.broadcast(rounded(summary)))  # one row
 
 
 def dataset(s, d):
@@ -236,7 +237,7 @@ def oracle_sql():
         "read_window_metadata": f"""{peaks} SELECT 'p' || peak_id AS peak_id, chrom, start, "end", cell_type, peak_score, fold_enrichment, gsm AS source_gsm FROM peaks""",
         "write_bed": f"""{peaks} SELECT chrom, start, "end", 'p' || peak_id AS name, peak_score FROM peaks""",
         "write_fasta": f"WITH {st.sequences_sql()} SELECT seq_id, seq FROM sequences",
-        "write_report": f"WITH {qs.SCORES} SELECT count(*) AS n, round(avg(mssi_score), 6) AS mean_mssi FROM scores",
+        "write_report": f"WITH {qs.SCORES} SELECT seq_id, mssi_score, count(*) OVER () AS n, round(avg(mssi_score) OVER (), 6) AS mean_mssi FROM scores",
         "write_dataset": f"""WITH {qm.GENOME}, {data_w}, s AS (SELECT avg(doc_id) AS a, stddev_pop(doc_id) AS sa, avg(doc_id % 7) AS b, stddev_pop(doc_id % 7) AS sb FROM ok)
           SELECT peak_id, seq, [{', '.join(f"(chrom = '{t}')::INTEGER::DOUBLE" for t in qq.TYPES)}, round((doc_id - a) / sa, 6), round((doc_id % 7 - b) / sb, 6)] AS condition, {4 * L} AS n_tensor, chrom AS cell_type FROM ok, s""",
         "align_metadata": f"WITH {st.sequences_sql()} SELECT seq_id AS peak_id, seq, quality FROM sequences s JOIN labels l ON s.doc_id = l.doc_id",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The ten columns of the narrowPeak layout, and the renamed columns of the other format.
@@ -113,6 +114,31 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return out.groupBy("seq_id").agg(F.max("seq").alias("seq"))
 
 
+def read_genome(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """A genome's FASTA files as (chrom, line_no, seq), one row per line, for tile_genome.
+
+    A line belongs to the last header before it: found within a file's block, else carried from
+    the blocks before it, so a large file is read by many tasks. line_no rises along a contig,
+    with gaps. Text before a file's first header is left out.
+    """
+    text = spark.read.text(paths).select(F.rtrim("value").alias("seq"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_i"))
+    block = W.partitionBy("_f", "_s").orderBy("_i")
+    head = F.when(F.startswith("seq", F.lit(">")), F.regexp_extract("seq", r"^>\s*(\S*)", 1))
+    # A line takes at least a byte, so block start and number within the block order all lines of a file.
+    rows = text.withColumns({"_head": head, "line_no": F.col("_s") + F.row_number().over(block)})
+    last = rows.groupBy("_f", "_s").agg(F.max_by("_head", F.when(F.col("_head").isNotNull(), F.col("_i"))).alias("_last"))
+    before = W.partitionBy("_f").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
+    carried = last.select("_f", "_s", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    named = rows.withColumn("_own", F.last("_head", ignorenulls=True).over(block)).join(carried, ["_f", "_s"])
+    out = named.filter("_head IS NULL").select(F.coalesce("_own", "_carry").alias("chrom"), "line_no", "seq")
+    return out.filter(F.col("chrom").isNotNull() & (F.length("seq") > 0))
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """The sequences of a report that write_report wrote."""
+    return spark.read.schema("seq_id string, mssi_score double").json(f"{path}/sequences")
+
+
 def read_score_report(spark: SparkSession, path: str, validate: bool = False) -> DataFrame:
     """seq_id and mssi_score of a JSON report with a map of sequences."""
     schema = "sequences map<string, struct<mssi_score: double, target_signal: array<double>, background_signal: array<double>, cell_type: string, target_tracks: array<int>>>"

@@ -306,3 +306,36 @@ def test_unmatched_ids_and_short_tables_are_errors(spark):
 def test_empty_lists_of_tracks_have_no_mean(spark):
     df = spark.createDataFrame([("a", [])], "seq_id string, attribution array<double>")
     assert sc.attribution_summary(df).first()["mean_abs"] is None
+
+
+def test_genome_files_give_lines_of_their_contigs(spark, tmp_path):
+    (tmp_path / "a.fa").write_bytes(b"junk\r\n>c1 first\r\nACGT\r\nAC\r\n>c2\tsecond\r\nTTTT\r\n")
+    (tmp_path / "b.fa").write_bytes(b"lost\n>c3\n" + b"".join(bytes([65 + i % 2 * 2] * 50) + b"\n" for i in range(200)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        tiles = gn.tile_genome(files.read_genome(spark, str(tmp_path)), 100).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = {}
+    for r in sorted(tiles, key=lambda r: (r["chrom"], r["tile"])):
+        got[r["chrom"]] = got.get(r["chrom"], "") + r["seq"]
+    assert got == {"c1": "ACGTAC", "c2": "TTTT", "c3": "".join("AC"[i % 2] * 50 for i in range(200))}
+
+
+def test_numbering_over_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(rk, "BUCKET_ROWS", 5)
+    rows = [(f"chr_{(i * 7919) % 3001:05d}", float((i * 31) % 97) if i % 50 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id string, x double")
+    by_text = rk.numbered(df, rk.text_code(df, "id"), [F.col("id")]).collect()
+    assert {r["id"]: r["row"] for r in by_text} == {k: n for n, k in enumerate(sorted(k for k, _ in rows))}
+    by_number = rk.numbered(df, F.col("x"), [F.col("x"), F.col("id")]).collect()
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    assert {r["id"]: r["row"] for r in by_number} == {k: n for n, (k, _) in enumerate(want)}
+
+
+def test_loci_merge_across_buckets(spark):
+    rows = [(f"r{i:03d}", "c", s, s + n) for i, (s, n) in enumerate([(0, 5), (5, 30), (12, 1), (36, 4), (80, 900), (200, 1), (500, 3), (979, 2), (981, 2), (990, 1)])]
+    df = spark.createDataFrame(rows, "rs_id string, chrom string, start long, `end` long")
+    for bucket in (10, 100_000):
+        got = sorted((r["start"], r["end"], r["name"], r["score"]) for r in iv.merge_loci(df, bucket=bucket).collect())
+        assert got == [(0, 35, "r000,r001,r002", 3), (36, 40, "r003", 1), (80, 983, "r004,r005,r006,r007,r008", 5), (990, 991, "r009", 1)]
