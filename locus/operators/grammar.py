@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 CENTRE = "(start + `end`) div 2"
 
 
+def reused(df: DataFrame) -> DataFrame:
+    """df made once for several uses: a checkpoint where the session has a folder for them, else kept by Spark."""
+    folder = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir()
+    return df.checkpoint() if folder.isDefined() else df.persist()
+
+
 def homotypic_cluster(hits: DataFrame, window: int = 100) -> DataFrame:
     """Per sequence the most hits of one factor whose centres lie within `window`."""
     order = W.partitionBy("seq_id", "tf").orderBy("_c").rangeBetween(-window, 0)
@@ -48,13 +54,18 @@ def centre_distance(hits: DataFrame, sequences: DataFrame) -> DataFrame:
 
 
 def grammar_profile(hits: DataFrame, sequences: DataFrame, window: int = 100, distance: int = 100) -> DataFrame:
-    """One row per sequence, those without hits included: cluster, factors, pairs, centre_distance (null without hits), n_hits."""
+    """One row per sequence, those without hits included: cluster, factors, pairs, centre_distance (null without hits), n_hits.
+
+    The hits are found once and dealt by sequence once.
+    """
     if window < 1 or distance < 1:
         raise ValueError("distances must be at least 1")
-    n = hits.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n_hits"))
+    found = reused(hits.select("seq_id", "tf", "start", "end").repartition("seq_id"))
+    n = found.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n_hits"), F.countDistinct("tf").alias("factors"))
     out = sequences.select("seq_id")
-    for part in (homotypic_cluster(hits, window), distinct_factors(hits), heterotypic_pairs(hits, distance), centre_distance(hits, sequences), n):
+    for part in (homotypic_cluster(found, window), heterotypic_pairs(found, distance), centre_distance(found, sequences), n):
         out = out.join(part, "seq_id", "left")
+    out = out.select("seq_id", "cluster", "factors", "pairs", "centre_distance", "n_hits")
     return out.fillna(0, ["cluster", "factors", "pairs", "n_hits"])
 
 
