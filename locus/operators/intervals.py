@@ -113,20 +113,25 @@ def dedupe_best(windows: DataFrame) -> DataFrame:
     return windows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
-def collapse_redundant_windows(windows: DataFrame, separation: int = SEPARATION) -> DataFrame:
+def collapse_redundant_windows(windows: DataFrame, separation: int = SEPARATION, *, bucket: int = BUCKET) -> DataFrame:
     """Greedy suppression per (cell_type, chrom): by falling score, a window stays if it is at least
     `separation` from all that stayed. Below 1 nothing happens.
 
-    Windows split into islands at gaps of at least `separation`, which can't affect each other;
-    the greedy pass is a fold within each island. Expects one row per win_start.
+    Windows split into islands at gaps of at least `separation`, which can't affect each other,
+    found within buckets of positions and a table of one row per bucket; the greedy pass is a
+    fold within each island. Expects one row per win_start.
     """
     if separation < 1:
         return windows
     group = ["cell_type", "chrom"]
-    order = W.partitionBy(*group).orderBy("win_start")
-    gap = F.coalesce((F.col("win_start") - F.lag("win_start").over(order) >= separation).cast("int"), F.lit(1))
-    islands = windows.select(*group, "win_start", "peak_score", gap.alias("_gap"))
-    islands = islands.withColumn("_island", F.sum("_gap").over(order))
+    before = W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    order = W.partitionBy(*group, "_b").orderBy("win_start")
+    rows = windows.select(*group, "win_start", "peak_score", F.floor(F.col("win_start") / bucket).cast("long").alias("_b"))
+    carried = rows.groupBy(*group, "_b").agg(F.max("win_start").alias("_max")).select(*group, "_b", F.max("_max").over(before).alias("_carry"))
+    previous = F.coalesce(F.lag("win_start").over(order), F.col("_carry"))
+    gapped = rows.join(carried, [*group, "_b"]).withColumn("_gap", F.coalesce((F.col("win_start") - previous >= separation).cast("int"), F.lit(1)))
+    begun = gapped.groupBy(*group, "_b").agg(F.sum("_gap").alias("_n")).select(*group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    islands = gapped.withColumn("_in", F.sum("_gap").over(order)).join(begun, [*group, "_b"]).withColumn("_island", F.col("_base") + F.col("_in"))
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("peak_score")).alias("s"), F.col("win_start").alias("w"))))
     nothing = F.array().cast("array<bigint>")
     accepted = F.aggregate(

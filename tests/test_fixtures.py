@@ -339,3 +339,24 @@ def test_loci_merge_across_buckets(spark):
     for bucket in (10, 100_000):
         got = sorted((r["start"], r["end"], r["name"], r["score"]) for r in iv.merge_loci(df, bucket=bucket).collect())
         assert got == [(0, 35, "r000,r001,r002", 3), (36, 40, "r003", 1), (80, 983, "r004,r005,r006,r007,r008", 5), (990, 991, "r009", 1)]
+
+
+def test_greedy_suppression_is_the_same_for_all_buckets(spark):
+    rows = [(f"t{i % 2}", "c", (i * 7919) % 6007, float((i * 31) % 97)) for i in range(200)]
+    df = spark.createDataFrame(rows, "cell_type string, chrom string, win_start long, peak_score double")
+    want = set()
+    for t in ("t0", "t1"):
+        kept = []
+        for s, w in sorted((-r[3], r[2]) for r in rows if r[0] == t):
+            if all(abs(w - k) >= 50 for k in kept):
+                kept.append(w)
+        want |= {(t, w) for w in kept}
+    for bucket in (64, 100_000):
+        assert {(r["cell_type"], r["win_start"]) for r in iv.collapse_redundant_windows(df, 50, bucket=bucket).collect()} == want
+
+
+def test_shared_windows_are_dropped_on_both_sides_of_a_bucket_edge(spark):
+    rows = [("a", "c", 99_900), ("b", "c", 100_100), ("a", "c", 100_700), ("b", "c", 101_200), (None, "c", 99_950), ("a", "d", 5), ("a", "d", 6)]
+    df = spark.createDataFrame(rows, "cell_type string, chrom string, win_start long")
+    got = sorted(map(repr, map(tuple, iv.drop_shared_windows(df).collect())))
+    assert got == sorted(map(repr, [("a", "c", 100_700), ("b", "c", 101_200), (None, "c", 99_950), ("a", "d", 5), ("a", "d", 6)]))
