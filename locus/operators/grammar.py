@@ -6,13 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CENTRE = "(start + `end`) div 2"
-
+from locus.operators.shared import reused
 
-def reused(df: DataFrame) -> DataFrame:
-    """df made once for several uses: a checkpoint where the session has a folder for them, else kept by Spark."""
-    folder = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir()
-    return df.checkpoint() if folder.isDefined() else df.persist()
+CENTRE = "(start + `end`) div 2"
 
 
 def homotypic_cluster(hits: DataFrame, window: int = 100) -> DataFrame:

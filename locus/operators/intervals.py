@@ -5,12 +5,17 @@ Coordinates are 0-based and half-open. Every ranking has explicit tie-breakers.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from locus.operators.shared import reused
+from locus.operators.spacing import spaced
+
 #: Window length, least distance between windows, and coarse bucket of positions.
 WINDOW, SEPARATION, BUCKET = 1000, 500, 100_000
+#: Positions per bucket where peaks meet loci.
+LOCUS_BUCKET = 4096
 
 
 def assert_columns(df: DataFrame, needed: list[str]) -> None:
@@ -61,84 +66,72 @@ def distinct_variants(variants: DataFrame) -> DataFrame:
 def merge_loci(intervals: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
     """Merges overlapping or touching (rs_id, chrom, start, end); name holds the first five ids, score the count.
 
-    Starts are cut into buckets. What reaches in from earlier buckets, and how many islands
-    began there, comes from windows over one row per bucket, so no chromosome is one task; of
-    an island at most five ids per bucket are held.
+    Starts are cut into buckets, which one shuffle deals out. Each bucket merges its own
+    intervals first; what reaches in from earlier buckets, a window over one row per bucket,
+    then joins the merged ones, so no chromosome is one task and at most five ids are held of each.
     """
-    rows = intervals.withColumn("_b", F.floor(F.col("start") / bucket).cast("long"))
+    cut = ["chrom", "_b"]
+    rows = intervals.select("rs_id", "chrom", "start", "end", F.floor(F.col("start") / bucket).cast("long").alias("_b")).repartition(*cut)
+    order = W.partitionBy(*cut).orderBy("start", "end", "rs_id")
+    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("_new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
+    rows = rows.withColumn("_in", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    first = F.when(F.row_number().over(W.partitionBy(*cut, "_in").orderBy("start", "end", "rs_id")) <= 5, F.struct("start", "end", "rs_id"))
+    merged = lambda ids, score: [F.min("start").alias("start"), F.max("end").alias("end"), score.alias("score"), F.slice(F.array_sort(ids), 1, 5).alias("_ids")]
+    local = reused(rows.withColumn("_first", first).groupBy(*cut, "_in").agg(*merged(F.collect_list("_first"), F.count(F.lit(1)))))
     before = W.partitionBy("chrom").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    reaches = rows.groupBy("chrom", "_b").agg(F.max("end").alias("_max")).select("chrom", "_b", F.max("_max").over(before).alias("_carry"))
-    order = W.partitionBy("chrom", "_b").orderBy("start", "end", "rs_id")
-    reach = F.greatest("_carry", F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)))
-    opened = rows.join(reaches, ["chrom", "_b"]).withColumn("_reach", reach)
-    opened = opened.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach")), 1).otherwise(0))
-    begun = opened.groupBy("chrom", "_b").agg(F.sum("_new").alias("_n")).select("chrom", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    island = opened.withColumn("_in", F.sum("_new").over(order)).join(begun, ["chrom", "_b"]).withColumn("_island", F.col("_base") + F.col("_in"))
-    key = ["chrom", "_island"]
-    nth = F.row_number().over(W.partitionBy(*key, "_b").orderBy("start", "end", "rs_id"))
-    first = F.when(F.col("_nth") <= 5, F.struct("start", "end", "rs_id"))
-    merged = island.withColumn("_nth", nth).groupBy(*key).agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("score"),
-        F.transform(F.slice(F.array_sort(F.collect_list(first)), 1, 5), lambda x: x["rs_id"]).alias("_ids"),
-    )
-    name = F.concat(F.array_join("_ids", ","), F.when(F.col("score") > 5, "...").otherwise(""))
-    return merged.select("chrom", "start", "end", name.alias("name"), "score")
-
-
-def intersect_with_loci(peaks: DataFrame, loci: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
+    reaches = local.groupBy(*cut).agg(F.max("end").alias("_max")).select(*cut, F.max("_max").over(before).alias("_carry"))
+    opened = local.join(reaches, cut).withColumn("_new", F.when(F.col("_carry").isNull() | (F.col("start") > F.col("_carry")), 1).otherwise(0))
+    begun = opened.groupBy(*cut).agg(F.sum("_new").alias("_n")).select(*cut, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.sum("_new").over(W.partitionBy(*cut).orderBy("_in").rowsBetween(W.unboundedPreceding, 0))
+    islands = opened.withColumn("_at", inside).join(begun, cut).withColumn("_island", F.col("_base") + F.col("_at"))
+    # an island's five first ids lie in the first intervals it is made of, so at most five of them keep theirs
+    nth = F.row_number().over(W.partitionBy("chrom", "_island").orderBy("_b", "_in"))
+    islands = islands.withColumn("_ids", F.when(nth <= 5, F.col("_ids")))
+    whole = islands.groupBy("chrom", "_island").agg(*merged(F.flatten(F.collect_list("_ids")), F.sum("score")))
+    name = F.concat(F.array_join(F.transform("_ids", lambda x: x["rs_id"]), ","), F.when(F.col("score") > 5, "...").otherwise(""))
+    return whole.select("chrom", "start", "end", name.alias("name"), "score")
+
+
+def intersect_with_loci(peaks: DataFrame, loci: DataFrame, *, bucket: int = LOCUS_BUCKET) -> DataFrame:
     """Peaks whose summit lies in the locus of greatest start at or before it (an as-of semi join).
 
-    Positions are cut into buckets, so no chromosome is one task: within a bucket the last locus
-    start is found by a window, and the locus reaching in from earlier buckets by a window over
-    one row per bucket.
+    A locus answers for positions from its start to its end or the next locus's start; those
+    stretches are disjoint and cut into buckets of positions, so a peak meets the few pieces of
+    its bucket in an equi-join, which Spark broadcasts while the loci are few.
     """
-    columns = peaks.columns
-    at = lambda c: F.floor(F.col(c) / bucket).cast("long")
-    ends = loci.groupBy("chrom", "start").agg(F.max("end").alias("_end"))
-    ends = ends.select("chrom", F.col("start").alias("_pos"), F.struct(F.col("start").alias("s"), F.col("_end").alias("e")).alias("_locus"), at("start").alias("_bucket"))
-    rows = peaks.withColumn("_pos", F.col("summit")).withColumn("_bucket", at("summit"))
-    per = ends.groupBy("chrom", "_bucket").agg(F.max("_locus").alias("_last"))
-    every = rows.select("chrom", "_bucket").distinct().join(per, ["chrom", "_bucket"], "full")
-    before = F.last("_last", ignorenulls=True).over(W.partitionBy("chrom").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
-    carried = every.withColumn("_carry", before).select("chrom", "_bucket", "_carry")
-    both = rows.withColumn("_kind", F.lit(1)).unionByName(ends.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
-    latest = F.last("_locus", ignorenulls=True).over(W.partitionBy("chrom", "_bucket").orderBy("_pos", "_kind").rowsBetween(W.unboundedPreceding, 0))
-    found = both.withColumn("_at", latest).filter("_kind = 1").join(carried, ["chrom", "_bucket"], "left")
-    return found.filter(F.col("summit") < F.coalesce("_at", "_carry")["e"]).select(columns)
+    at = lambda c: F.floor(c / bucket).cast("long")
+    ends = loci.groupBy("chrom", "start").agg(F.max("end").alias("end")).withColumn("_b", at(F.col("start")))
+    later = W.partitionBy("chrom").orderBy("_b").rowsBetween(1, W.unboundedFollowing)
+    heads = ends.groupBy("chrom", "_b").agg(F.min("start").alias("_s")).select("chrom", "_b", F.min("_s").over(later).alias("_later"))
+    following = F.coalesce(F.lead("start").over(W.partitionBy("chrom", "_b").orderBy("start")), F.col("_later"))
+    stretch = ends.join(heads, ["chrom", "_b"]).select("chrom", F.col("start").alias("_from"), F.least("end", following).alias("_to")).filter("_from < _to")
+    pieces = stretch.withColumn("_b", F.explode(F.sequence(at(F.col("_from")), at(F.col("_to") - 1))))
+    held = (F.col("p.chrom") == F.col("l.chrom")) & (F.col("p._b") == F.col("l._b")) & (F.col("summit") >= F.col("_from")) & (F.col("summit") < F.col("_to"))
+    return peaks.withColumn("_b", at(F.col("summit"))).alias("p").join(pieces.alias("l"), held, "left_semi").drop("_b")
+
+
+def best_order() -> list[Column]:
+    """Of rows with one win_start the first in this order is the best."""
+    return [F.desc("peak_score"), F.col("gsm"), F.col("start"), F.col("end")]
 
 
 def dedupe_best(windows: DataFrame) -> DataFrame:
     """Of each (cell_type, chrom, win_start) the row of highest peak_score, then lowest gsm and start."""
-    order = W.partitionBy("cell_type", "chrom", "win_start").orderBy(F.desc("peak_score"), "gsm", "start", "end")
+    order = W.partitionBy("cell_type", "chrom", "win_start").orderBy(*best_order())
     return windows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
-def collapse_redundant_windows(windows: DataFrame, separation: int = SEPARATION, *, bucket: int = BUCKET) -> DataFrame:
-    """Greedy suppression per (cell_type, chrom): by falling score, a window stays if it is at least
-    `separation` from all that stayed. Below 1 nothing happens.
+def collapse_redundant_windows(windows: DataFrame, separation: int = SEPARATION, *, bucket: int = BUCKET, dedupe: bool = False) -> DataFrame:
+    """Greedy suppression per (cell_type, chrom): by falling score, then win_start, a window stays if it is
+    at least `separation` from all that stayed. Below 1 nothing happens.
 
-    Windows split into islands at gaps of at least `separation`, which can't affect each other,
-    found within buckets of positions and a table of one row per bucket; the greedy pass is a
-    fold within each island. Expects one row per win_start.
+    Done in parallel rounds over buckets of positions (see spacing). Expects one row per win_start;
+    with `dedupe` the rows that dedupe_best would drop are dropped in the same shuffle.
     """
     if separation < 1:
-        return windows
-    group = ["cell_type", "chrom"]
-    before = W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    order = W.partitionBy(*group, "_b").orderBy("win_start")
-    rows = windows.select(*group, "win_start", "peak_score", F.floor(F.col("win_start") / bucket).cast("long").alias("_b"))
-    carried = rows.groupBy(*group, "_b").agg(F.max("win_start").alias("_max")).select(*group, "_b", F.max("_max").over(before).alias("_carry"))
-    previous = F.coalesce(F.lag("win_start").over(order), F.col("_carry"))
-    gapped = rows.join(carried, [*group, "_b"]).withColumn("_gap", F.coalesce((F.col("win_start") - previous >= separation).cast("int"), F.lit(1)))
-    begun = gapped.groupBy(*group, "_b").agg(F.sum("_gap").alias("_n")).select(*group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    islands = gapped.withColumn("_in", F.sum("_gap").over(order)).join(begun, [*group, "_b"]).withColumn("_island", F.col("_base") + F.col("_in"))
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("peak_score")).alias("s"), F.col("win_start").alias("w"))))
-    nothing = F.array().cast("array<bigint>")
-    accepted = F.aggregate(
-        ranked, nothing, lambda kept, x: F.when(F.exists(kept, lambda k: F.abs(k - x["w"]) < separation), kept).otherwise(F.concat(kept, F.array(x["w"])))
-    )
-    kept = islands.groupBy(*group, "_island").agg(accepted.alias("_kept")).select(*group, F.explode("_kept").alias("win_start"))
-    return windows.join(kept, [*group, "win_start"], "left_semi")
+        return dedupe_best(windows) if dedupe else windows
+    return spaced(windows, ["cell_type", "chrom"], separation, bucket, best_order() if dedupe else None)
 
 
 def drop_shared_windows(windows: DataFrame, separation: int = SEPARATION) -> DataFrame:

@@ -13,7 +13,7 @@ def build_windows(
     """chrom, start, end, name, cell_type, gsm, peak_score, fold_enrichment, center_method."""
     centred = iv.summit_position(iv.filter_primary_chromosomes(peaks, primary))
     inside = iv.window_bounds(iv.intersect_with_loci(centred, loci), length)
-    kept = iv.drop_shared_windows(iv.collapse_redundant_windows(iv.dedupe_best(inside), separation), exclusive)
+    kept = iv.drop_shared_windows(iv.collapse_redundant_windows(inside, separation, dedupe=True), exclusive)
     if top_n is not None:
         kept = iv.top_n_per_type(kept, top_n)
     named = iv.window_names(kept, iv.majority_method(centred))
