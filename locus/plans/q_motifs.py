@@ -19,10 +19,12 @@ FACTORS = ["de", "en", "es", "fr"]
 def counts(s, d):
     """Base counts by place in two versions per language, from the first or the eleventh base of every 200-base piece on."""
     t = st.tiles(s, d, 200)
-    places = F.explode(F.transform(F.sequence(F.lit(0), F.lit(2 * WIDTH - 1)), lambda i: F.struct((F.floor(i / WIDTH) + 1).cast("int").alias("version"), (i % WIDTH).alias("pos"), fn.at(F.col("seq"), (F.floor(i / WIDTH) * 10 + i % WIDTH).cast("int")).alias("b"))))
-    rows = t.select("cell_type", places.alias("x")).select("cell_type", "x.*")
-    n = lambda b: F.count(F.when(F.col("b") == b, 1)).alias(b.lower())
-    return rows.groupBy(F.col("cell_type").alias("tf"), F.concat_ws(".", F.lit("M"), "cell_type", "version").alias("matrix_id"), "version", "pos").agg(*[n(b) for b in "ACGT"])
+    places = [(v, p, v * 10 - 10 + p) for v in (1, 2) for p in range(WIDTH)]
+    n = lambda b, at: F.count(F.when(fn.at(F.col("seq"), F.lit(at)) == b, 1))
+    wide = t.groupBy("cell_type").agg(*[n(b, at).alias(f"{b}{v}_{p}") for v, p, at in places for b in "ACGT"])
+    cells = F.array(*[F.struct(F.lit(v).alias("version"), F.lit(p).alias("pos"), *[F.col(f"{b}{v}_{p}").alias(b.lower()) for b in "ACGT"]) for v, p, _ in places])
+    rows = wide.select("cell_type", F.explode(cells).alias("x")).select("cell_type", "x.*")
+    return rows.select(F.col("cell_type").alias("tf"), F.concat_ws(".", F.lit("M"), "cell_type", "version").alias("matrix_id"), "version", "pos", *"acgt")
 
 
 def matrices(s, d, names=FACTORS):

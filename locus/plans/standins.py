@@ -45,7 +45,7 @@ VARIANTS = f"""variants AS (SELECT 'rs' || o_orderkey AS rs_id, {EVENT_TYPES}[(o
 def sequences(spark: SparkSession, d: str, letters: str = "ACGT") -> DataFrame:
     """The given letters of each document's whole text."""
     docs = table(spark, d, "documents")
-    seq = F.regexp_replace(F.upper("text"), f"[^{letters}]", "")
+    seq = F.regexp_replace(F.upper("text"), f"[^{letters}]+", "")
     return docs.select("doc_id", F.concat(F.lit("seq"), F.col("doc_id")).alias("seq_id"), seq.alias("seq"), F.col("lang").alias("cell_type"), "source", "n_chars")
 
 
@@ -56,8 +56,9 @@ def sequences_sql(letters: str = "ACGT") -> str:
 def tiles(spark: SparkSession, d: str, length: int, letters: str = "ACGT") -> DataFrame:
     """All consecutive pieces of `length` bases of every sequence, a shorter last one included."""
     s = sequences(spark, d, letters).filter(F.length("seq") > 0)
-    s = s.withColumn("tile", F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / length).cast("int"))))
-    return s.select("doc_id", F.concat_ws("_", "seq_id", "tile").alias("seq_id"), "tile", F.substring(F.col("seq"), F.col("tile") * length + 1, F.lit(length)).alias("seq"), "cell_type", "source", "n_chars")
+    pieces = F.regexp_extract_all("seq", F.lit(f"(.{{1,{length}}})"), F.lit(1))
+    s = s.select("doc_id", "seq_id", F.posexplode(pieces).alias("tile", "seq"), "cell_type", "source", "n_chars")
+    return s.select("doc_id", F.concat_ws("_", "seq_id", "tile").alias("seq_id"), "tile", "seq", "cell_type", "source", "n_chars")
 
 
 def tiles_sql(length: int, letters: str = "ACGT") -> str:
