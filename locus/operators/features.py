@@ -32,6 +32,10 @@ def filter_sequence_length(df: DataFrame, length: int) -> DataFrame:
     return df.filter(F.length("seq") == length)
 
 
+#: Why a window is dropped.
+REASONS = ["missing_contig", "length", "n_fraction"]
+
+
 def with_qc_reason(df: DataFrame, length: int, max_n: float = 0.05) -> DataFrame:
     """Adds reason: missing_contig (null seq), length, n_fraction, or null for sequences that pass."""
     reason = F.when(F.col("seq").isNull(), "missing_contig").when(F.length("seq") != length, "length").when(n_fraction(F.col("seq")) > max_n, "n_fraction")

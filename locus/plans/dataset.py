@@ -2,29 +2,68 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from locus.functions import seq as fn
 from locus.operators import features as ft
 from locus.operators import genome as gn
+from locus.operators import intervals as iv
 from locus.operators import markov as mk
 from locus.operators import motifs as mo
 from locus.operators import ranking as rk
 from locus.operators import scoring as sc
 from locus.operators import seqstats as ss
+from locus.operators.shared import reused
+from locus.plans.windows import build_windows
+from locus.sources import files, sinks
 
+FEATURES = ["peak_score", "fold_enrichment"]
 
-def build_dataset(windows: DataFrame, tiles: DataFrame, types: list[str], length: int, max_n: float, tile: int = gn.TILE) -> tuple[DataFrame, DataFrame]:
-    """Windows (from build_windows) with DNA, one-hot tensor and condition vector, and the statistics."""
-    cut = gn.extract_windows(windows.withColumnRenamed("name", "peak_id"), tiles, "peak_id", tile)
-    passed, _ = ft.window_qc(cut, length, max_n)
-    features = ["peak_score", "fold_enrichment"]
-    stats = ft.fit_normalisation(passed, features)
-    out = ft.condition_vectors(passed, stats, types, features).withColumn("tensor", fn.one_hot(F.col("seq")))
-    return out, stats
+
+def build_dataset(windows: DataFrame, genome: DataFrame | gn.Genome, types: list[str], length: int, max_n: float, tile: int = gn.TILE) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Windows (from build_windows) with DNA, one-hot tensor and condition vector, the statistics, and
+    the number of windows kept and dropped by reason, observed while they were cut."""
+    cut = gn.extract_windows(windows.withColumnRenamed("name", "peak_id"), genome, "peak_id", tile)
+    seen = Observation("window_qc")
+    n = lambda r: F.count_if(F.col("reason") == r).alias(r)
+    marked = ft.with_qc_reason(cut, length, max_n).observe(seen, F.count_if(F.col("reason").isNull()).alias("kept"), *[n(r) for r in ft.REASONS])
+    passed = reused(marked.filter("reason IS NULL").drop("reason"))
+    if not passed.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        passed.count()  # without a checkpoint nothing has run yet
+    stats = reused(ft.fit_normalisation(passed, FEATURES))
+    out = ft.condition_vectors(passed, stats, types, FEATURES).withColumn("tensor", fn.one_hot(F.col("seq")))
+    return out, stats, seen.get
+
+
+def dataset_job(
+    spark: SparkSession, *, pages: str, manifest: str, genome: str, out: str, primary: list[str], types: list[str], flank: int = 100_000, length: int = iv.WINDOW, separation: int = iv.SEPARATION, max_n: float = 0.05, tile: int = gn.TILE,
+) -> dict[str, int]:
+    """Variant pages, a sample manifest and a genome's FASTA files to a dataset below `out`, in one job.
+
+    Writes loci.bed and windows.bed, the stored genome, sequences.fasta with metadata.csv, the
+    dataset (by cell type, with its statistics) and, last of all, manifest: a one-row JSON of the
+    counts, whose presence tells that the rest is whole. Returns the counts.
+    """
+    variants = iv.distinct_variants(files.variants_from_pages(spark, pages, validate=True))
+    loci = reused(iv.merge_loci(iv.flank_variants(variants, flank)))
+    loci.select("chrom", "start", "end", "name", "score").write.csv(f"{out}/loci.bed", sep="\t")
+    peaks = files.scan_samples(spark, files.read_manifest(spark, manifest))
+    windows = reused(build_windows(peaks, loci, primary=primary, length=length, separation=separation, exclusive=separation))
+    sinks.write_bed(windows, f"{out}/windows.bed")
+    name = "genome_" + uuid.uuid4().hex
+    stored = gn.store_genome(gn.tile_genome(files.read_genome(spark, genome), tile), name, f"{out}/genome", tile)
+    data, stats, counts = build_dataset(windows, stored, types, length, max_n)
+    sinks.write_dataset(data, stats, f"{out}/dataset")
+    meta = ["chrom", "start", "end", "cell_type", "peak_score", "fold_enrichment", F.col("gsm").alias("source_gsm")]
+    sinks.write_fasta_with_metadata(data.select(F.col("peak_id").alias("seq_id"), "seq", *meta), f"{out}/sequences")
+    counts = {"loci": loci.count(), "windows": windows.count()} | counts
+    spark.createDataFrame([tuple(counts.values())], ", ".join(f"{k} long" for k in counts)).coalesce(1).write.json(f"{out}/manifest")
+    spark.sql(f"DROP TABLE {name}")  # the catalog's entry; the files stay
+    return counts
 
 
 def markov_generate(sequences: DataFrame, windows: DataFrame, ids: DataFrame, cell_type: str, k: int, length: int, seed: int) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import string
 
 from pyspark.sql import functions as F
 
 from locus.functions import seq as fn
 from locus.operators import features as ft
+from locus.operators import intervals as iv
 from locus.operators import perturb as pt
 from locus.operators import ranking as rk
 from locus.plans import dataset as ds
@@ -18,15 +18,14 @@ from locus.plans import q_scores as qs
 from locus.plans import q_sequences as qq
 from locus.plans import standins as st
 from locus.plans.q_sequences import rounded
+from locus.plans.standins import folder
 from locus.sources import files, sinks
 
 L, TOP = 200, 12
-
-
-def folder(s, name):
-    """A new folder that all executors share: below spark.checkpoint.dir, where it is set."""
-    root = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-files-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: Bases that stand for letters in the stand-in genome, the contig it lacks, and the counts of the dataset job.
+LETTERS, BASES = string.ascii_letters, 2 * "ACGTACGTACGTACGTACGTNNACGT"
+MISSING = "chr_purchase"
+COUNTS = ["loci", "windows", "kept", "missing_contig", "length", "n_fraction"]
 
 
 def candidates(s, d):
@@ -61,14 +60,48 @@ def read_manifest(s, d):
     return files.read_manifest(s, path)
 
 
-def scan_samples(s, d):
-    """Each sample's peaks go to files of its own, named after it, and all are read as the manifest lists them."""
+def sample_files(s, d):
+    """Each sample's peaks go to files of its own, named after it; returns the manifest that lists them."""
     path = folder(s, "samples")
     p = st.peaks(s, d)
     p.select("gsm", F.concat_ws("\t", "chrom", "start", "end", F.concat(F.lit("p"), "peak_id"), "peak_score", F.lit("."), "fold_enrichment", F.lit("5"), F.lit("3"), F.coalesce(F.col("summit_offset").cast("string"), F.lit(""))).alias("value")).write.partitionBy("gsm").text(path)
     names = s.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("path").withColumn("gsm", F.regexp_extract("path", "gsm=([^/]+)/", 1))
-    m = manifest_rows(s, d, "x").drop("local_path").join(names, "gsm").withColumnRenamed("path", "local_path")
-    return files.scan_samples(s, m).groupBy("gsm", "cell_type", "chrom").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("peak_score"), 4).alias("score"), F.sum("summit_offset").alias("offsets"))
+    return manifest_rows(s, d, "x").drop("local_path").join(names, "gsm").withColumnRenamed("path", "local_path")
+
+
+def scan_samples(s, d):
+    return files.scan_samples(s, sample_files(s, d)).groupBy("gsm", "cell_type", "chrom").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("peak_score"), 4).alias("score"), F.sum("summit_offset").alias("offsets"))
+
+
+def genome_files(s, d):
+    """FASTA files of contigs made of whole documents, every line under its header; one contig of the peaks is missing."""
+    path = folder(s, "fasta")
+    kinds = F.array(*[F.lit(f"chr_{t}") for t in st.EVENT_TYPES])
+    rows = st.table(s, d, "documents").select("doc_id", F.get(kinds, (F.col("doc_id") % 5).cast("int")).alias("chrom"), F.translate(F.regexp_replace("text", "[^A-Za-z]+", ""), LETTERS, BASES).alias("seq"))
+    rows = rows.filter((F.col("chrom") != MISSING) & (F.length("seq") > 0)).repartitionByRange("chrom", "doc_id").sortWithinPartitions("chrom", "doc_id")
+    rows.select(F.concat(F.lit(">"), "chrom", F.lit("\n"), "seq").alias("value")).write.text(path)
+    return path
+
+
+def built(s, d):
+    """The dataset job from files to files, read back with its counts."""
+    manifest, out = folder(s, "manifest"), folder(s, "built")
+    rows = sample_files(s, d)
+    rows.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*rows.columns)))).alias("value")).write.text(manifest)  # a short list of files
+    ds.dataset_job(s, pages=page_files(s, d), manifest=manifest, genome=genome_files(s, d), out=out, primary=st.PRIMARY, types=["ct0", "ct1", "ct2"], flank=st.FLANK)
+    counts = s.read.schema(", ".join(f"{c} long" for c in COUNTS)).json(f"{out}/manifest")
+    schema = "peak_id string, chrom string, start long, seq string, condition array<double>, tensor array<float>, cell_type string"
+    data = s.read.schema(schema).parquet(f"{out}/dataset/data")  # no file at all if no window passed
+    back = data.select("peak_id", "chrom", "start", "seq", F.transform("condition", lambda x: F.round(x, 6)).alias("condition"), F.size("tensor").alias("n_tensor"), "cell_type")
+    return back.crossJoin(F.broadcast(counts))
+
+
+def fasta_with_metadata(s, d):
+    """Sequences and their metadata, written side by side and joined again."""
+    path = folder(s, "aligned")
+    sinks.write_fasta_with_metadata(st.sequences(s, d).select("seq_id", "seq", "cell_type", "source", "n_chars"), path)
+    meta = s.read.csv(f"{path}/metadata.csv", header=True, schema="peak_id string, cell_type string, source string, n_chars long")
+    return files.read_fasta(s, f"{path}/sequences").join(meta.withColumnRenamed("peak_id", "seq_id"), "seq_id")
 
 
 def loci_bed(s, d):
@@ -77,13 +110,21 @@ def loci_bed(s, d):
     return files.read_loci_bed(s, path)
 
 
-def pages(s, d):
+def page_files(s, d):
+    """Variants in pages of about a thousand, dealt by a hash, so that pages grow in number and not in size."""
     path = folder(s, "pages")
     v = st.variants(s, d)
-    snp = F.struct(F.col("rs_id").alias("rsId"), F.col("functional_class").alias("functionalClass"), F.array(F.struct(F.regexp_replace("chrom", "^chr", "").alias("chromosomeName"), F.col("pos").alias("chromosomePosition")), F.struct(F.lit(None).cast("string").alias("chromosomeName"), F.lit(1).cast("long").alias("chromosomePosition"))).alias("locations"))
-    per = v.groupBy((F.col("pos") % 50).alias("page")).agg(F.struct(F.collect_list(snp).alias("singleNucleotidePolymorphisms")).alias("_embedded"))
+    here = F.struct(F.regexp_replace("chrom", "^chr", "").alias("chromosomeName"), F.col("pos").alias("chromosomePosition"))
+    nowhere = F.struct(F.lit(None).cast("string").alias("chromosomeName"), F.lit(1).cast("long").alias("chromosomePosition"))
+    snp = F.struct(F.col("rs_id").alias("rsId"), F.col("functional_class").alias("functionalClass"), F.array(here, nowhere).alias("locations"))
+    n = max(1, v.count() // 1000)
+    per = v.groupBy(F.pmod(F.xxhash64("rs_id"), F.lit(n)).alias("page")).agg(F.struct(F.collect_list(snp).alias("singleNucleotidePolymorphisms")).alias("_embedded"))
     per.select("_embedded").write.json(path)
-    return files.variants_from_pages(s, path)
+    return path
+
+
+def pages(s, d):
+    return files.variants_from_pages(s, page_files(s, d))
 
 
 def fasta(s, d):
@@ -94,10 +135,9 @@ def fasta(s, d):
 
 def report(s, d):
     path = folder(s, "report")
-    sc = qs.scores(s, d)
-    entry = F.struct("mssi_score", F.array(F.lit(1.0)).alias("target_signal"), F.array(F.lit(0.5)).alias("background_signal"), "cell_type", F.array(F.lit(3)).alias("target_tracks"))
-    sc.agg(F.map_from_entries(F.collect_list(F.struct("seq_id", entry.alias("v")))).alias("sequences")).write.json(path)
-    return files.read_score_report(s, path)
+    signals = {"target_signal": F.array(F.lit(1.0)), "background_signal": F.array(F.lit(0.5)), "target_tracks": F.array(F.lit(3))}
+    sinks.write_score_report(qs.scores(s, d).withColumns(signals), path)
+    return files.read_score_report(s, path, multi_line=False)
 
 
 def window_metadata(s, d):
@@ -122,7 +162,7 @@ def write_report(s, d):
 def dataset(s, d):
     """The windows around each document's place, cut, checked, encoded and written."""
     w = qm.windows(s, d).select(F.concat(F.lit("w"), "doc_id").alias("name"), "chrom", "start", (F.col("start") + L).alias("end"), F.col("chrom").alias("cell_type"), F.col("doc_id").cast("double").alias("peak_score"), (F.col("doc_id") % 7).cast("double").alias("fold_enrichment"))
-    data, stats = ds.build_dataset(w, qm.tiles(s, d), qq.TYPES, L, 0.36, qm.T)
+    data, stats, _ = ds.build_dataset(w, qm.stored(s, d), qq.TYPES, L, 0.36)
     path = folder(s, "dataset")
     sinks.write_dataset(data, stats, path)
     back = s.read.parquet(f"{path}/data")
@@ -180,9 +220,10 @@ def queries():
         "read_score_report": report,
         "read_window_metadata": window_metadata,
         "write_bed": write_bed,
-        "write_fasta": fasta,
+        "write_fasta": fasta_with_metadata,
         "write_report": write_report,
         "write_dataset": dataset,
+        "build_dataset": built,
         "align_metadata": lambda s, d: ft.align_metadata(st.sequences(s, d).select(F.col("seq_id").alias("peak_id"), "seq"), st.table(s, d, "labels").select(F.concat(F.lit("seq"), F.col("doc_id")).alias("peak_id"), "quality"), validate=False),
         "draw_dose": lambda s, d: pt.draw_dose(hit_rows(s, d), 2, 8),
         "occlusion_set": lambda s, d: host(s, d, pt.occlusion_set(candidates(s, d), TOP, 60, 7)),
@@ -236,10 +277,18 @@ def oracle_sql():
         "read_score_report": f"WITH {qs.SCORES} SELECT seq_id, mssi_score FROM scores",
         "read_window_metadata": f"""{peaks} SELECT 'p' || peak_id AS peak_id, chrom, start, "end", cell_type, peak_score, fold_enrichment, gsm AS source_gsm FROM peaks""",
         "write_bed": f"""{peaks} SELECT chrom, start, "end", 'p' || peak_id AS name, peak_score FROM peaks""",
-        "write_fasta": f"WITH {st.sequences_sql()} SELECT seq_id, seq FROM sequences",
+        "write_fasta": f"WITH {st.sequences_sql()} SELECT seq_id, seq, cell_type, source, n_chars FROM sequences",
         "write_report": f"WITH {qs.SCORES} SELECT seq_id, mssi_score, count(*) OVER () AS n, round(avg(mssi_score) OVER (), 6) AS mean_mssi FROM scores",
         "write_dataset": f"""WITH {qm.GENOME}, {data_w}, s AS (SELECT avg(doc_id) AS a, stddev_pop(doc_id) AS sa, avg(doc_id % 7) AS b, stddev_pop(doc_id % 7) AS sb FROM ok)
           SELECT peak_id, seq, [{', '.join(f"(chrom = '{t}')::INTEGER::DOUBLE" for t in qq.TYPES)}, round((doc_id - a) / sa, 6), round((doc_id % 7 - b) / sb, 6)] AS condition, {4 * L} AS n_tensor, chrom AS cell_type FROM ok, s""",
+        "build_dataset": f"""WITH RECURSIVE {st.PEAKS}, {qi.CENTRED}, {qi.PRIME}, {st.VARIANTS}, {qi.LOCI}, {qi.INSIDE.format('prime')}, {qi.BOUNDED.format('inside')}, {qi.BEST}, {qi.GREEDY}, alone AS ({qi.SHARED.format('collapsed')}),
+          contig AS (SELECT contig_name, string_agg(translate(letters, '{LETTERS}', '{BASES}'), '' ORDER BY doc_id) AS whole
+            FROM (SELECT doc_id, 'chr_' || {st.EVENT_TYPES}[(doc_id % 5 + 1)::INTEGER] AS contig_name, regexp_replace(text, '[^A-Za-z]', '', 'g') AS letters FROM documents) WHERE contig_name <> '{MISSING}' GROUP BY contig_name),
+          cut AS (SELECT {qi.NAME} AS peak_id, chrom, win_start AS start, cell_type, peak_score, fold_enrichment, substr(whole, win_start + 1, {iv.WINDOW}) AS seq FROM alone a LEFT JOIN contig ON chrom = contig_name),
+          marked AS (SELECT *, CASE WHEN seq IS NULL THEN 'missing_contig' WHEN length(seq) <> {iv.WINDOW} THEN 'length' WHEN length(regexp_replace(seq, '[^N]', '', 'g')) / length(seq) > 0.05 THEN 'n_fraction' ELSE 'kept' END AS reason FROM cut),
+          st AS (SELECT avg(peak_score) AS a, stddev_pop(peak_score) AS sa, avg(fold_enrichment) AS b, stddev_pop(fold_enrichment) AS sb FROM marked WHERE reason = 'kept')
+          SELECT peak_id, chrom, start, seq, [{', '.join(f"(cell_type = 'ct{t}')::INTEGER::DOUBLE" for t in range(3))}, round((peak_score - a) / CASE WHEN sa = 0 THEN 1 ELSE sa END, 6), round((fold_enrichment - b) / CASE WHEN sb = 0 THEN 1 ELSE sb END, 6)] AS condition,
+            {4 * iv.WINDOW} AS n_tensor, cell_type, (SELECT count(*) FROM loci) AS loci, (SELECT count(*) FROM marked) AS windows, {', '.join(f"(SELECT count(*) FROM marked WHERE reason = '{r}') AS {r}" for r in COUNTS[2:])} FROM marked, st WHERE reason = 'kept'""",
         "align_metadata": f"WITH {st.sequences_sql()} SELECT seq_id AS peak_id, seq, quality FROM sequences s JOIN labels l ON s.doc_id = l.doc_id",
         "draw_dose": f"""WITH {spans}, x AS ({drawn.format(8, 'm >= 2 AND n <= 2')}) SELECT seq_id, start, start + 9 AS "end" FROM x""",
         "occlusion_set": f"""WITH {st.PEAKS}, {cand}, {best.format(TOP)}, v AS (SELECT {prefix} || 'intact' AS peak_id, seq_id AS parent_id, rank::INTEGER AS rank, 'intact' AS variant, seq FROM best

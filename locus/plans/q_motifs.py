@@ -43,6 +43,12 @@ def tiles(s, d):
     return gn.tile_genome(lines(s, d), T)
 
 
+def stored(s, d):
+    """The tiles as a bucketed table of its own."""
+    path = st.folder(s, "genome")
+    return gn.store_genome(tiles(s, d), path.rsplit("/", 1)[1].replace("-", "_"), path, T)
+
+
 def windows(s, d):
     """A window per document, some beyond their contig's end or on a contig that isn't there."""
     start = (F.col("doc_id") * 7919) % 60000
@@ -105,8 +111,8 @@ def queries():
         "grammar_profile": lambda s, d: rounded(gr.grammar_profile(hits(s, d), seqs(s, d))),
         "factor_counts": lambda s, d: gr.factor_counts(hits(s, d), seqs(s, d), factors(s, d)),
         "tile_genome": tiles,
-        "extract_windows": lambda s, d: gn.extract_windows(windows(s, d), tiles(s, d), "doc_id", T),
-        "context_windows": lambda s, d: gn.context_windows(inserts(s, d), tiles(s, d), "seq_id", CTX, T).select("seq_id", "context"),
+        "extract_windows": lambda s, d: gn.extract_windows(windows(s, d), stored(s, d), "doc_id"),
+        "context_windows": lambda s, d: gn.context_windows(inserts(s, d), stored(s, d), "seq_id", CTX).select("seq_id", "context"),
         "parse_sample_metadata": samples,
         "characteristic_lookup": lambda s, d: samples(s, d).select("gsm", pv.characteristic_lookup(F.col("characteristics"), "cell type").alias("cell_type")),
         "clean_accession": lambda s, d: st.table(s, d, "conversations").select("conv_id", "turn", pv.clean_accession(F.concat(F.when(F.col("turn") % 2 == 0, " http://x/EFO_").otherwise(" plain "), F.col("conv_id"), F.lit(" "))).alias("accession")),

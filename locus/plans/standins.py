@@ -5,6 +5,9 @@ Nothing is left out: every row and every whole text takes part.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,14 @@ SPAN, FLANK = 2_592_000, 100
 EVENT_TYPES = ["view", "click", "error", "signup", "purchase"]
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: below spark.checkpoint.dir; only a local session without it gets one of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(root or 'file://' + tempfile.mkdtemp(prefix='spark-files-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 

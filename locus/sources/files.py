@@ -94,11 +94,11 @@ def variants_from_pages(spark: SparkSession, path: str, validate: bool = False)
     return _not_empty(rows.groupBy("rs_id", "chrom", "pos").agg(F.min("functional_class").alias("functional_class")), path, validate)
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """seq_id and seq; the id is the header's first word, wrapped lines are joined, text before the first header is left out.
 
-    Files are split at headers, so a large one is read by many tasks. A repeated id keeps the
-    record whose text orders last.
+    Files are split at headers, so a large one is read by many tasks. A repeated id keeps its last
+    record: by file name, then place in the file.
     """
     text = spark.read.option("lineSep", "\n>").text(path).select(
         F.col("value").alias("v"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i")
@@ -110,8 +110,8 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     rows = text.join(heads, "_f", "left").filter((F.startswith("v", F.lit(">")) | ~first) & (F.length(F.trim(record)) > 0))
     head = F.split_part(record, F.lit("\n"), F.lit(1))
     body = F.regexp_replace(F.substring(record, F.length(head) + 1, F.length(record)), r"\s+", "")
-    out = rows.select(F.regexp_extract(head, r"^\s*(\S*)", 1).alias("seq_id"), body.alias("seq"))
-    return out.groupBy("seq_id").agg(F.max("seq").alias("seq"))
+    out = rows.select(F.regexp_extract(head, r"^\s*(\S*)", 1).alias("seq_id"), body.alias("seq"), F.struct("_f", "_b", "_i").alias("_at"))
+    return out.groupBy("seq_id").agg(F.max_by("seq", "_at").alias("seq"))
 
 
 def read_genome(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -119,18 +119,23 @@ def read_genome(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
     A line belongs to the last header before it: found within a file's block, else carried from
     the blocks before it, so a large file is read by many tasks. line_no rises along a contig,
-    with gaps. Text before a file's first header is left out.
+    with gaps; a contig may go on in further files, in the order of their names, each of which
+    begins with its header again. Text before a file's first header is left out.
     """
-    text = spark.read.text(paths).select(F.rtrim("value").alias("seq"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_i"))
+    text = spark.read.text(paths).select(
+        F.rtrim("value").alias("seq"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_size").alias("_size"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_i")
+    )
     block = W.partitionBy("_f", "_s").orderBy("_i")
     head = F.when(F.startswith("seq", F.lit(">")), F.regexp_extract("seq", r"^>\s*(\S*)", 1))
     # A line takes at least a byte, so block start and number within the block order all lines of a file.
-    rows = text.withColumns({"_head": head, "line_no": F.col("_s") + F.row_number().over(block)})
-    last = rows.groupBy("_f", "_s").agg(F.max_by("_head", F.when(F.col("_head").isNotNull(), F.col("_i"))).alias("_last"))
+    rows = text.withColumns({"_head": head, "_line": F.col("_s") + F.row_number().over(block)})
+    blocks = rows.groupBy("_f", "_s").agg(F.max_by("_head", F.when(F.col("_head").isNotNull(), F.col("_i"))).alias("_last"), F.max("_size").alias("_size"))
     before = W.partitionBy("_f").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
-    carried = last.select("_f", "_s", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    per_file = blocks.groupBy("_f").agg((F.max("_size") + 1).alias("_n"))  # a row per file
+    offsets = per_file.select("_f", F.coalesce(F.sum("_n").over(W.orderBy("_f").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    carried = blocks.select("_f", "_s", F.last("_last", ignorenulls=True).over(before).alias("_carry")).join(offsets, "_f")
     named = rows.withColumn("_own", F.last("_head", ignorenulls=True).over(block)).join(carried, ["_f", "_s"])
-    out = named.filter("_head IS NULL").select(F.coalesce("_own", "_carry").alias("chrom"), "line_no", "seq")
+    out = named.filter("_head IS NULL").select(F.coalesce("_own", "_carry").alias("chrom"), (F.col("_offset") + F.col("_line")).alias("line_no"), "seq")
     return out.filter(F.col("chrom").isNotNull() & (F.length("seq") > 0))
 
 
@@ -139,11 +144,18 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("seq_id string, mssi_score double").json(f"{path}/sequences")
 
 
-def read_score_report(spark: SparkSession, path: str, validate: bool = False) -> DataFrame:
-    """seq_id and mssi_score of a JSON report with a map of sequences."""
-    schema = "sequences map<string, struct<mssi_score: double, target_signal: array<double>, background_signal: array<double>, cell_type: string, target_tracks: array<int>>>"
-    rows = spark.read.json(path, multiLine=True, schema=schema).select(F.explode("sequences").alias("seq_id", "s"))
-    return _not_empty(rows.select("seq_id", F.col("s.mssi_score").alias("mssi_score")).filter("mssi_score IS NOT NULL"), path, validate)
+#: A report's sequences by id.
+ENTRIES = "map<string, struct<mssi_score: double, target_signal: array<double>, background_signal: array<double>, cell_type: string, target_tracks: array<int>>>"
+
+
+def read_score_report(spark: SparkSession, path: str | list[str], validate: bool = False, multi_line: bool = True) -> DataFrame:
+    """seq_id and mssi_score of JSON reports with a map of sequences.
+
+    A report is one JSON document, which one task reads; a large one comes as several files, or
+    (multi_line off) as a document per line, as write_score_report writes them.
+    """
+    rows = spark.read.json(path, multiLine=multi_line, schema=f"sequences {ENTRIES}").select(F.explode("sequences").alias("seq_id", "s"))
+    return _not_empty(rows.select("seq_id", F.col("s.mssi_score").alias("mssi_score")).filter("mssi_score IS NOT NULL"), str(path), validate)
 
 
 def read_window_metadata(spark: SparkSession, path: str) -> DataFrame:
