@@ -13,7 +13,7 @@ from locus.plans.q_sequences import rounded, u
 
 PANEL = {"ct0": [0, 1, 2, 3, 4], "ct1": [5, 6, 7, 8, 9], "ct2": [10, 11, 12, 13, 14]}
 BACK = list(range(40, 50))
-N_PERM = 40
+N_PERM = 1000
 
 
 def tracks(s, d):
