@@ -6,13 +6,15 @@ and seq; place it with ranking.fixed_host().
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locus.functions import seq as fn
 from locus.functions.rand import shuffle_key
-from locus.operators.ranking import numbered, text_code
+from locus.operators.ranking import filter_measured, fixed_host, numbered, stratified_sample, text_code
 
 #: The swap variants and the dinucleotide that each reverses.
 SWAPS = {"cpg_up": "GC", "cpg_down": "CG", "ctl_at": "AT", "ctl_ta": "TA"}
@@ -34,6 +36,21 @@ def _variant(name: Column | str, seq: Column) -> Column:
     return F.struct((F.lit(name) if isinstance(name, str) else name).alias("variant"), seq.alias("seq"))
 
 
+def stack_variants(**variants: DataFrame) -> DataFrame:
+    """Tables of equal columns on top of each other, each under its name in a column `variant`."""
+    named = [df.withColumn("variant", F.lit(name)) for name, df in variants.items()]
+    return reduce(DataFrame.unionByName, named)
+
+
+def measured_scoring_set(measurements: DataFrame, sequences: DataFrame, metadata: DataFrame, host_id: str, *, column: str, n_random: int, n_extreme: int, seed: int, validate: bool = True) -> DataFrame:
+    """Measured elements that have a sequence, n_extreme from each end of `column` and n_random between, all at one host.
+
+    measurements has seq_id and `column`. Returns peak_id (the element), `column`, stratum and the host's chrom, start, end.
+    """
+    kept = filter_measured(measurements, sequences, validate)
+    return fixed_host(stratified_sample(kept, column, n_random, n_extreme, seed).withColumnRenamed("seq_id", "peak_id"), metadata, host_id)
+
+
 def occlusion_set(candidates: DataFrame, k: int, width: int, seed: int) -> DataFrame:
     """The intact sequence and one variant per tile of `width` bases, replaced by random ones."""
     if width < 1:

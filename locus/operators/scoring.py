@@ -78,25 +78,6 @@ def score_with(df: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarra
     return df.withColumn("tracks", predict(F.col(column)))
 
 
-def kmer_linear_standin(k: int = 2) -> Callable[[list[str]], np.ndarray]:
-    """A stand-in for a model, for tests: track i is the count of the i-th k-mer in alphabetical order."""
-    from itertools import product
-
-    kmers = ["".join(x) for x in product("ACGT", repeat=k)]
-
-    def predict(seqs: list[str]) -> np.ndarray:
-        number = {m: i for i, m in enumerate(kmers)}
-        out = np.zeros((len(seqs), len(kmers)))
-        for r, s in enumerate(seqs):
-            for i in range(len(s) - k + 1):
-                j = number.get(s[i : i + k])
-                if j is not None:
-                    out[r, j] += 1
-        return out
-
-    return predict
-
-
 def track_panel_violations(panel: DataFrame, n_tracks: int) -> DataFrame:
     """Problems of panel(cell_type, target, background): empty lists, indices out of range, tracks on both sides."""
     outside = lambda c: F.exists(c, lambda i: (i < 0) | (i >= n_tracks))

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locus.functions.seq import cpg_count, longest_run, random_bases
+from locus.operators.shared import reused
 
 ORDER_BUCKET = 100_000
 #: Bases that are counted together, at least one sequence.
@@ -54,8 +55,8 @@ def _windows(texts: list[str], k: int) -> tuple[list[str], np.ndarray]:
     return [g.tobytes().decode("utf-32-le", "surrogatepass") for g in grams.astype(np.uint32)], counts
 
 
-def kmer_tables(df: DataFrame, ks: list[int]) -> DataFrame:
-    """k, kmer and n of all overlapping k-mers of the upper-cased seq, for several k in one pass.
+def kmer_tables(df: DataFrame, ks: list[int], by: str | None = None) -> DataFrame:
+    """k, kmer and n of all overlapping k-mers of the upper-cased seq, for several k (and groups `by`) in one pass.
 
     Counted inside the task for pieces of a batch, so what is shuffled is bounded by the kinds
     of k-mers a piece holds, not by its bases.
@@ -63,18 +64,22 @@ def kmer_tables(df: DataFrame, ks: list[int]) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [t.upper() for t in batch["seq"] if t]
-            ends = np.cumsum([len(t) for t in texts])
-            first = 0
-            while first < len(texts):
-                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PIECE, "right")))
-                for k in ks:
-                    grams, n = _windows(texts[first:last], k)
-                    yield pd.DataFrame({"k": k, "kmer": grams, "n": n})
-                first = last
-
-    counted = df.select(F.col("seq").cast("string")).mapInPandas(count, "k int, kmer string, n long")
-    return counted.groupBy("k", "kmer").agg(F.sum("n").alias("n"))
+            for group, part in batch.groupby("_g", dropna=False):
+                texts = [t.upper() for t in part["seq"] if t]
+                ends = np.cumsum([len(t) for t in texts])
+                first = 0
+                while first < len(texts):
+                    last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PIECE, "right")))
+                    for k in ks:
+                        grams, n = _windows(texts[first:last], k)
+                        yield pd.DataFrame({"_g": group, "k": k, "kmer": grams, "n": n})
+                    first = last
+
+    group = F.col(by).cast("string") if by else F.lit("")
+    counted = df.select(group.alias("_g"), F.col("seq").cast("string").alias("seq")).mapInPandas(count, "_g string, k int, kmer string, n long")
+    keys = ["_g", "k", "kmer"] if by else ["k", "kmer"]
+    out = counted.groupBy(*keys).agg(F.sum("n").alias("n"))
+    return out.withColumnRenamed("_g", by) if by else out
 
 
 def kmer_counts(df: DataFrame, k: int) -> DataFrame:
@@ -93,23 +98,26 @@ def kmer_entropy(df: DataFrame, k: int) -> DataFrame:
 
 
 def _composition(df: DataFrame, order: str) -> DataFrame:
-    """One row: n sequences, bases, and how many are G, C and CpG, junctions between sequences included.
+    """Per _pool: n sequences, bases, and how many are G, C and CpG, junctions between sequences included.
 
     The next sequence's first base comes from a window within buckets of the order and, at a
     bucket's end, from the next bucket's first row, so no task sees more than a bucket, and
     of each sequence only its counts and ends.
     """
-    s = df.select(F.upper("seq").alias("_s"), F.col(order).cast("long").alias("_o"))
-    s = s.select("_o", F.length("_s").alias("_n"), *[_count(F.col("_s"), b).alias(f"_{b}") for b in "CG"], cpg_count(F.col("_s")).alias("_cg"), F.substring("_s", 1, 1).alias("_first"), F.substring("_s", -1, 1).alias("_last"))
-    s = s.withColumn("_b", F.floor(F.col("_o") / ORDER_BUCKET))
+    s = df.select("_pool", F.upper("seq").alias("_s"), F.col(order).cast("long").alias("_o"))
+    s = s.select("_pool", "_o", F.length("_s").alias("_n"), *[_count(F.col("_s"), b).alias(f"_{b}") for b in "CG"], cpg_count(F.col("_s")).alias("_cg"), F.substring("_s", 1, 1).alias("_first"), F.substring("_s", -1, 1).alias("_last"), longest_run(F.col("_s")).alias("_run"))
+    s = reused(s.withColumn("_b", F.floor(F.col("_o") / ORDER_BUCKET)))  # a few numbers of each sequence
     full = s.filter("_n > 0")
-    heads = full.groupBy("_b").agg(F.min(F.struct("_o", "_first"))["_first"].alias("_head"))
-    heads = heads.select("_b", F.lead("_head").over(W.orderBy("_b")).alias("_after"))
-    following = F.lead("_first").over(W.partitionBy("_b").orderBy("_o", "_first", "_last"))
-    joined = full.withColumn("_next", following).join(heads, "_b", "left")
+    heads = full.groupBy("_pool", "_b").agg(F.min(F.struct("_o", "_first"))["_first"].alias("_head"))
+    heads = heads.select("_pool", "_b", F.lead("_head").over(W.partitionBy("_pool").orderBy("_b")).alias("_after"))
+    following = F.lead("_first").over(W.partitionBy("_pool", "_b").orderBy("_o", "_first", "_last"))
+    joined = full.withColumn("_next", following).join(heads, ["_pool", "_b"], "left")
     meets = ((F.col("_last") == "C") & F.coalesce(F.coalesce("_next", "_after") == "G", F.lit(False))).cast("int")
-    sums = joined.agg(F.sum("_n").alias("bases"), F.sum("_C").alias("c"), F.sum("_G").alias("g"), F.sum(F.col("_cg") + meets).alias("cg"))
-    return df.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(sums))
+    sums = joined.groupBy("_pool").agg(F.sum("_n").alias("bases"), F.sum("_C").alias("c"), F.sum("_G").alias("g"), F.sum(F.col("_cg") + meets).alias("cg"))
+    runs = s.groupBy("_pool", "_run").agg(F.count(F.lit(1)).alias("_k"))
+    upto = runs.withColumns({"_upto": F.sum("_k").over(W.partitionBy("_pool").orderBy("_run")), "n": F.sum("_k").over(W.partitionBy("_pool"))})
+    median = upto.filter(F.col("_upto") > F.floor(F.col("n") / 2)).groupBy("_pool").agg(F.min("_run").alias("median_run"), F.first("n").alias("n"))
+    return median.join(sums, "_pool", "left")
 
 
 def _oe() -> Column:
@@ -119,7 +127,8 @@ def _oe() -> Column:
 
 def cpg_obs_exp_pool(df: DataFrame, order: str) -> DataFrame:
     """CpG observed over expected of all sequences on end in `order` (an integer column), junctions included."""
-    return _composition(df, order).select(_oe().alias("cpg_oe"))
+    found = _composition(df.withColumn("_pool", F.lit("")), order).agg(*[F.max(c).alias(c) for c in ("bases", "c", "g", "cg")])
+    return found.select(_oe().alias("cpg_oe"))
 
 
 def median_longest_run(df: DataFrame) -> DataFrame:
@@ -130,16 +139,41 @@ def median_longest_run(df: DataFrame) -> DataFrame:
     return upto.filter(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.min("run").alias("median_run"))
 
 
-def realism_profile(df: DataFrame, order: str) -> DataFrame:
-    """One row: n, gc, entropy_2, entropy_4, entropy_6, cpg_oe and median_run.
+def realism_profiles(df: DataFrame, order: str, pool: str) -> DataFrame:
+    """Per pool: n, gc, entropy_2, entropy_4, entropy_6, cpg_oe and median_run; all pools share each pass.
 
-    The k-mers of all lengths are counted in one pass; what has a number per sequence is summed from those.
+    The k-mers of all lengths are counted in one pass; what has a number per sequence is made once
+    and summed from those numbers.
     """
-    entropies = kmer_tables(df, [2, 4, 6]).agg(*[entropy_of(F.when(F.col("k") == k, F.col("n"))).alias(f"entropy_{k}") for k in (2, 4, 6)])
+    rows = df.select(F.col(pool).cast("string").alias("_pool"), "seq", order)
+    tables = kmer_tables(rows, [2, 4, 6], "_pool")
+    entropies = tables.groupBy("_pool").agg(*[entropy_of(F.when(F.col("k") == k, F.col("n"))).alias(f"entropy_{k}") for k in (2, 4, 6)])
     gc = F.coalesce(F.when(F.col("bases") > 0, (F.col("c") + F.col("g")) / F.col("bases")), F.lit(0.0))
-    sums = _composition(df, order).select("n", gc.alias("gc"), _oe().alias("cpg_oe"))
-    out = sums.crossJoin(F.broadcast(entropies)).crossJoin(F.broadcast(median_longest_run(df)))  # one row each
-    return out.select("n", "gc", "entropy_2", "entropy_4", "entropy_6", "cpg_oe", "median_run")
+    sums = _composition(rows, order).select("_pool", "n", gc.alias("gc"), _oe().alias("cpg_oe"), "median_run")
+    out = sums.join(entropies, "_pool", "left").fillna(0.0, ["entropy_2", "entropy_4", "entropy_6"])
+    return out.select(F.col("_pool").alias(pool), "n", *METRICS)
+
+
+def realism_profile(df: DataFrame, order: str) -> DataFrame:
+    """One row: n, gc, entropy_2, entropy_4, entropy_6, cpg_oe and median_run of all sequences."""
+    return realism_profiles(df.withColumn("_all", F.lit("")), order, "_all").drop("_all")
+
+
+def with_control(df: DataFrame, pool: str, reference: str, seed: int, name: str = "control") -> DataFrame:
+    """df and, as one more pool, a random sequence of the same length for each one of the reference pool; one scan."""
+    control = F.when(F.col(pool) == reference, F.struct(F.lit(name).alias("p"), random_bases(F.length("seq"), seed, F.col("seq_id")).alias("s")))
+    rows = df.withColumn("_v", F.explode(F.array_compact(F.array(F.struct(F.col(pool).cast("string").alias("p"), F.col("seq").alias("s")), control))))
+    return rows.withColumns({pool: F.col("_v.p"), "seq": F.col("_v.s")}).drop("_v")
+
+
+def realism_of_pools(profiles: DataFrame, pool: str, reference: str, control: str = "control") -> DataFrame:
+    """realism_compare for every pool of realism_profiles other than the reference and the control."""
+    long = profiles.select(F.col(pool), *[F.col(m).cast("double") for m in METRICS]).unpivot([pool], METRICS, "metric", "_v")
+    fixed = {n: F.max(F.when(F.col(pool) == p, F.col("_v"))).over(W.partitionBy("metric")) for n, p in (("reference", reference), ("control", control))}
+    met = long.withColumns(fixed).filter(~F.col(pool).isin(reference, control)).withColumnRenamed("_v", "generated")
+    span = F.col("control") - F.col("reference")
+    met = met.filter(F.abs(span) >= 1e-12).withColumn("realism", 1 - (F.col("generated") - F.col("reference")) / span)
+    return met.select(pool, "metric", "generated", "reference", "control", "realism")
 
 
 METRICS = ["gc", "entropy_2", "entropy_4", "entropy_6", "cpg_oe", "median_run"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -74,12 +75,18 @@ def markov_generate(sequences: DataFrame, windows: DataFrame, ids: DataFrame, ce
     return rk.assign_hosts(drawn, windows.filter(F.col("cell_type") == cell_type), seed)
 
 
-def evaluate(kind: str, **tables: DataFrame | Callable | dict | list | str) -> DataFrame:
-    """`oracle` scores with a predictor, `motif` scans and sums up, `realism` compares profiles."""
+def evaluate(kind: str, **tables: DataFrame | Callable | dict | list | str | int) -> DataFrame:
+    """`oracle` scores with a predictor, `motif` scans and sums up, `realism` compares generated sequences with
+    a reference and a control, `realism_by_pool` every pool of one table with its reference pool."""
     if kind == "oracle":
         return sc.mssi(sc.score_with(tables["sequences"], tables["load"], "context"), tables["panel"], tables["background"])
     if kind == "motif":
         return mo.tf_summary(mo.scan_motifs(tables["sequences"], tables["matrices"]), tables["matrices"].select("tf"))
     if kind == "realism":
-        return ss.realism_compare(*(ss.realism_profile(tables[n], tables["order"]) for n in ("generated", "reference", "control")))
+        order = tables["order"]
+        pools = [tables[n].select("seq", order).withColumn("pool", F.lit(n)) for n in ("generated", "reference", "control")]
+        return ss.realism_of_pools(ss.realism_profiles(reduce(DataFrame.unionByName, pools), order, "pool"), "pool", "reference").drop("pool")
+    if kind == "realism_by_pool":
+        rows = ss.with_control(tables["sequences"], tables["pool"], tables["reference"], tables["seed"])
+        return ss.realism_of_pools(ss.realism_profiles(rows, tables["order"], tables["pool"]), tables["pool"], tables["reference"])
     raise ValueError(f"unknown evaluation {kind}")

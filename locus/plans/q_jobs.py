@@ -188,8 +188,10 @@ def survey(s, d, part):
 
 
 def measured(s, d):
-    m = rk.filter_measured(st.sequences(s, d).select("seq_id", F.col("n_chars").cast("double").alias("spec")), st.table(s, d, "labels").select(F.concat(F.lit("seq"), F.col("doc_id")).alias("seq_id")))
-    return host(s, d, rk.stratified_sample(m, "spec", 20, 5, 6).withColumnRenamed("seq_id", "peak_id"))
+    m = st.sequences(s, d).select("seq_id", F.col("n_chars").cast("double").alias("spec"))
+    known = st.table(s, d, "labels").select(F.concat(F.lit("seq"), F.col("doc_id")).alias("seq_id"))
+    meta = st.peaks(s, d).select(F.concat(F.lit("p"), "peak_id").alias("peak_id"), "chrom", "start", "end")
+    return pt.measured_scoring_set(m, known, meta, "p5", column="spec", n_random=20, n_extreme=5, seed=6)
 
 
 def generated(s, d):
@@ -202,12 +204,15 @@ def evaluation(s, d):
     """The three evaluations' headline numbers in one long table."""
     seqs = qq.seqs(s, d)
     m = ds.evaluate("motif", sequences=seqs, matrices=qm.matrices(s, d)).select(F.concat(F.lit("motif:"), "tf").alias("metric"), F.col("n_hits").cast("double").alias("value"))
-    en = qq.by_lang(s, d, "en")
-    r = ds.evaluate("realism", generated=qq.by_lang(s, d, "fr"), reference=en, control=qq.ss.random_control(en, 3), order="doc_id").select(F.concat(F.lit("realism:"), "metric").alias("metric"), F.col("realism").alias("value"))
-    o = ds.evaluate("oracle", sequences=qq.tiles(s, d).withColumn("context", F.col("seq")), load=qs.sc.kmer_linear_standin, panel={t: [0, 5] for t in qq.TYPES}, background=[10, 15])
+    r = ds.evaluate("realism_by_pool", sequences=seqs, pool="cell_type", reference="en", seed=3, order="doc_id").select(F.concat_ws(":", F.lit("realism"), "cell_type", "metric").alias("metric"), F.col("realism").alias("value"))
+    o = ds.evaluate("oracle", sequences=qq.tiles(s, d).withColumn("context", F.col("seq")), load=st.kmer_linear_standin, panel={t: [0, 5] for t in qq.TYPES}, background=[10, 15])
     return rounded(m.unionByName(r).unionByName(o.agg(F.avg("mssi_score").alias("value")).select(F.lit("oracle:mean").alias("metric"), "value")))
 
 
+def ablations(s, d):
+    return pt.motif_ablation_set(candidates(s, d), hit_rows(s, d), 40, [1, 0], 2, 2)
+
+
 def queries():
     return {
         "read_narrowpeak": read_narrowpeak,
@@ -228,8 +233,8 @@ def queries():
         "draw_dose": lambda s, d: pt.draw_dose(hit_rows(s, d), 2, 8),
         "occlusion_set": lambda s, d: host(s, d, pt.occlusion_set(candidates(s, d), TOP, 60, 7)),
         "cpg_swap_set": lambda s, d: host(s, d, pt.cpg_swap_set(candidates(s, d), TOP, 3, 1)),
-        "motif_ablation_set": lambda s, d: pt.motif_ablation_set(candidates(s, d), hit_rows(s, d), 40, [1, 0], 0, 2),
-        "motif_ablation_controls": lambda s, d: pt.motif_ablation_set(candidates(s, d), hit_rows(s, d), 40, [1, 0], 2, 2).filter(F.col("variant").contains("ctl")),
+        "motif_ablation_set": ablations,
+        "motif_ablation_controls": lambda s, d: ablations(s, d).filter(F.col("variant").contains("ctl")),
         "locus_survey_set": lambda s, d: survey(s, d, 0),
         "locus_survey_hosts": lambda s, d: rounded(survey(s, d, 1)),
         "measured_scoring_set": measured,
@@ -263,6 +268,23 @@ def oracle_sql():
       v AS (SELECT i, 'intact' AS kind, seq FROM ins UNION ALL SELECT i, 'cpg_up', {swap('GC', 1)} FROM ins UNION ALL SELECT i, 'ctl', {swap('AT', 1)} FROM ins)"""
     spans = f"{cand}, hits AS (SELECT seq_id, unnest(list_filter(generate_series(0, length(seq) - 9), lambda i: substr(seq, i + 1, 3) = 'TAC'))::INTEGER AS start FROM tiles)"
     drawn = "SELECT seq_id, start FROM (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY md5('{}:' || seq_id || ':' || start), start) AS n, count(*) OVER (PARTITION BY seq_id) AS m FROM hits) WHERE {}"
+    count2 = lambda w: f"len(list_filter(generate_series(1, length(seq) - 1), lambda i: substr(seq, i, 2) = '{w}'))"
+    keyed = lambda *k: "md5((3 + c) || ':' || " + " || ':' || ".join(k) + ")"
+    free = "len(list_filter(own, lambda o: s < o + 9 AND s + 9 > o)) = 0 AND len(list_filter(got, lambda o: s < o + 9 AND s + 9 > o)) = 0 AND s + 9 <= len"
+    mixed = lambda key: "array_to_string(list_transform(list_sort(list_transform(generate_series(0, 8), lambda i: {'k': " + key + ", 'c': substr(f.seq, start + i + 1, 1)})), lambda x: x.c), '')"
+    ablated = f"""WITH RECURSIVE {spans}, {best.format(40)}, x AS (SELECT 1 AS dose, * FROM ({drawn.format(3, 'n <= 1')}) UNION ALL SELECT 0, * FROM ({drawn.format(2, 'true')})),
+      sp AS (SELECT dose, seq_id, start, row_number() OVER (PARTITION BY dose, seq_id ORDER BY start) AS k FROM x),
+      f AS (SELECT dose, b.seq_id, rank, b.seq, 0::BIGINT AS k FROM best b JOIN (SELECT DISTINCT dose, seq_id FROM sp) d ON b.seq_id = d.seq_id
+        UNION ALL SELECT f.dose, f.seq_id, rank, substr(seq, 1, start) || {mixed(qq.md5(2, 'f.seq_id', 'start', 'i'))} || substr(seq, start + 10), sp.k FROM f JOIN sp ON f.seq_id = sp.seq_id AND f.dose = sp.dose AND sp.k = f.k + 1),
+      made AS (SELECT {prefix} || 'd' || dose || '_ablated' AS peak_id, seq_id AS parent_id, rank::INTEGER AS rank, 'd' || dose || '_ablated' AS variant, seq FROM f QUALIFY row_number() OVER (PARTITION BY dose, seq_id ORDER BY k DESC) = 1),
+      taken AS (SELECT seq_id, list(start) AS own FROM hits GROUP BY seq_id),
+      place AS (SELECT DISTINCT dose, b.seq_id, c, own, length(b.seq) AS len, [-1000] AS got, 0::BIGINT AS k FROM best b JOIN sp ON b.seq_id = sp.seq_id JOIN taken t ON t.seq_id = b.seq_id, (VALUES (0), (1)) v(c)
+        UNION ALL SELECT p.dose, p.seq_id, c, own, len, list_concat(got, list_filter(list_transform(generate_series(0, 99), lambda t: floor(('0x' || substr({keyed('p.seq_id', 'start', 't')}, 1, 8))::BIGINT / 4294967296.0 * greatest(1, len - 9))::INTEGER), lambda s: {free})[1:1]), sp.k
+        FROM place p JOIN sp ON p.seq_id = sp.seq_id AND p.dose = sp.dose AND sp.k = p.k + 1),
+      offs AS (SELECT dose, seq_id, c, unnest(got) AS start, generate_subscripts(got, 1) - 1 AS k FROM (SELECT * FROM place QUALIFY row_number() OVER (PARTITION BY dose, seq_id, c ORDER BY k DESC) = 1)),
+      g AS (SELECT dose, o.seq_id, c, rank, seq, 0::BIGINT AS k FROM offs o JOIN best b ON o.seq_id = b.seq_id WHERE o.k = 0
+        UNION ALL SELECT f.dose, f.seq_id, f.c, rank, substr(seq, 1, start) || {mixed(keyed('f.seq_id', 'start', 'i').replace('+ c', '+ f.c'))} || substr(seq, start + 10), o.k FROM g f JOIN offs o ON o.seq_id = f.seq_id AND o.dose = f.dose AND o.c = f.c AND o.k = f.k + 1),
+      control AS (SELECT {prefix} || 'd' || dose || '_ctl' || c AS peak_id, seq_id AS parent_id, rank::INTEGER AS rank, 'd' || dose || '_ctl' || c AS variant, seq FROM g QUALIFY row_number() OVER (PARTITION BY dose, seq_id, c ORDER BY k DESC) = 1)"""
     data_w = f"""w AS (SELECT doc_id, CASE WHEN source = 'src3' THEN 'xx' ELSE lang END AS chrom, (doc_id * 7919) % 60000 AS start FROM documents),
       cut AS (SELECT 'w' || doc_id AS peak_id, w.chrom, doc_id, substr(whole, start + 1, {L}) AS seq FROM w JOIN contig USING (chrom)),
       ok AS (SELECT * FROM cut WHERE length(seq) = {L} AND length(regexp_replace(seq, '[^N]', '', 'g')) / length(seq) <= 0.36)"""
@@ -294,12 +316,11 @@ def oracle_sql():
         "occlusion_set": f"""WITH {st.PEAKS}, {cand}, {best.format(TOP)}, v AS (SELECT {prefix} || 'intact' AS peak_id, seq_id AS parent_id, rank::INTEGER AS rank, 'intact' AS variant, seq FROM best
           UNION ALL SELECT {prefix} || 'tile' || t, seq_id, rank::INTEGER, 'tile' || t, {occ} FROM (SELECT *, unnest(generate_series(0, length(seq) - 1, 60)) AS t FROM best)) SELECT * FROM v, {at_host}""",
         "cpg_swap_set": f"WITH {st.PEAKS}, {cand}, {best.format(TOP)}, v AS ({swaps}) SELECT {prefix} || variant AS peak_id, seq_id AS parent_id, rank::INTEGER AS rank, variant, seq, ({cg('seq')} - {cg('old')})::INTEGER AS delta_cpg, h.* FROM v, {at_host} h",
-        "motif_ablation_set": f"""WITH RECURSIVE {spans}, {best.format(40)}, x AS (SELECT 1 AS dose, * FROM ({drawn.format(3, 'n <= 1')}) UNION ALL SELECT 0, * FROM ({drawn.format(2, 'true')})),
-          sp AS (SELECT dose, seq_id, start, row_number() OVER (PARTITION BY dose, seq_id ORDER BY start) AS k FROM x),
-          f AS (SELECT dose, b.seq_id, rank, b.seq, 0::BIGINT AS k FROM best b JOIN (SELECT DISTINCT dose, seq_id FROM sp) d ON b.seq_id = d.seq_id
-            UNION ALL SELECT f.dose, f.seq_id, rank, substr(seq, 1, start) || array_to_string(list_transform(list_sort(list_transform(generate_series(0, 8), lambda i: {{'k': {qq.md5(2, 'f.seq_id', 'start', 'i')}, 'c': substr(f.seq, start + i + 1, 1)}})), lambda x: x.c), '') || substr(seq, start + 10), sp.k
-            FROM f JOIN sp ON f.seq_id = sp.seq_id AND f.dose = sp.dose AND sp.k = f.k + 1)
-          SELECT {prefix} || 'd' || dose || '_ablated' AS peak_id, seq_id AS parent_id, rank::INTEGER AS rank, 'd' || dose || '_ablated' AS variant, seq FROM f QUALIFY row_number() OVER (PARTITION BY dose, seq_id ORDER BY k DESC) = 1""",
+        "motif_ablation_set": f"{ablated} SELECT * FROM made UNION ALL SELECT * FROM control",
+        "motif_ablation_controls": f"{ablated} SELECT * FROM control",
+        "evaluate": f"""SELECT 'motif:' || tf AS metric, n::DOUBLE AS value FROM (WITH {qm.HITS} SELECT tf, count(h.seq_id) AS n FROM (SELECT DISTINCT tf FROM counts) f LEFT JOIN hits h USING (tf) GROUP BY tf)
+          UNION ALL SELECT 'realism:' || cell_type || ':' || metric, realism FROM ({qq.REALISM})
+          UNION ALL SELECT 'oracle:mean', round(avg(score), 6) FROM (WITH {qq.TL} SELECT ({count2('AA')} + {count2('CC')}) / 2.0::DOUBLE - ({count2('GG')} + {count2('TT')}) / 2.0::DOUBLE AS score FROM tiles)""",
         "locus_survey_set": f"""WITH {survey_ctes} SELECT locus || '_i' || lpad(i::VARCHAR, 2, '0') || '_' || kind AS seq_id, v.seq, 'c' AS chrom, tile AS start, tile + 1 AS "end" FROM loci, v""",
         "locus_survey_hosts": f"""WITH {survey_ctes} SELECT locus, seq_id AS peak_id, 'c' AS chrom, tile AS start, doc_id::DOUBLE AS peak_score, {oe} AS host_cpg_oe, round({qq.count_of('GC')} / length(seq), 6) AS host_gc FROM loci""",
         "measured_scoring_set": f"""WITH {st.PEAKS}, {st.sequences_sql()}, m AS (SELECT seq_id, n_chars::DOUBLE AS spec FROM sequences WHERE doc_id IN (SELECT doc_id FROM labels)), t AS (SELECT * FROM m ORDER BY spec DESC, seq_id DESC LIMIT 5), b AS (SELECT * FROM m ORDER BY spec, seq_id LIMIT 5),

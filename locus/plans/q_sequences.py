@@ -43,14 +43,10 @@ def conditions(s, d):
     return out.select("seq_id", F.transform("condition", lambda x: F.round(x, 6)).alias("condition"))
 
 
-def by_lang(s, d, lang):
-    return seqs(s, d).filter(F.col("cell_type") == lang)
-
-
 def compare(s, d):
-    en = by_lang(s, d, "en")
-    a, b, c = (ss.realism_profile(x, "doc_id") for x in (by_lang(s, d, "fr"), en, ss.random_control(en, 3)))
-    return rounded(ss.realism_compare(a, b, c))
+    """Every language against English and random sequences of English lengths."""
+    rows = ss.with_control(seqs(s, d), "cell_type", "en", 3)
+    return rounded(ss.realism_of_pools(ss.realism_profiles(rows, "doc_id", "cell_type"), "cell_type", "en"))
 
 
 def entropies(s, d):
@@ -152,8 +148,13 @@ SPANS = f"spans AS (SELECT seq_id, seq, unnest(list_filter(generate_series(0, le
 FIT = f"""counts AS (SELECT substr(g, 1, {K}) AS context, substr(g, {K + 1}, 1) AS base, count(*) AS n FROM (SELECT substr(seq, unnest(generate_series(1, length(seq) - {K})), {K + 1}) AS g FROM sequences) GROUP BY ALL),
 fit AS (SELECT context, base, coalesce(n, 0) AS n, (coalesce(n, 0) + 1.0) / (sum(coalesce(n, 0)) OVER (PARTITION BY context) + 4.0) AS p
   FROM (SELECT DISTINCT context, unnest(['A', 'C', 'G', 'T']) AS base FROM counts) LEFT JOIN counts USING (context, base))"""
+LANGS = [t for t in TYPES if t != "en"]
 UNPIVOT = " UNION ALL ".join(f"SELECT '{m}' AS metric, a.{m}::DOUBLE AS generated, b.{m}::DOUBLE AS reference, c.{m}::DOUBLE AS control FROM a, b, c" for m in ss.METRICS)
 
+REALISM = f"""WITH {SQ}, rnd AS ({RANDOM.format("sequences WHERE cell_type = 'en'")}), b AS ({profile("(SELECT * FROM sequences WHERE cell_type = 'en')", 0)}), c AS ({profile('rnd', 0)}),
+  m AS (""" + " UNION ALL ".join(f"SELECT '{t}' AS cell_type, * FROM (WITH a AS ({profile(f"(SELECT * FROM sequences WHERE cell_type = '{t}')", 0)}) {UNPIVOT})" for t in LANGS) + """)
+  SELECT cell_type, metric, round(generated, 6) AS generated, round(reference, 6) AS reference, round(control, 6) AS control, round(1 - (generated - reference) / (control - reference), 6) AS realism FROM m WHERE abs(control - reference) >= 1e-12"""
+
 
 def oracle_sql():
     return {
@@ -176,9 +177,7 @@ def oracle_sql():
         "cpg_obs_exp_pool": f"WITH {SQ} SELECT round({oe('sequences')}, 6) AS cpg_oe",
         "median_longest_run": f"WITH {SQ} SELECT {median('sequences')} AS median_run",
         "realism_profile": f"WITH {SQ} {profile('sequences')}",
-        "realism_compare": f"""WITH {SQ}, fr AS (SELECT * FROM sequences WHERE cell_type = 'fr'), en AS (SELECT * FROM sequences WHERE cell_type = 'en'), rnd AS ({RANDOM.format('en')}),
-          a AS ({profile('fr', 0)}), b AS ({profile('en', 0)}), c AS ({profile('rnd', 0)}), m AS ({UNPIVOT})
-          SELECT metric, round(generated, 6) AS generated, round(reference, 6) AS reference, round(control, 6) AS control, round(1 - (generated - reference) / (control - reference), 6) AS realism FROM m WHERE abs(control - reference) >= 1e-12""",
+        "realism_compare": REALISM,
         "random_control": f"WITH {SQ}, r AS ({RANDOM.format('sequences')}) SELECT seq_id, seq FROM r",
         "swap_dinucleotides": f"""WITH {TL}, o AS (SELECT seq_id, seq, list_filter(generate_series(0, length(seq) - 2), lambda i: substr(seq, i + 1, 2) = 'GC') AS at FROM tiles),
           c AS (SELECT seq_id, seq, list_transform(list_sort(list_transform(at, lambda i: {{'k': {md5(1, 'seq_id', 'i')}, 'i': i}}))[1:3], lambda x: x.i) AS ch FROM o)

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +78,22 @@ def tiles_sql(length: int, letters: str = "ACGT") -> str:
     return sequences_sql(letters) + f""",
 tiles AS (SELECT doc_id, seq_id || '_' || tile AS seq_id, tile, substr(seq, tile * {length} + 1, {length}) AS seq, cell_type, source, n_chars
   FROM (SELECT *, unnest(generate_series(0, (length(seq) - 1) // {length}))::INTEGER AS tile FROM sequences WHERE length(seq) > 0))"""
+
+
+def kmer_linear_standin(k: int = 2) -> Callable[[list[str]], np.ndarray]:
+    """A stand-in for a model, for tests: track i is the count of the i-th k-mer in alphabetical order."""
+    from itertools import product
+
+    kmers = ["".join(x) for x in product("ACGT", repeat=k)]
+
+    def predict(seqs: list[str]) -> np.ndarray:
+        number = {m: i for i, m in enumerate(kmers)}
+        out = np.zeros((len(seqs), len(kmers)))
+        for r, s in enumerate(seqs):
+            for i in range(len(s) - k + 1):
+                j = number.get(s[i : i + k])
+                if j is not None:
+                    out[r, j] += 1
+        return out
+
+    return predict

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locus.functions import seq as fn
+from locus.plans import standins as st
 from locus.operators import features as ft
 from locus.operators import genome as gn
 from locus.operators import grammar as gr
@@ -226,7 +227,7 @@ def test_scores(spark):
     df = spark.createDataFrame([("s", "B", [float(i) for i in range(20)])], "seq_id string, cell_type string, tracks array<float>")
     row = sc.mssi(df, {"B": [10, 12]}, [0, 2]).first()
     assert row["mssi_score"] == 10 and row["target_signal"] == [10, 12]
-    out = sc.score_with(seqs(spark, "ACAC"), sc.kmer_linear_standin).first()["tracks"]
+    out = sc.score_with(seqs(spark, "ACAC"), st.kmer_linear_standin).first()["tracks"]
     assert sum(out) == 3 and out[1] == 2
     with pytest.raises(Exception, match="no model"):
         sc.score_with(seqs(spark, "ACAC"), lambda: None).collect()
