@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from locus.functions import seq as fn
 from locus.functions.rand import shuffle_key
-from locus.operators.ranking import filter_measured, fixed_host, numbered, stratified_sample, text_code
+from locus.operators.ranking import filter_measured, fixed_host, numbered, stratified_sample
 
 #: The swap variants and the dinucleotide that each reverses.
 SWAPS = {"cpg_up": "GC", "cpg_down": "CG", "ctl_at": "AT", "ctl_ta": "TA"}
@@ -109,7 +109,7 @@ def locus_survey_set(inserts: DataFrame, loci: DataFrame, hosts: DataFrame, swap
     swapped = {"cpg_up": "GC", "ctl": "AT"}
     kinds = F.array(_variant("intact", F.col("seq")), *[_variant(n, fn.swap_dinucleotides(F.col("seq"), w, swaps, seed, F.col("seq_id"))["seq"]) for n, w in swapped.items()])
     variants = listed.select("_i", F.explode(kinds).alias("v")).select(F.concat(F.format_string("i%02d_", "_i"), F.col("v.variant")).alias("variant"), F.col("v.seq").alias("seq"))
-    rows = numbered(loci, text_code(loci, "peak_id"), [F.col("peak_id")], "_i").withColumn("locus", F.format_string("L%02d", "_i")).drop("_i", "total")
+    rows = numbered(loci, [F.col("peak_id")], "_i").withColumn("locus", F.format_string("L%02d", "_i")).drop("_i", "total")
     placed = rows.join(hosts.select("peak_id", F.col("seq").alias("_host")), "peak_id")
     records = placed.crossJoin(F.broadcast(variants)).select(F.concat_ws("_", "locus", "variant").alias("seq_id"), "seq", "chrom", "start", "end")
     table = placed.select("locus", "peak_id", "chrom", "start", "peak_score", fn.cpg_obs_exp(F.col("_host")).alias("host_cpg_oe"), fn.gc_fraction(F.col("_host")).alias("host_gc"))

@@ -1,57 +1,39 @@
 """Ranking, selection, splits and sampling.
 
-Order ties break by id. Numbering a whole table never uses one task: rows are cut into
-buckets at approximate quantiles, numbered inside them, and offset by the buckets' counts.
+Order ties break by id. Numbering a whole table never uses one task: rows are dealt into sorted
+parts at sampled splitters, numbered inside them, and offset by the parts' counts.
 """
 
 from __future__ import annotations
 
-import math
-import os
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locus.functions.rand import shuffle_key, uniform
+from locus.operators.shared import reused
 
-#: Rows per bucket that numbering aims at, and the least and most buckets.
-BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 250_000, 64, 1024
-
-
-def text_code(df: DataFrame, column: str) -> Column:
-    """A number that rises with a string (its six bytes behind what all values start with) or is the number itself."""
-    if df.schema[column].dataType.typeName() != "string":
-        return F.col(column).cast("double")
-    low, high = df.agg(F.min(column), F.max(column)).first()
-    shared = len(os.path.commonprefix([low or "", high or ""]))
-    digits = F.rpad(F.substring(F.hex(F.substring(F.col(column), shared + 1, 6)), 1, 12), 12, "0")
-    return F.conv(digits, 16, 10).cast("double")
+#: Rows per part that numbering aims at.
+BUCKET_ROWS = 250_000
 
 
-def numbered(df: DataFrame, code: Column, order: list[Column], name: str = "row", bucket: str | None = None) -> DataFrame:
-    """Adds `name` (from 0, in the given order) and total; `code` is a number that rises with the order.
+def numbered(df: DataFrame, order: list[Column], name: str = "row", bucket: str | None = None) -> DataFrame:
+    """Adds `name` (from 0, in the given order) and total.
 
-    The number of buckets grows with the rows. With `bucket`, that column tells a row's bucket, which rises with the order.
+    A sample sort: Spark samples splitters over all columns of the order, so that rows equal in the
+    first still split by the ones behind, deals rows into parts of about BUCKET_ROWS and sorts them; a row's
+    number is its place in its part plus the rows of the parts before. The parts are made once,
+    since other splitters would give other parts. With `bucket`, that column tells a row's part,
+    which rises with the order.
     """
-    at = F.lit([i / MOST_BUCKETS for i in range(1, MOST_BUCKETS)])
-    n, cuts = df.agg(F.count(F.lit(1)), F.percentile_approx(code.cast("double"), at, F.lit(10_000))).first()
-    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-n // BUCKET_ROWS)))
-    cuts = sorted(set((cuts or [])[MOST_BUCKETS // buckets - 1 :: MOST_BUCKETS // buckets]))
-    size = max(1, math.isqrt(len(cuts)))
-    groups = [cuts[i : i + size] for i in range(0, len(cuts), size)]
-    below = lambda values: F.size(F.filter(values, lambda c: c < code.cast("double")))
-    place = F.lit(0)
-    if groups:
-        # Two steps: groups of cuts that begin below the code, then the cuts of the last such group.
-        group = below(F.lit([g[0] for g in groups]))
-        place = F.when(group > 0, (group - 1) * size + below(F.get(F.array(*[F.lit(g) for g in groups]), group - 1))).otherwise(0)
-    mark = bucket or "_bucket"
-    rows = df.withColumn(mark, F.when(code.isNull(), 0).otherwise(place))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // BUCKET_ROWS))
+    place = F.monotonically_increasing_id()  # the part in the upper bits, the place in it in the lower 33
+    rows = reused(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_place", place))
+    mark, inside = bucket or "_bucket", F.col("_place").bitwiseAND((1 << 33) - 1)
+    rows = rows.withColumns({mark: F.shiftright("_place", 33), "_in": inside}).drop("_place")
     counts = rows.groupBy(mark).agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.select(mark, (F.sum("_n").over(W.orderBy(mark)) - F.col("_n")).alias("_start"), F.sum("_n").over(W.partitionBy()).alias("total"))
-    inside = F.row_number().over(W.partitionBy(mark).orderBy(*order)) - 1
-    out = rows.withColumn("_in", inside).join(F.broadcast(starts), mark)  # at most MOST_BUCKETS rows
+    out = rows.join(F.broadcast(starts), mark)  # a row per part
     return out.withColumn(name, F.col("_start") + F.col("_in")).drop("_in", "_start", *([] if bucket else [mark]))
 
 
@@ -88,7 +70,7 @@ def choose_loci(windows: DataFrame, n: int, seed: int, id_col: str = "peak_id",
     """n windows spread over the peak-score range: one at random in each of n equal strata of the order."""
     if validate and windows.limit(n).count() < n:
         raise ValueError(f"fewer than {n} windows")
-    rows = numbered(windows, F.col("peak_score"), [F.col("peak_score"), F.col(id_col)])
+    rows = numbered(windows, [F.col("peak_score"), F.col(id_col)])
     stratum = F.least(F.floor((F.col("row") * n + n - 1) / F.col("total")), F.lit(n - 1))  # corrected below by its edges
     first = lambda i: F.floor(i * F.col("total") / n)
     stratum = F.when(F.col("row") < first(stratum), stratum - 1).when(F.col("row") >= first(stratum + 1), stratum + 1).otherwise(stratum)
@@ -116,7 +98,7 @@ def stratified_sample(df: DataFrame, column: str, n_random: int, n_extreme: int,
 
 def train_val_split(df: DataFrame, fraction: float, seed: int, id_col: str = "seq_id") -> DataFrame:
     """Adds is_val for exactly int(n * fraction) rows, chosen by a keyed order."""
-    rows = numbered(df, uniform(seed, F.col(id_col)), [shuffle_key(seed, F.col(id_col)), F.col(id_col)])
+    rows = numbered(df, [shuffle_key(seed, F.col(id_col)), F.col(id_col)])
     return rows.withColumn("is_val", F.col("row") < F.floor(F.col("total") * fraction)).drop("row", "total")
 
 
@@ -154,7 +136,7 @@ def place_inserts(loci: DataFrame, variants: DataFrame, hosts: DataFrame) -> Dat
 
     The list of variants is short by design; loci without a host are left out.
     """
-    rows = numbered(loci, text_code(loci, "peak_id"), [F.col("peak_id")], "_i").drop("total")
+    rows = numbered(loci, [F.col("peak_id")], "_i").drop("total")
     placed = rows.join(hosts.select("peak_id"), "peak_id", "left_semi")
     return placed.crossJoin(F.broadcast(variants)).withColumn("seq_id", F.concat(F.lit("L"), F.format_string("%02d", F.col("_i")), F.lit("_"), F.col("variant"))).drop("_i")
 
@@ -163,7 +145,7 @@ def assign_hosts(ids: DataFrame, windows: DataFrame, seed: int, locus_id: str |
     """A host window for each sample_id, drawn with replacement, or the one given for all."""
     if locus_id is not None:
         return ids.crossJoin(F.broadcast(windows.filter(F.col("peak_id") == locus_id).limit(1)))
-    hosts = numbered(windows, uniform(seed, F.col("peak_id")), [shuffle_key(seed, F.col("peak_id")), F.col("peak_id")], "_row")
+    hosts = numbered(windows, [shuffle_key(seed, F.col("peak_id")), F.col("peak_id")], "_row")
     n = hosts.agg(F.max("total").alias("_n"))
     drawn = ids.crossJoin(F.broadcast(n)).withColumn("_row", F.floor(uniform(seed, "host", F.col("sample_id")) * F.col("_n")))
     return drawn.join(hosts.drop("total"), "_row").drop("_row", "_n")

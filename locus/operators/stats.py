@@ -126,12 +126,12 @@ def bh_fdr(tests: DataFrame, key: str = "statistic") -> DataFrame:
 
     Ranks and the least value behind a row come from buckets of p and a table of one row per bucket.
     """
-    ranked = numbered(tests, F.col("p"), [F.col("p"), F.col(key)], "_rank", bucket="_b")
+    ranked = numbered(tests, [F.col("p"), F.col(key)], "_rank", bucket="_b")
     ranked = ranked.withColumn("_v", F.col("p") * F.col("total") / (F.col("_rank") + 1))
     later = W.orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
     carried = ranked.groupBy("_b").agg(F.min("_v").alias("_min")).select("_b", F.min("_min").over(later).alias("_later"))
     inside = F.min("_v").over(W.partitionBy("_b").orderBy(F.desc("_rank")))
-    out = ranked.withColumn("_in", inside).join(F.broadcast(carried), "_b")  # one row per bucket
+    out = ranked.withColumn("_in", inside).join(F.broadcast(carried), "_b")  # one row per part
     return out.withColumn("q", F.least(F.lit(1.0), "_in", "_later")).drop("_rank", "_b", "_v", "_in", "_later", "total")
 
 

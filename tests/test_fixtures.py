@@ -219,7 +219,7 @@ def test_selection(spark):
 
 def test_numbering_is_the_order(spark):
     df = spark.createDataFrame([(i, float((i * 7919) % 1000 // 3)) for i in range(1000)], "id int, v double").repartition(7)
-    got = sorted(rk.numbered(df, F.col("v"), [F.col("v"), F.col("id")]).collect(), key=lambda r: r["row"])
+    got = sorted(rk.numbered(df, [F.col("v"), F.col("id")]).collect(), key=lambda r: r["row"])
     assert [r["row"] for r in got] == list(range(1000)) and [(r["v"], r["id"]) for r in got] == sorted((r["v"], r["id"]) for r in got)
 
 
@@ -327,9 +327,9 @@ def test_numbering_over_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(rk, "BUCKET_ROWS", 5)
     rows = [(f"chr_{(i * 7919) % 3001:05d}", float((i * 31) % 97) if i % 50 else None) for i in range(3000)]
     df = spark.createDataFrame(rows, "id string, x double")
-    by_text = rk.numbered(df, rk.text_code(df, "id"), [F.col("id")]).collect()
+    by_text = rk.numbered(df, [F.col("id")]).collect()
     assert {r["id"]: r["row"] for r in by_text} == {k: n for n, k in enumerate(sorted(k for k, _ in rows))}
-    by_number = rk.numbered(df, F.col("x"), [F.col("x"), F.col("id")]).collect()
+    by_number = rk.numbered(df, [F.col("x"), F.col("id")]).collect()
     want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
     assert {r["id"]: r["row"] for r in by_number} == {k: n for n, (k, _) in enumerate(want)}
 
