@@ -7,19 +7,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Line prefixes of the metadata format, the address that downloads use instead, and accession patterns.
-RECORD, TITLE, TRAITS, FILES, ORGANISM, STRATEGY = "^SAMPLE", "!Sample_title", "!Sample_characteristics_ch1", "!Sample_supplementary_file", "!Sample_organism_ch1", "!Sample_library_strategy"
+SERIES, RECORD, TITLE, TRAITS, FILES, ORGANISM, STRATEGY = "^SERIES", "^SAMPLE", "!Sample_title", "!Sample_characteristics_ch1", "!Sample_supplementary_file", "!Sample_organism_ch1", "!Sample_library_strategy"
 FTP, HTTPS = "ftp://ftp.ncbi.nlm.nih.gov", "https://ftp.ncbi.nlm.nih.gov"
 ACCESSION = r"(EFO_\d+|MONDO_\d+|HP_\d+|GSE\d+)"
 
 
 def parse_sample_metadata(texts: DataFrame) -> DataFrame:
-    """texts(accession, text) to one row per sample: gsm, title, organism, library_strategy, characteristics, supplementary_urls.
-
-    Scalars take the last line that gives them, lists keep file order, lines before the first record are ignored.
-    """
+    """texts(accession, text), short ones held whole, to one row per sample (see sample_records)."""
     lines = texts.select("accession", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("pos", "line")).withColumn("line", F.rtrim("line"))
     sample = F.sum(F.startswith("line", F.lit(RECORD)).cast("int")).over(W.partitionBy("accession").orderBy("pos"))
-    rows = lines.withColumn("sample", sample).filter("sample > 0").withColumn("value", F.trim(F.regexp_replace("line", r"^[^=]*=", "")))
+    return sample_records(lines.withColumn("sample", F.nullif(sample, F.lit(0))))
+
+
+def sample_records(lines: DataFrame) -> DataFrame:
+    """lines(accession, sample, pos, line) to one row per sample: gsm, title, organism, library_strategy, characteristics, supplementary_urls.
+
+    Scalars take the last line that gives them, lists keep the order of pos, lines of no sample are ignored.
+    """
+    rows = lines.filter("sample IS NOT NULL").withColumn("value", F.trim(F.regexp_replace("line", r"^[^=]*=", "")))
 
     def starts(prefix: str) -> Column:
         return F.startswith("line", F.lit(prefix))
@@ -36,6 +41,12 @@ def parse_sample_metadata(texts: DataFrame) -> DataFrame:
     ).drop("sample")
 
 
+def first_assembly(lines: DataFrame) -> DataFrame:
+    """accession and the genome_build that its first line with one names; null without any."""
+    build = extract_assembly(F.col("line"))
+    return lines.groupBy("accession").agg(F.min_by(build, F.when(build.isNotNull(), F.col("pos"))).alias("genome_build"))
+
+
 def extract_assembly(text: Column) -> Column:
     found = F.regexp_extract(text, r"Assembly:\s*(\S+)", 1)
     return F.when(found != "", found)

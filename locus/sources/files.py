@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from locus.operators import provenance as pv
+
 #: The ten columns of the narrowPeak layout, and the renamed columns of the other format.
 NARROW = ["chrom", "start", "end", "name", "peak_score", "strand", "fold_enrichment", "p_value", "q_value", "summit_offset"]
 HOMER = {"chr": "chrom", "start": "start", "end": "end", "findPeaks Score": "peak_score", "Fold Change vs Local": "fold_enrichment"}
@@ -114,29 +116,60 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return out.groupBy("seq_id").agg(F.max_by("seq", "_at").alias("seq"))
 
 
-def read_genome(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """A genome's FASTA files as (chrom, line_no, seq), one row per line, for tile_genome.
-
-    A line belongs to the last header before it: found within a file's block, else carried from
-    the blocks before it, so a large file is read by many tasks. line_no rises along a contig,
-    with gaps; a contig may go on in further files, in the order of their names, each of which
-    begins with its header again. Text before a file's first header is left out.
-    """
+def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Lines of text files, with their file _f, its _size, the start _s of their block and a number _line that rises in the file."""
     text = spark.read.text(paths).select(
-        F.rtrim("value").alias("seq"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_size").alias("_size"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_i")
+        F.rtrim("value").alias("line"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_size").alias("_size"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_i")
     )
-    block = W.partitionBy("_f", "_s").orderBy("_i")
-    head = F.when(F.startswith("seq", F.lit(">")), F.regexp_extract("seq", r"^>\s*(\S*)", 1))
     # A line takes at least a byte, so block start and number within the block order all lines of a file.
-    rows = text.withColumns({"_head": head, "_line": F.col("_s") + F.row_number().over(block)})
-    blocks = rows.groupBy("_f", "_s").agg(F.max_by("_head", F.when(F.col("_head").isNotNull(), F.col("_i"))).alias("_last"), F.max("_size").alias("_size"))
+    return text.withColumn("_line", F.col("_s") + F.row_number().over(W.partitionBy("_f", "_s").orderBy("_i"))).drop("_i")
+
+
+def _fill_down(rows: DataFrame, marks: dict[str, Column]) -> DataFrame:
+    """Adds to each of _lines' rows the last value of each mark that isn't null, at or before it in its file.
+
+    Found within the row's block, else carried over from the blocks before it by a window over
+    one row per block, so a file is as many tasks as it has blocks.
+    """
+    rows = rows.withColumns({f"_m_{n}": c for n, c in marks.items()})
+    block = W.partitionBy("_f", "_s").orderBy("_line").rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy("_f").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
-    per_file = blocks.groupBy("_f").agg((F.max("_size") + 1).alias("_n"))  # a row per file
+    last = rows.groupBy("_f", "_s").agg(*[F.max_by(f"_m_{n}", F.when(F.col(f"_m_{n}").isNotNull(), F.col("_line"))).alias(f"_l_{n}") for n in marks])
+    carried = last.select("_f", "_s", *[F.last(f"_l_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in marks])
+    own = {f"_o_{n}": F.last(f"_m_{n}", ignorenulls=True).over(block) for n in marks}
+    out = rows.withColumns(own).join(carried, ["_f", "_s"]).withColumns({n: F.coalesce(f"_o_{n}", f"_c_{n}") for n in marks})
+    return out.drop(*[f"_{k}_{n}" for k in "moc" for n in marks])
+
+
+def read_genome(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """A genome's FASTA files as (chrom, line_no, seq), one row per line, for tile_genome.
+
+    A line belongs to the last header before it in its file. line_no rises along a contig, with
+    gaps; a contig may go on in further files, in the order of their names, each of which begins
+    with its header again. Text before a file's first header is left out.
+    """
+    rows = _lines(spark, paths)
+    head = F.when(F.startswith("line", F.lit(">")), F.regexp_extract("line", r"^>\s*(\S*)", 1))
+    per_file = rows.groupBy("_f").agg((F.max("_size") + 1).alias("_n"))  # a row per file
     offsets = per_file.select("_f", F.coalesce(F.sum("_n").over(W.orderBy("_f").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    carried = blocks.select("_f", "_s", F.last("_last", ignorenulls=True).over(before).alias("_carry")).join(offsets, "_f")
-    named = rows.withColumn("_own", F.last("_head", ignorenulls=True).over(block)).join(carried, ["_f", "_s"])
-    out = named.filter("_head IS NULL").select(F.coalesce("_own", "_carry").alias("chrom"), (F.col("_offset") + F.col("_line")).alias("line_no"), "seq")
-    return out.filter(F.col("chrom").isNotNull() & (F.length("seq") > 0))
+    out = _fill_down(rows, {"chrom": head}).filter(~F.startswith("line", F.lit(">")) & F.col("chrom").isNotNull() & (F.length("line") > 0))
+    return out.join(offsets, "_f").select("chrom", (F.col("_offset") + F.col("_line")).alias("line_no"), F.col("line").alias("seq"))
+
+
+def read_sample_metadata(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Lines (accession, sample, pos, line) of SOFT files, for provenance.sample_records and first_assembly.
+
+    Large files are read by many tasks: the series and the record that a line belongs to are
+    carried over lines. The accession is the value of the last ^SERIES line, else the file's name
+    up to its first dot or underscore; lines before a series' first record have a null sample.
+    """
+    value = F.trim(F.regexp_replace("line", r"^[^=]*=", ""))
+    series = F.when(F.startswith("line", F.lit(pv.SERIES)), F.struct(value.alias("v"), F.col("_line").alias("at")))
+    sample = F.when(F.startswith("line", F.lit(pv.RECORD)), F.col("_line"))
+    rows = _fill_down(_lines(spark, paths), {"series": series, "sample": sample})
+    name = F.regexp_extract("_f", r"([^/._]+)[^/]*$", 1)
+    begun = F.when(F.coalesce(F.col("sample") > F.col("series.at"), F.col("sample").isNotNull()), F.concat_ws(":", "_f", "sample"))
+    return rows.select(F.coalesce("series.v", name).alias("accession"), begun.alias("sample"), F.struct("_f", "_line").alias("pos"), "line")
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
