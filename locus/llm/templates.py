@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from locus.llm.common import written
 
 WINDOW, MIN_TOKENS, MIN_LITERALS = 8, 13, 4
+#: Items with fewer words than this (slots left out) are no templates: others would share them by chance.
+LEAST_WORDS = 3
+TEMPLATE, VERBATIM, ALONE = 0, 1, 2
 #: Benchmark windows that may be broadcast, about 40 bytes each; above, the join is shuffled.
 BROADCAST_WINDOWS = 2_000_000
 BROADCAST_IDS = 1_000_000
@@ -53,9 +56,10 @@ def is_slot(token: Column) -> Column:
     return token.contains("<name>") | token.contains("<num>") | token.contains("<unit>")
 
 
-def windows(df: DataFrame, key: str, widths: list[int] | None = None) -> DataFrame:
-    """key, width, pos and window hash of every run of template tokens of the given widths (WINDOW by default)."""
-    hashed = df.select(key, F.transform(tokens(template(F.col("text"))), lambda t: F.xxhash64(t)).alias("_h"))
+def windows(df: DataFrame, key: str, widths: list[int] | None = None, verbatim: bool = False) -> DataFrame:
+    """key, width, pos and window hash of every run of template (or verbatim) tokens of the given widths (WINDOW by default)."""
+    said = F.lower("text") if verbatim else template(F.col("text"))
+    hashed = df.select(key, F.transform(tokens(said), lambda t: F.xxhash64(t)).alias("_h"))
 
     def hashes(width: int) -> Column:
         last = F.size("_h") - width
@@ -90,13 +94,21 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 
 
 def whole_items(benchmark: DataFrame) -> DataFrame:
-    """Items without a window for item_windows: their length and the hash of their first tokens, WINDOW at most."""
-    toks = benchmark.select("item_id", tokens(template(F.col("text"))).alias("_t")).filter("_t[0] <> ''")
+    """Items without a window for item_windows: their length, how they are matched, and the hash of their first tokens, WINDOW at most.
+
+    With at least LEAST_WORDS words that are no slots they are matched by their template; else
+    verbatim from WINDOW tokens on, and shorter ones only as a document's whole text (the hash
+    is then that of all tokens).
+    """
+    toks = benchmark.select("item_id", tokens(template(F.col("text"))).alias("_t"), tokens(F.lower("text")).alias("_v")).filter("_t[0] <> ''")
     literal = F.transform("_t", lambda t: F.when(is_slot(t), 0).otherwise(1))
-    most = F.array_max(F.transform(F.sequence(F.lit(0), F.greatest(F.size("_t") - WINDOW, F.lit(0))), lambda i: F.aggregate(F.slice(literal, i + 1, WINDOW), F.lit(0), lambda a, b: a + b)))
-    poor = toks.filter((F.size("_t") < WINDOW) | (most < MIN_LITERALS))
-    hashes = F.transform(F.slice("_t", 1, WINDOW), lambda t: F.xxhash64(t))
-    return poor.select("item_id", F.size("_t").alias("n_item"), F.least(F.size("_t"), F.lit(WINDOW)).alias("width"), F.xxhash64(hashes).alias("window")).distinct()
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, b: a + b)
+    most = F.array_max(F.transform(F.sequence(F.lit(0), F.greatest(F.size("_t") - WINDOW, F.lit(0))), lambda i: total(F.slice(literal, i + 1, WINDOW))))
+    few = total(literal) < LEAST_WORDS
+    poor = toks.filter((F.size("_t") < WINDOW) | (most < MIN_LITERALS) | few)
+    how = F.when(~few, TEMPLATE).when(F.size("_t") >= WINDOW, VERBATIM).otherwise(ALONE)
+    hashes = F.transform(F.slice(F.when(few, F.col("_v")).otherwise(F.col("_t")), 1, WINDOW), lambda t: F.xxhash64(t))
+    return poor.select("item_id", F.size("_t").alias("n_item"), how.alias("how"), F.least(F.size("_t"), F.lit(WINDOW)).alias("width"), F.xxhash64(hashes).alias("window")).distinct()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -107,19 +119,32 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     of_items = written(item_windows(benchmark), "item-windows")
     whole = written(whole_items(benchmark), "whole-items")
-    widths = sorted({WINDOW} | {r[0] for r in whole.select("width").distinct().collect()})  # WINDOW values at most
-    known = written(of_items.select("width", "window").union(whole.select("width", "window")).distinct(), "known-windows")
+    kinds = {(r["how"], r["width"]) for r in whole.select("how", "width").distinct().collect()}  # three times WINDOW at most
+    widths = sorted({WINDOW} | {w for how, w in kinds if how == TEMPLATE})
+    known = written(of_items.select("width", "window").union(whole.filter(F.col("how") == TEMPLATE).select("width", "window")).distinct(), "known-windows")
     few = known.count() <= BROADCAST_WINDOWS
     found = written(windows(docs, "doc_id", widths).join(F.broadcast(known) if few else known, ["width", "window"]), "found-windows")
     runs = found.join(of_items, ["width", "window"]).groupBy("doc_id", "item_id", "n_needed", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
         F.countDistinct("item_pos").alias("n_windows"), F.min("item_pos").alias("first"), F.max("item_pos").alias("last"), F.sort_array(F.collect_set("item_pos")).alias("at")
     )
-    runs = runs.filter(F.col("n_windows") >= F.col("n_needed"))
+    runs = runs.filter(F.col("n_windows") >= F.col("n_needed")).withColumn("how", F.lit(TEMPLATE))
     at = F.sequence(F.lit(0), F.greatest(F.col("n_item") - WINDOW, F.lit(0)))
-    wholes = found.join(whole, ["width", "window"]).select(
-        "doc_id", "item_id", F.size(at).alias("n_needed"), F.col("pos").alias("diagonal"), F.size(at).cast("long").alias("n_windows"), F.lit(0).alias("first"), (F.col("n_item") - WINDOW).alias("last"), at.alias("at")
-    ).distinct()
-    return runs.unionByName(wholes)
+
+    def whole_runs(met: DataFrame) -> DataFrame:
+        return met.select(
+            "doc_id", "item_id", F.size(at).alias("n_needed"), F.col("pos").alias("diagonal"), F.size(at).cast("long").alias("n_windows"), F.lit(0).alias("first"), (F.col("n_item") - WINDOW).alias("last"), at.alias("at"), "how"
+        ).distinct()
+
+    out = runs.unionByName(whole_runs(found.join(whole.filter(F.col("how") == TEMPLATE), ["width", "window"])))
+    if any(how == VERBATIM for how, _ in kinds):
+        said = whole.filter(F.col("how") == VERBATIM)
+        out = out.unionByName(whole_runs(windows(docs, "doc_id", [WINDOW], verbatim=True).join(said, ["width", "window"])))
+    if any(how == ALONE for how, _ in kinds):
+        toks = tokens(F.lower("text"))
+        short = docs.select("doc_id", toks.alias("_v")).filter(F.size("_v") < WINDOW)
+        short = short.select("doc_id", F.size("_v").alias("width"), F.xxhash64(F.transform("_v", lambda t: F.xxhash64(t))).alias("window"), F.lit(0).alias("pos"))
+        out = out.unionByName(whole_runs(short.join(whole.filter(F.col("how") == ALONE), ["width", "window"])))
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -129,7 +154,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     tokens among them), item_pos and doc_pos (its first tokens). A match needs 13 tokens, or
     all but one of a shorter item, or, of an item with fewer windows that hold MIN_LITERALS
     words, all of these; an item without any, as one of fewer than 8 tokens, is matched as a
-    whole, however short. Null or
+    whole. Items of fewer than LEAST_WORDS words that are no slots ("12", "Alice") are matched
+    verbatim, and below 8 tokens only where a document's whole text is the item. Null or
     empty texts match nothing, rows without doc_id or item_id are left out. Rows that repeat a
     doc_id are judged together, each of its texts against each item. Other columns are ignored.
     """
@@ -154,7 +180,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         ),
     )
     aligned = aligned.withColumn("_inside", inside).withColumn("_pairs", pairs)
-    same = F.forall("_pairs", lambda x: x["it"].eqNullSafe(x["dt"]))
+    by_template = F.forall("_pairs", lambda x: x["it"].eqNullSafe(x["dt"]))
+    verbatim = F.forall("_pairs", lambda x: F.lower(x["iv"]).eqNullSafe(F.lower(x["dv"])))
+    same = F.when(F.col("how") == TEMPLATE, by_template).otherwise(verbatim & ((F.col("how") == VERBATIM) | (F.size("d_raw") == F.size("i_raw"))))
     slots = F.filter("_pairs", lambda x: is_slot(x["it"]))
     aligned = aligned.filter(same).withColumn("_slots", F.transform(slots, lambda x: F.struct(x["iv"].alias("v"), x["dv"].alias("u"))))
     consistent = F.size(F.array_distinct("_slots")) == F.size(F.array_distinct(F.transform("_slots", lambda x: x["v"])))

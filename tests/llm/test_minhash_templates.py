@@ -139,6 +139,14 @@ def test_short_and_slot_heavy_items_are_matched(spark):
     assert leaks(spark, docs, [(1, heavy), (2, short), (3, bare), (4, "")]) == {(1, 1), (2, 2), (6, 2), (4, 3)}
 
 
+def test_tiny_items_leave_clean_documents_alone(spark):
+    rng = random.Random(3)
+    say = lambda: " ".join(rng.choice("we saw Alice walk 10 km to town in 12 hours on a warm day with Bob".split()) for _ in range(30))
+    docs = [(i, say()) for i in range(50)] + [(60, " 12 "), (61, "alice"), (62, "10  km"), (63, "12 13"), (64, "x 1 2 3 4 5 6 7 8 9 y"), (65, "x 1 2 3 4 5 6 7 8 0 y"), (66, "Bob")]
+    items = [(1, "12"), (2, "Alice"), (3, "10 km"), (4, "1 2 3 4 5 6 7 8 9")]
+    assert leaks(spark, docs, items) == {(60, 1), (61, 2), (62, 3), (64, 4)}
+
+
 def edited_copies(n, edits, seed=4):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
@@ -182,6 +190,14 @@ def test_one_document_with_many_partners_and_ids_of_several_texts(spark):
     assert sorted(map(tuple, minhash.near_duplicates(df).collect()), key=str) == brute(data)
 
 
+def test_classes_meet_through_ids_of_several_texts(spark):
+    x, y = "one two three four five six seven", "other words in a row here as well"
+    data = [(3, y), (5, x), (5, y), (9, x), (11, ""), (11, x), (None, x), (12, None), (13, "alone")]
+    got = minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"))
+    assert {r["component_id"] for r in got.collect() if r["doc_id"] in (3, 5, 9, 11)} == {3}
+    assert sorted(map(tuple, got.collect()), key=str) == brute([r for r in data])
+
+
 def test_names_that_open_sentences_and_wide_blanks(spark):
     pears = "Alice buys 4 apples and 3 pears today. Alice eats 2 of the pears at lunch. How many pieces are left?"
     cards = "Mark has 5 cards. Mark buys 12 more. Mark loses 3 of them. How many are left?"
