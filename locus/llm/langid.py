@@ -31,6 +31,10 @@ from locus.llm.shingles import mixed
 
 ORDER, SAMPLE_DOCS, CALIBRATE, SIGMAS, CHUNK = 4, 2000, 0.1, 8.0, 1 << 17
 SPACE, UNKNOWN = 32, "und"
+PRIVATE, PRIVATE_SIZE = 0xE000, 0x1900
+#: Languages with fewer labelled documents are calibrated by FOLDS models of their own, and their spread
+#: is taken with PRIOR more documents that deviate by a tenth of the mean.
+SMALL, FOLDS, PRIOR = 300, 5, 10
 #: What a batch of texts holds on its way to Python; learn() sets this for the session, as texts are scored when its caller runs the plan.
 BATCH = "8m"
 
@@ -50,7 +54,9 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = np.ones(len(code), bool)
     first[1:] = is_letter[:-1] | ends[:-1]
     keep = (is_letter | first) & ~ends
-    code = np.where(is_letter, code & 0xFFFF, SPACE)[keep].astype(np.uint64)
+    # letters beyond 16 bits take numbers of the private range, which no letter below has
+    low = np.where(code > 0xFFFF, PRIVATE + code % PRIVATE_SIZE, code)
+    code = np.where(is_letter, low, SPACE)[keep].astype(np.uint64)
     return code, owner[keep], np.bincount(owner[is_letter], minlength=len(texts))
 
 
@@ -204,17 +210,40 @@ def learn(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> Models:
                     gram, n = np.unique(grams(code, owner), return_counts=True)
                     yield pd.DataFrame({"lang": lang, "gram": gram.view(np.int64), "n": n})
 
-    counts = sample.filter(~apart).select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    small = [lang for lang, n in sorted(sizes.items()) if n < SMALL]
+    is_small = F.col("lang").isin(small) if small else F.lit(False)
+    counts = sample.filter(~apart | is_small).select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     models = Models(counts.toPandas())
     if models.langs:
-        seen = sample.filter(apart).select("lang", predictor(models)(F.col("text")).alias("p")).filter("lang = p.lang AND p.n_symbols > 0")
-        mean = seen.groupBy("lang").agg(F.avg("p.entropy").alias("m"), F.var_pop("p.entropy").alias("v"))
-        spread = seen.join(F.broadcast(mean), "lang").groupBy("lang", "m", "v").agg(F.avg(F.pow(F.col("p.entropy") - F.col("m"), 2) * F.col("p.n_symbols")).alias("s"))
+        seen = sample.filter(apart & ~is_small).select("lang", predictor(models)(F.col("text")).alias("p")).filter("lang = p.lang AND p.n_symbols > 0").select("lang", "p.entropy", "p.n_symbols")
+        if small:  # a few hundred documents of each at most
+            seen = seen.unionByName(usable.filter(is_small).groupBy("lang").applyInPandas(crossed, "lang string, entropy double, n_symbols long"))
+        mean = seen.groupBy("lang").agg(F.avg("entropy").alias("m"), F.var_pop("entropy").alias("v"), F.count(F.lit(1)).alias("k"))
+        spread = seen.join(F.broadcast(mean), "lang").groupBy("lang", "m", "v", "k").agg(F.avg(F.pow(F.col("entropy") - F.col("m"), 2) * F.col("n_symbols")).alias("s"))
         for r in spread.collect():
-            models.limits[models.langs.index(r["lang"])] = r["m"], r["v"], r["s"]
+            v = (r["k"] * r["v"] + PRIOR * (0.1 * r["m"]) ** 2) / (r["k"] + PRIOR) if r["lang"] in small else r["v"]
+            models.limits[models.langs.index(r["lang"])] = r["m"], v, r["s"]
     return models
 
 
+def crossed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Entropy and symbols of one small language's documents, each by a model of the other folds."""
+    pdf = pdf.sort_values(["doc_id", "text"], na_position="last").reset_index(drop=True)
+    out = []
+    for fold in range(FOLDS):
+        own, rest = pdf[pdf.index % FOLDS == fold], pdf[pdf.index % FOLDS != fold]
+        if not len(own) or not len(rest):
+            continue
+        code, owner, _ = symbols(list(rest["text"]))
+        if not len(code):
+            continue
+        gram, n = np.unique(grams(code, owner), return_counts=True)
+        h, size, _ = Models(pd.DataFrame({"lang": "own", "gram": gram.view(np.int64), "n": n})).entropies(list(own["text"]))
+        out.append(pd.DataFrame({"lang": own["lang"].to_numpy(), "entropy": h[:, 0], "n_symbols": size})[size > 0])
+    none = pd.DataFrame({"lang": pd.Series([], dtype=object), "entropy": pd.Series([], dtype=float), "n_symbols": pd.Series([], dtype="int64")})
+    return pd.concat(out) if out else none
+
+
 def predictor(models: Models):
     """A column function: text to (lang, score, rejected, entropy, n_symbols). A null text has no language."""
     from pyspark.sql import SparkSession
@@ -234,7 +263,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
     """docs with lang_pred, score, rejected and entropy; columns of these names are replaced.
 
     Texts that are null or hold no letter are `und` with score 0, and rejected. A text in no
-    learned language gets the nearest one and is rejected. Rejection needs calibration rows of
+    learned language gets the nearest one and is rejected. Rejection needs two labelled rows of
     the language, else nothing of it is rejected. Repeated rows get equal answers; an empty
     table gives no rows. Without any labelled row everything is `und`.
     """

@@ -25,6 +25,21 @@ def corpus(spark, n=240):
     return spark.createDataFrame(data, DOCS), data
 
 
+def test_letters_beyond_16_bits_are_apart():
+    a, b = (langid.symbols([t])[0].tolist() for t in ("\U00010428", "\u0428"))
+    assert a != b
+
+
+@pytest.mark.parametrize("labelled", [1, 2, 4, 8, 15, 25])
+def test_small_languages_keep_their_documents(spark, labelled):
+    rng = random.Random(labelled)
+    train = [(i, talk(x, 40, rng), x, "own") for x, n in (("aa", labelled), ("bb", 120)) for i in [k for k in range(3000) if zlib.crc32(str(k).encode()) % 5 and k % 2 == (x == "aa")][:n]]
+    fresh = [(5000 + i, talk(("aa", "bb")[i % 2], rng.randint(20, 60), rng), None, "own") for i in range(120)] + [(9000, "漢字 ქართული " * 60, None, "own")]
+    got = {r["doc_id"]: r for r in langid.op5_kneser_ney(spark.createDataFrame(train + fresh, DOCS)).collect()}
+    assert not any(got[i]["rejected"] for i, *_ in fresh[:-1])
+    assert all(got[i]["lang_pred"] == ("aa", "bb")[i % 2] for i, *_ in fresh[:-1])
+
+
 def test_held_out_accuracy_rejection_and_odd_rows(spark):
     df, data = corpus(spark)
     got = {r["doc_id"]: r for r in langid.op5_kneser_ney(df).collect()}
