@@ -251,6 +251,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _near_duplicates(docs: DataFrame) -> DataFrame:
     sigs = written(signatures(docs), "signatures")
+    key = F.coalesce("set_key", F.lit(b""))
+    several = sigs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(key).alias("_a"), F.max(key).alias("_b")).filter("_a <> _b")
+    return _linked(docs, sigs) if several.isEmpty() else _by_rows(docs, sigs)
+
+
+def _by_rows(docs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Where a doc_id has several texts: rows are linked under numbers of their own, then through their doc_ids."""
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("_id"), "text").filter("_id IS NOT NULL").withColumn("_row", F.monotonically_increasing_id()), "rows")
+    own = rows.select(F.col("_row").alias("doc_id"), "text")
+    found = _linked(own, written(signatures(own), "signatures")).select(F.col("doc_id").alias("_row"), "n_shingles", F.col("component_id").alias("_of"))
+    found = written(found.join(rows.select("_row", "_id"), "_row"), "row-groups")
+    first = found.groupBy("_id").agg(F.min("_row").alias("a"))
+    same_id = found.join(first, "_id").select("a", F.col("_row").alias("b"))
+    groups = components(found.select(F.col("_of").alias("a"), F.col("_row").alias("b")).union(same_id).filter("a <> b"))
+    of = found.join(groups, found["_row"] == groups["member"], "left").withColumn("_group", F.coalesce("component", "_row"))
+    least = of.groupBy("_group").agg(F.min("_id").alias("component_id"))
+    linked = of.join(least, "_group").select(F.col("_id").alias("doc_id"), "n_shingles", "component_id", (F.col("_id") == F.col("component_id")).alias("kept"))
+    alone = sigs.filter("doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return linked.unionByName(alone)
+
+
+def _linked(docs: DataFrame, sigs: DataFrame) -> DataFrame:
     linked = sigs.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     one = linked.groupBy("set_key").agg(F.min(F.struct("doc_id", "bands", "bits")).alias("one"))
     reps = written(one.select("set_key", "one.*"), "classes")
