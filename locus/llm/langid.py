@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from locus.llm.common import unit_hash
+from locus.llm.common import release, unit_hash
 from locus.llm.shingles import mixed
 
 ORDER, SAMPLE_DOCS, CALIBRATE, SIGMAS, CHUNK = 4, 2000, 0.1, 8.0, 1 << 17
@@ -254,6 +254,7 @@ def predictor(models: Models):
     def predict(text: pd.Series) -> pd.DataFrame:
         texts = [x if isinstance(x, str) else "" for x in text]
         found = [shared.value.predict(part) for part in chunks(texts)]
+        release()
         return pd.concat(found, ignore_index=True) if found else shared.value.predict([])
 
     return predict

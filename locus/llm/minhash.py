@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locus.llm.common import small_batches, written
+from locus.llm.common import release, small_batches, written
 from locus.llm.components import components
 from locus.llm.shingles import MIX, WordHashes, mixed, shingle_set
 
@@ -102,6 +102,8 @@ def signatures(docs: DataFrame) -> DataFrame:
                     ids, sets, n = [], [], 0
             if ids:
                 yield rows(ids, sets)
+            ids, sets = [], []
+            release()
 
     schema = "doc_id long, n_shingles long, set_key binary, bands array<long>, bits array<long>"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(sign, schema)
