@@ -39,5 +39,5 @@ def test_an_empty_table_goes_through(spark, pipeline):
 def test_one_query_per_operator():
     code = "import __spark_entry__ as e; print(*e.queries())"
     names = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True).stdout.split()
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 14))
     assert "pipeline" in names
