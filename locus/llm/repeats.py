@@ -7,9 +7,9 @@ assigned to its anchor, the 24-byte string of least hash in it; equal windows ha
    which of them other documents hold as well. Only those anchors go on, so text that nothing
    shares is never moved.
 2. Blocks send the stretches around shared anchors (at most 76 bytes) to the buckets, each
-   distinct stretch once with its smallest doc_id and its places. In a bucket, stretches of one
-   anchor that differ are put into one Burrows-Wheeler transform, and interval expansion to
-   depth 50 gives for each window the smallest document holding it.
+   distinct stretch once with its smallest doc_id and its places. A bucket puts all its distinct
+   stretches into Burrows-Wheeler transforms, and interval expansion to depth 50 gives for each
+   window the smallest document holding it.
 3. Places where that document is smaller go back to their block, which cuts the bytes.
 
 Copies are pre-aggregated per block before every shuffle. Blocks and buckets grow in number
@@ -25,13 +25,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locus.llm.bwt import least_owner
+from locus.llm.bwt import least_owners
 from locus.llm.common import parts_for, text_bytes, total_bytes
 from locus.llm.shingles import MIX, mixed
 
 LEAST, ANCHOR = 50, 24
 SPREAD = LEAST - ANCHOR + 1
 BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
+#: Anchors whose stretches begin in the same bytes of this number share a transform; three ranks of its rows fit into 64 bits.
+PIECE = 1 << 20
 BYTE = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -164,47 +166,80 @@ def send_stretches(docs: pd.DataFrame, shared: pd.DataFrame, buckets: int) -> pd
     return pd.DataFrame(rows, columns=columns)
 
 
+def lost_by_owners(texts: list[bytes], anchor: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What each stretch's own smallest document must lose of it: number of the stretch, from and to, in that order.
+
+    One transform holds all stretches of its anchors, as equal windows have equal anchors.
+    """
+    order = np.argsort(anchor, kind="stable")
+    sizes = np.array([len(t) + 1 for t in texts])[order]
+    begins = np.cumsum(sizes) - sizes
+    _, first, of = np.unique(anchor[order], return_index=True, return_inverse=True)
+    piece = begins[first][of] // PIECE
+    which, low, high = [], [], []
+    for numbers in np.split(order, np.flatnonzero(np.diff(piece)) + 1):
+        windows, least_id = least_owners([texts[i] for i in numbers.tolist()], owner[numbers], LEAST)
+        lost = least_id < np.repeat(owner[numbers], windows)
+        ends = np.cumsum(windows)  # a stretch has LEAST bytes at least, so one window
+        opens, closes = lost.copy(), lost.copy()
+        opens[1:] &= ~lost[:-1]
+        closes[:-1] &= ~lost[1:]
+        opens[ends[:-1]] = lost[ends[:-1]]
+        closes[ends - 1] = lost[ends - 1]
+        at = np.flatnonzero(opens)
+        stretch = np.searchsorted(ends, at, "right")
+        base = ends[stretch] - windows[stretch]
+        which.append(numbers[stretch])
+        low.append(at - base)
+        high.append(np.flatnonzero(closes) - base + LEAST)
+    which, low, high = (np.concatenate(x) for x in (which, low, high))
+    order = np.argsort(which, kind="stable")
+    return which[order], low[order], high[order]
+
+
 def find_cuts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Bytes to cut at the places of a bucket's stretches, by block."""
-    groups: dict[bytes, dict[bytes, int]] = {}  # anchor -> stretch -> smallest document
-    blocks = []
+    """Bytes to cut at the places of a bucket's stretches, by block.
+
+    The transform holds each distinct stretch once, with its smallest document. Where an interval
+    has a smaller document than that, its window goes there too; in other documents, all go.
+    """
+    number: dict[bytes, int] = {}
+    anchors: dict[bytes, int] = {}
+    of_anchor, of = [], []
     for r in pdf.itertuples():
-        length, anchor, owner = np.frombuffer(r.length, np.uint8), np.frombuffer(r.anchor, np.uint8), np.frombuffer(r.owner, np.int64)
-        stretches, at = [], 0
-        for n, a, o in zip(length.tolist(), anchor.tolist(), owner.tolist()):
+        at = 0
+        for n, a in zip(np.frombuffer(r.length, np.uint8).tolist(), np.frombuffer(r.anchor, np.uint8).tolist()):
             text = r.data[at : at + n]
             at += n
-            group = groups.setdefault(text[a : a + ANCHOR], {})
-            if group.get(text, o) >= o:
-                group[text] = o
-            stretches.append((text, a))
-        blocks.append(stretches)
-    mixed_ones = [(text, o) for group in groups.values() if len(group) > 1 for text, o in group.items()]
-    partly: dict[bytes, list[tuple[int, int]]] = {}  # what else its own smallest document must lose of a stretch
-    if mixed_ones:
-        owners = np.array([o for _, o in mixed_ones])
-        for (text, o), low in zip(mixed_ones, least_owner([t for t, _ in mixed_ones], owners, LEAST)):
-            flags = np.flatnonzero(np.diff(np.concatenate([[0], (low < o).astype(np.int8), [0]])))
-            if len(flags):
-                partly[text] = [(int(x), int(y) - 1 + LEAST) for x, y in zip(flags[::2], flags[1::2])]
-    rows = []
-    for r, stretches in zip(pdf.itertuples(), blocks):
+            k = number.setdefault(text, len(number))
+            if k == len(of_anchor):
+                of_anchor.append(anchors.setdefault(text[a : a + ANCHOR], len(anchors)))
+            of.append(k)
+    of, owners = np.array(of, np.int64), np.concatenate([np.frombuffer(x, np.int64) for x in pdf["owner"]])
+    owner = np.full(len(number), np.iinfo(np.int64).max)
+    np.minimum.at(owner, of, owners)
+    texts = list(number)
+    which, low, high = lost_by_owners(texts, np.array(of_anchor), owner)
+    n_lost = np.bincount(which, minlength=len(texts))
+    first_lost, length = np.cumsum(n_lost) - n_lost, np.array([len(t) for t in texts])
+    rows, at = [], 0
+    for r in pdf.itertuples():
         marked = np.frombuffer(r.doc, np.uint32)  # the top bit marks places of other documents than the owner
-        doc, later = (marked & np.uint32(0x7FFFFFFF)).tolist(), (marked >> np.uint32(31)).tolist()
-        start, n_places = np.frombuffer(r.start, np.uint32).tolist(), np.frombuffer(r.n_places, np.uint32).tolist()
-        owner = np.frombuffer(r.owner, np.int64).tolist()
-        cut, at = [], 0
-        for (text, a), n, own in zip(stretches, n_places, owner):
-            least_id = groups[text[a : a + ANCHOR]][text]
-            for i in range(at, at + n):
-                if own > least_id or later[i]:
-                    cut.append((doc[i], start[i], start[i] + len(text)))
-                else:
-                    cut += [(doc[i], start[i] + x, start[i] + y) for x, y in partly.get(text, ())]
-            at += n
-        if cut:
-            d, x, y = np.array(cut, np.uint32).T
-            rows.append((r.block, d.tobytes(), x.tobytes(), y.tobytes()))
+        doc, start, n_places = marked & np.uint32(0x7FFFFFFF), np.frombuffer(r.start, np.uint32), np.frombuffer(r.n_places, np.uint32)
+        k = of[at : at + len(n_places)]
+        whole = marked >> np.uint32(31) > 0
+        whole |= np.repeat(owners[at : at + len(k)] > owner[k], n_places)
+        at += len(k)
+        k = np.repeat(k, n_places)
+        rest = np.flatnonzero(~whole)
+        n = n_lost[k[rest]]
+        lost = np.repeat(first_lost[k[rest]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        rest = np.repeat(rest, n)
+        d = np.concatenate([doc[whole], doc[rest]])
+        x = np.concatenate([start[whole], start[rest] + low[lost]])
+        y = np.concatenate([start[whole] + length[k[whole]], start[rest] + high[lost]])
+        if len(d):
+            rows.append((r.block, d.tobytes(), x.astype(np.uint32).tobytes(), y.astype(np.uint32).tobytes()))
     return pd.DataFrame(rows, columns=["block", "doc", "start", "stop"])
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from locus.llm import chains, repeats
-from locus.llm.bwt import least_owner
+from locus.llm.bwt import common_prefixes, least_owner, sorted_suffixes
 from locus.llm.shingles import WordHashes, window_hashes, words
 
 DOCS = "doc_id long, text string, n_bytes string, block string"
@@ -79,6 +79,44 @@ def test_interval_expansion_equals_brute_force(seed):
     assert [g.tolist() for g in got] == [[seen[s[p : p + least]] for p in range(max(0, len(s) - least + 1))] for s in strings]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_borders_have_the_common_prefix_of_their_rows(seed):
+    rng = random.Random(seed)
+    strings = [[rng.choice((1, 2, 3)) for _ in range(rng.randint(1, 30))] for _ in range(30)]
+    text, least = np.array(sum((s + [0] for s in strings), []), np.uint16), rng.choice([3, 6, 10])
+    order = sorted_suffixes(text, least)
+    prefix = common_prefixes(text[order - 1], least)
+    padded = text.tolist() + [0] * least  # as the order has it
+    heads = [tuple(padded[i : i + least]) for i in order.tolist()]
+    assert heads == sorted(heads)
+    whole = [j for j, h in enumerate(heads) if 0 not in h]
+    for i, j in zip(whole, whole[1:]):  # rows that reach an end of a string between them count for nothing
+        shared = next((d for d, (x, y) in enumerate(zip(heads[i], heads[j])) if x != y), -1)
+        between = [p for p in prefix[i + 1 : j + 1].tolist() if p >= 0]
+        assert (min(between) if between else -1) == shared
+
+
+@pytest.mark.parametrize("piece", [1, 300, 1 << 20])
+def test_pieces_of_stretches_do_not_change_what_owners_lose(monkeypatch, piece):
+    rng = random.Random(piece)
+    monkeypatch.setattr(repeats, "PIECE", piece)
+    texts, anchor = [], []
+    for a in range(20):
+        base = bytes(rng.choice(b"xyz") for _ in range(76))
+        texts += [base[i : i + rng.randint(50, 76 - i)] for i in range(0, 25, 6)]
+        anchor += [a] * 5
+    owner = np.array([rng.randrange(50) for _ in texts])
+    seen = {}
+    for t, o in zip(texts, owner.tolist()):
+        for p in range(len(t) - 49):
+            seen[t[p : p + 50]] = min(seen.get(t[p : p + 50], o), o)
+    want = [{q for p in range(len(t) - 49) if seen[t[p : p + 50]] < o for q in range(p, p + 50)} for t, o in zip(texts, owner.tolist())]
+    got = [set() for _ in texts]
+    for k, x, y in zip(*repeats.lost_by_owners(texts, np.array(anchor), owner)):
+        got[k] |= set(range(x, y))
+    assert got == want and any(want)
+
+
 def texts(seed=2):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
