@@ -25,7 +25,7 @@ that is still looked for.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -45,6 +45,8 @@ SAID_OVER = 0x5BD1E995
 FIRSTS, SKIP = 8, 3
 #: Pairs of places of one run that two documents meet at before they are matched in turn.
 FEW = 64
+#: Of a chain's flanks: words off the diagonal, what an alignment may fall below its best score, and words looked at in one piece.
+BAND, DROP, FLANK = 6, 6, 2000
 #: Chains of one earlier document that are aligned in one task at most.
 CHAINS_PER_SALT = 128
 
@@ -158,8 +160,7 @@ def align(a: list[bytes], b: list[bytes], places: list[tuple[int, int]]) -> tupl
     """Extends a chain of matches to both sides and fills its gaps; start and end in a and b, and matching words.
 
     Between two matches of the chain the words are aligned by edit distance; gaps are at most
-    REACH words long, so the band is bounded. Outside, equal words are followed and single
-    differing words stepped over while the next three agree.
+    REACH words long, so the band is bounded. Outside, the chain is extended to the best end.
     """
     places = [(x, y) for x, y in places if a[x : x + K] == b[y : y + K]]  # of a doc_id with several texts, or equal hashes
     if not places:
@@ -179,28 +180,67 @@ def align(a: list[bytes], b: list[bytes], places: list[tuple[int, int]]) -> tupl
             continue
         matched += common(a[i:x], b[j:y]) + K
         i, j = x + K, y + K
-    end_a, end_b = i, j
-    while end_a < len(a) and end_b < len(b):
-        if a[end_a] == b[end_b]:
-            matched += 1
-            end_a, end_b = end_a + 1, end_b + 1
-            continue
-        step = next(((p, q) for p, q in ((1, 1), (1, 0), (0, 1), (2, 2)) if a[end_a + p : end_a + p + 3] == b[end_b + q : end_b + q + 3] and len(a) >= end_a + p + 3), None)
-        if step is None:
+    for cost in (1, 3):  # a dearer step where the longer flanks would make it no passage
+        on_a, on_b, n_on = flank(lambda x, y: (a[i + x : i + x + FLANK], b[j + y : j + y + FLANK]), cost)
+        back_a, back_b, n_back = flank(lambda x, y: (before(a, start_a - x), before(b, start_b - y)), cost)
+        out = start_a - back_a, i + on_a, start_b - back_b, j + on_b, matched + n_on + n_back
+        if out[4] >= LEAST_IDENTITY * max(out[1] - out[0], out[3] - out[2]):
             break
-        end_a, end_b = end_a + step[0], end_b + step[1]
-    while start_a > 0 and start_b > 0:
-        if a[start_a - 1] == b[start_b - 1]:
-            matched += 1
-            start_a, start_b = start_a - 1, start_b - 1
-            continue
-        step = next(
-            ((p, q) for p, q in ((1, 1), (1, 0), (0, 1), (2, 2)) if start_a >= p + 3 and start_b >= q + 3 and a[start_a - p - 3 : start_a - p] == b[start_b - q - 3 : start_b - q]), None
-        )
-        if step is None:
+    return out
+
+
+def before(words: list[bytes], at: int) -> list[bytes]:
+    """The FLANK words before a place, last first."""
+    return words[max(0, at - FLANK) : at][::-1]
+
+
+def flank(piece: Callable[[int, int], tuple[list[bytes], list[bytes]]], cost: int) -> tuple[int, int, int]:
+    """extend() over pieces of FLANK words, each from where the last one ended."""
+    of_a = of_b = matched = 0
+    while True:
+        x, y, n = extend(*piece(of_a, of_b), cost)
+        of_a, of_b, matched = of_a + x, of_b + y, matched + n
+        if x == y == 0 or max(x, y) < FLANK - BAND - DROP:  # else the piece may have ended it
+            return of_a, of_b, matched
+
+
+def extend(a: list[bytes], b: list[bytes], cost: int) -> tuple[int, int, int]:
+    """How many words of a and b belong to a passage that begins with them, and how many of them match.
+
+    Alignment within BAND words of the diagonal: a match is worth 1, a word changed or left out
+    costs `cost`. The furthest of the best ends counts, and what falls DROP below it is given up.
+    """
+    n, short = 0, min(len(a), len(b))
+    while n < short and a[n] == b[n]:
+        n += 1
+    if n == short:
+        return n, n, n
+    best = (n, n, n, n)  # score, words of a, words of b, matches
+    lost = (-len(a) * cost - DROP, 0)
+    row = [lost] * BAND + [(n - cost * k, n) for k in range(BAND + 1)] + [lost]
+    for i in range(n + 1, len(a) + 1):
+        now, left = [], lost
+        for k in range(2 * BAND + 1):
+            j = i + k - BAND
+            if not 0 <= j <= len(b):
+                now.append(lost)
+                left = lost
+                continue
+            here = lost
+            if j > 0:
+                score, m = row[k]
+                here = (score + 1, m + 1) if a[i - 1] == b[j - 1] else (score - cost, m)
+            for score, m in (row[k + 1], left):
+                if score - cost > here[0]:
+                    here = score - cost, m
+            now.append(here)
+            left = here
+            if here[0] >= best[0]:
+                best = here[0], i, j, here[1]
+        row = [*now, lost]
+        if max(now)[0] < best[0] - DROP:
             break
-        start_a, start_b = start_a - step[0], start_b - step[1]
-    return start_a, end_a, start_b, end_b, matched
+    return best[1:]
 
 
 def common(a: list[bytes], b: list[bytes]) -> int:
@@ -396,7 +436,9 @@ def fuzzy_passages(docs: DataFrame) -> DataFrame:
     doc_id, first_id, word ranges [start, stop) in doc_id and [first_start, first_stop) in
     first_id, and identity, matching words by the longer range. A document whose whole text
     copies another's has one row, first_id the smallest doc_id of that text and identity 1.0,
-    if it has 40 words. Only exact copies are collapsed: passages of texts that differ are
+    if it has 40 words. Passages of 40 equal words, of 60 with up to 4 % changed, 80 (8 %), 120
+    (12 %) and 200 (15 %) are found with a recall of 0.9 or more; of shorter or more changed
+    ones, those that still share three seeds. Only exact copies are collapsed: passages of texts that differ are
     found for each. Null or short texts and rows without doc_id have none; of a doc_id with
     several texts the first in text order counts. An empty table gives no rows.
     """

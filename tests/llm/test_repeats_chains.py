@@ -248,3 +248,55 @@ def test_words_said_over_and_over_are_covered_without_all_pairs(spark, monkeypat
         said = {p for p, w in enumerate(t.split()) if w == "the"}
         assert len(said - covered[i]) <= chains.K if i else not covered[i]  # a run's end may be aligned a little short
     assert not any(covered[i] for i, _ in data[60:]) and sum(made) < 6000
+
+
+def aligned_words(a, b):
+    """The best local alignment of two word lists by plain dynamic programming: start and stop in a, and matches."""
+    best, row = (0, 0, 0, 0), [(0, 0, 0)] * (len(b) + 1)  # score, start in a, matches
+    for i, x in enumerate(a, 1):
+        now = [(0, i, 0)]
+        for j, y in enumerate(b, 1):
+            s, at, n = row[j - 1]
+            now.append(max((s + 1, at, n + 1) if x == y else (s - 1, at, n), (row[j][0] - 1, *row[j][1:]), (now[-1][0] - 1, *now[-1][1:]), (0, i, 0)))
+            if now[-1][0] > best[0]:
+                best = now[-1][0], now[-1][1], i, now[-1][2]
+        row = now
+    return best[1:]
+
+
+def test_recall_against_alignment_of_all_words_in_the_stated_range(spark):
+    """README: 40 equal words, 60 of which 4 % differ, 80 (8 %), 120 (12 %), 200 (15 %)."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    many = lambda n: [word() for _ in range(n)]
+    cells, data = [(40, 0.0), (60, 0.04), (80, 0.08), (120, 0.12), (200, 0.15)], {}
+    for c, (n, rate) in enumerate(cells):
+        for k in range(30):
+            passage = many(n)
+            other = list(passage)
+            for p in rng.sample(range(1, n - 1), round(n * rate)):
+                other[p] = word()
+            data[1000 * c + 2 * k], data[1000 * c + 2 * k + 1] = many(30) + passage + many(30), many(20) + other + many(40)
+    found = {r["doc_id"]: r for r in chains.fuzzy_passages(spark.createDataFrame([(i, " ".join(w), "", "") for i, w in data.items()], DOCS)).collect()}
+    for c, (n, _) in enumerate(cells):
+        hits = 0
+        for i in range(1000 * c + 1, 1000 * c + 61, 2):
+            start, stop, matches = aligned_words(data[i], data[i - 1])
+            assert stop - start >= chains.LEAST_WORDS and matches >= chains.LEAST_IDENTITY * (stop - start)
+            r = found.get(i)
+            hits += r is not None and r["first_id"] == i - 1 and min(stop, r["stop"]) - max(start, r["start"]) >= 0.9 * (stop - start)
+        assert hits >= 27, cells[c]
+
+
+def test_flanks_are_extended_over_changes_and_pieces(monkeypatch):
+    rng = random.Random(2)
+    a = [b"%d" % i for i in range(400)]
+    b = [w if i % 9 else b"x%d" % i for i, w in enumerate(a)]
+    for size in (7, 50, 2000):
+        monkeypatch.setattr(chains, "FLANK", size)
+        start, stop, first, last, n = chains.align(a + [b"end"] * 9, b + [b"other"] * 9, [(199, 199)])
+        assert (start, stop, first, last) == (1, 400, 1, 400) and n == sum(x == y for x, y in zip(a, b)), size
+    assert chains.extend([], a, 1) == (0, 0, 0) and chains.extend(a, a[:5], 1) == (5, 5, 5)
+    assert chains.extend(a[:10] + [b"q"] + a[10:20], a[:20], 1) == (21, 20, 20)
+    rng.shuffle(b)
+    assert chains.extend(a[:300], b, 1)[2] <= 1
