@@ -36,10 +36,10 @@ def _variant(name: Column | str, seq: Column) -> Column:
     return F.struct((F.lit(name) if isinstance(name, str) else name).alias("variant"), seq.alias("seq"))
 
 
-def stack_variants(**variants: DataFrame) -> DataFrame:
-    """Tables of equal columns on top of each other, each under its name in a column `variant`."""
+def stack_variants(*sets: DataFrame, **variants: DataFrame) -> DataFrame:
+    """Tables of equal columns on top of each other: each under its name in a column `variant`, or, of sets of several variants, under their own."""
     named = [df.withColumn("variant", F.lit(name)) for name, df in variants.items()]
-    return reduce(DataFrame.unionByName, named)
+    return reduce(DataFrame.unionByName, [*named, *sets])
 
 
 def measured_scoring_set(measurements: DataFrame, sequences: DataFrame, metadata: DataFrame, host_id: str, *, column: str, n_random: int, n_extreme: int, seed: int, validate: bool = True) -> DataFrame:

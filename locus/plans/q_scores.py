@@ -102,7 +102,7 @@ def queries():
         "assign_hosts": lambda s, d: rk.assign_hosts(scores(s, d).select(F.col("seq_id").alias("sample_id")), windows(s, d), 12).select("sample_id", "peak_id", "chrom", "start"),
         "fixed_host": lambda s, d: rk.fixed_host(scores(s, d).select(SCOLS), windows(s, d).withColumn("peak_id", F.concat(F.lit("p"), F.col("peak_id"))), "p5"),
         "selection_report": lambda s, d: rounded(rk.selection_report(scores(s, d), 20, scores(s, d).filter("cell_type = 'ct0'"))),
-        "stack_variants": lambda s, d: pt.stack_variants(intact=scores(s, d).select("seq_id"), placed=metadata(s, d).select("seq_id")),
+        "stack_variants": lambda s, d: pt.stack_variants(metadata(s, d).select("seq_id", F.col("cell_type").alias("variant")), intact=scores(s, d).select("seq_id")),
         "permutation_test": lambda s, d: rounded(stt.permutation_test(long_stats(s, d), N_PERM, 9)),
         "bh_fdr": lambda s, d: rounded(stt.bh_fdr(pvalues(s, d))),
         "test_floor": lambda s, d: rounded(stt.test_floor(stt.bh_fdr(pvalues(s, d)), 1000)),
@@ -171,7 +171,7 @@ def oracle_sql():
         "assign_hosts": w(f"""SELECT s.seq_id AS sample_id, peak_id, chrom, start FROM scores s, (SELECT count(*) AS n FROM peaks) JOIN (SELECT *, row_number() OVER (ORDER BY md5('12:' || peak_id), peak_id) - 1 AS r FROM peaks) p ON p.r = floor({u(12, "'host'", 's.seq_id')} * n)""", SCORES, st.PEAKS),
         "fixed_host": w(f"""SELECT {S}, chrom, start, "end" FROM scores, (SELECT chrom, start, "end" FROM peaks WHERE peak_id = 5)""", SCORES, st.PEAKS),
         "selection_report": w("SELECT round(max(mssi_score), 6) AS best, round(min(mssi_score), 6) AS worst_kept, count(*) FILTER (mssi_score > (SELECT avg(mssi_score) FROM scores WHERE cell_type = 'ct0')) AS n_above, (SELECT round(avg(mssi_score), 6) FROM scores) AS pool_mean FROM (SELECT * FROM scores ORDER BY mssi_score DESC, seq_id LIMIT 20)"),
-        "stack_variants": w("SELECT seq_id, 'intact' AS variant FROM scores UNION ALL SELECT seq_id, 'placed' FROM meta", SCORES, META),
+        "stack_variants": w("SELECT seq_id, 'intact' AS variant FROM scores UNION ALL SELECT seq_id, cell_type FROM meta", SCORES, META),
         "permutation_test": w(f"SELECT statistic, {rs('mean_selected mean_rejected delta p')} FROM tests", LONG),
         "bh_fdr": w(f"SELECT statistic, {rs('p q')} FROM ({bh('pv')})", PV),
         "test_floor": w(f"SELECT round(1 / 1001, 6) AS p_floor, round(0.05 / count(*), 6) AS bonferroni, count(*) FILTER (q < 0.05) AS n_significant, 1 / 1001 <= 0.05 / count(*) AS reachable FROM ({bh('pv')})", PV),

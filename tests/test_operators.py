@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from locus.operators import genome as gn
 from locus.operators import intervals as iv
 from locus.operators import motifs as mo
+from locus.operators import perturb as pt
 from locus.operators import provenance as pv
 from locus.operators import ranking as rk
 from locus.operators import seqstats as ss
@@ -17,6 +18,7 @@ from locus.operators import spacing
 from locus.operators import stats as stt
 from locus.plans import dataset as ds
 from locus.plans import q_jobs as qj
+from locus.plans import q_scores
 from locus.plans import standins as st
 from locus.sources import files, sinks
 
@@ -249,3 +251,18 @@ def test_dataset_job_counts_what_it_drops(spark):
     assert spark.read.parquet(f"{out}/dataset/data").count() == counts["kept"] == files.read_fasta(spark, f"{out}/sequences/sequences").count()
     assert spark.read.json(f"{out}/manifest").first().asDict() == counts
     assert spark.read.csv(f"{out}/windows.bed", sep="\t").count() == counts["windows"] and spark.read.csv(f"{out}/loci.bed", sep="\t").count() == counts["loci"]
+
+
+def test_stacked_variants_are_named_or_bring_their_names(spark):
+    one = spark.createDataFrame([("a",), ("b",)], "seq_id string")
+    sets = spark.createDataFrame([("up", "a"), ("down", "a"), (None, "b")], "variant string, seq_id string")
+    got = pt.stack_variants(sets, intact=one)
+    assert got.columns == ["seq_id", "variant"]
+    assert sorted(map(tuple, got.collect()), key=str) == [("a", "down"), ("a", "intact"), ("a", "up"), ("b", "intact"), ("b", None)]
+
+
+def test_the_stacked_query_names_each_row_by_its_cell_type(spark):
+    rows = q_scores.queries()["stack_variants"](spark, "/root/testdata/sf0.001")
+    types = st.table(spark, "/root/testdata/sf0.001", "embeddings").select(F.concat(F.lit("v"), F.col("vec_id")).alias("seq_id"), F.concat(F.lit("ct"), F.col("label") % 3).alias("t"))
+    assert sorted(map(tuple, rows.filter("variant <> 'intact'").collect())) == sorted(map(tuple, types.collect()))
+    assert rows.filter("variant = 'intact'").count() == types.count()
