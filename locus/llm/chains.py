@@ -45,8 +45,8 @@ SAID_OVER = 0x5BD1E995
 FIRSTS, SKIP = 8, 3
 #: Pairs of places of one run that two documents meet at before they are matched in turn.
 FEW = 64
-#: Of a chain's flanks: words off the diagonal, what an alignment may fall below its best score, and words looked at in one piece.
-BAND, DROP, FLANK = 6, 6, 2000
+#: Of a chain's flanks: words off the diagonal, what an alignment may fall below its best score, words looked at in one piece, and bits that count its matches.
+BAND, DROP, FLANK, BITS = 6, 6, 2000, 24
 #: Chains of one earlier document that are aligned in one task at most.
 CHAINS_PER_SALT = 128
 
@@ -57,13 +57,17 @@ def seeds(hashes: np.ndarray) -> np.ndarray:
     Equal runs fewer than W places apart, as in a word said over and over, are thinned to the
     fewest places that leave one in each W.
     """
-    runs = window_hashes(hashes, K)
+    return minimizers(window_hashes(hashes, K))
+
+
+def minimizers(runs: np.ndarray) -> np.ndarray:
+    """seeds() of the hashes of all K-word runs."""
     if len(runs) == 0:
         return np.empty(0, np.int64)
     if len(runs) <= W:
         return np.array([int(runs.argmin())])
     at = np.lib.stride_tricks.sliding_window_view(runs, W).argmin(axis=1) + np.arange(len(runs) - W + 1)
-    at = np.unique(at)
+    at = at[np.append(True, at[1:] != at[:-1])]  # they never fall
     ties = (runs[at[1:]] == runs[at[:-1]]) & (np.diff(at) < W)
     if not ties.any():
         return at
@@ -215,38 +219,37 @@ def extend(a: list[bytes], b: list[bytes], cost: int) -> tuple[int, int, int]:
         n += 1
     if n == short:
         return n, n, n
-    best = (n, n, n, n)  # score, words of a, words of b, matches
-    lost = (-len(a) * cost - DROP, 0)
-    row = [lost] * BAND + [(n - cost * k, n) for k in range(BAND + 1)] + [lost]
+    # A cell is its score and, in the lowest BITS, its matches; only higher scores replace a cell.
+    matches, hit, down = (1 << BITS) - 1, (1 << BITS) + 1, cost << BITS
+    floor, best = n << BITS, (n, n, n)  # words of a, words of b, matches
+    lost = (-len(a) * cost - DROP) << BITS
+    row = [lost] * BAND + [((n - cost * k) << BITS) + n for k in range(BAND + 1)] + [lost]
     for i in range(n + 1, len(a) + 1):
-        now, left = [], lost
-        for k in range(2 * BAND + 1):
+        word, left = a[i - 1], lost
+        low, high = max(0, BAND - i), min(2 * BAND, len(b) - i + BAND)
+        now = [lost] * low
+        for k in range(low, high + 1):
             j = i + k - BAND
-            if not 0 <= j <= len(b):
-                now.append(lost)
-                left = lost
-                continue
-            here = lost
-            if j > 0:
-                score, m = row[k]
-                here = (score + 1, m + 1) if a[i - 1] == b[j - 1] else (score - cost, m)
-            for score, m in (row[k + 1], left):
-                if score - cost > here[0]:
-                    here = score - cost, m
+            here = lost if j == 0 else row[k] + hit if word == b[j - 1] else row[k] - down
+            above, left = row[k + 1] - down, left - down
+            if above > here | matches:
+                here = above
+            if left > here | matches:
+                here = left
             now.append(here)
             left = here
-            if here[0] >= best[0]:
-                best = here[0], i, j, here[1]
-        row = [*now, lost]
-        if max(now)[0] < best[0] - DROP:
+            if here >= floor:
+                floor, best = here & ~matches, (i, j, here & matches)
+        if not now or max(now) < floor - (DROP << BITS):
             break
-    return best[1:]
+        row = now + [lost] * (2 * BAND + 2 - len(now))
+    return best
 
 
 def common(a: list[bytes], b: list[bytes]) -> int:
     """Words in the longest common subsequence of two short gaps."""
-    if not a or not b:
-        return 0
+    if a == b:
+        return len(a)
     row = [0] * (len(b) + 1)
     for x in a:
         left = 0
@@ -258,42 +261,49 @@ def common(a: list[bytes], b: list[bytes]) -> int:
 def seed_table(docs: DataFrame) -> DataFrame:
     """doc_id, seed, pos and at: the places of a seed said over LEAST_WORDS words or more, else null."""
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list]]:
         known = WordHashes()
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 found = words(text)
                 hashes = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
-                at = seeds(hashes)
+                runs_of = window_hashes(hashes, K)
+                at = minimizers(runs_of)
                 if len(at) == 0:
                     continue
-                of = window_hashes(hashes, K)[at].view(np.int64)
+                of = runs_of[at].view(np.int64)
                 same = np.append(False, of[1:] == of[:-1])
                 ends = ~same | ~np.append(same[1:], False)
-                yield pd.DataFrame({"doc_id": int(doc_id), "seed": of[ends], "pos": at[ends].astype(np.int32), "at": None})
+                yield int(doc_id), of[ends], at[ends], [None] * int(ends.sum())
                 if not ends.all():
                     starts = np.flatnonzero(~same)
                     runs = [(i, j) for i, j in zip(starts.tolist(), np.append(starts[1:], len(at)).tolist()) if at[j - 1] + K - at[i] >= LEAST_WORDS]
                     if runs:
-                        yield pd.DataFrame({"doc_id": int(doc_id), "seed": [int(of[i]) ^ SAID_OVER for i, _ in runs], "pos": [int(at[i]) for i, _ in runs], "at": [at[i:j].tolist() for i, j in runs]})
+                        begins = np.array([i for i, _ in runs])
+                        yield int(doc_id), of[begins] ^ SAID_OVER, at[begins], [at[i:j].tolist() for i, j in runs]
 
     def together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
         for part in find(batches):
             held.append(part)
-            n += len(part)
+            n += len(part[1])
             if n > 50_000:
-                yield pd.concat(held)
+                yield frame(held)
                 held, n = [], 0
         if held:
-            yield pd.concat(held)
+            yield frame(held)
+
+    def frame(held: list[tuple[int, np.ndarray, np.ndarray, list]]) -> pd.DataFrame:
+        ids, of, pos, at = zip(*held)
+        doc_id = np.repeat(np.array(ids, np.int64), [len(x) for x in of])
+        return pd.DataFrame({"doc_id": doc_id, "seed": np.concatenate(of), "pos": np.concatenate(pos).astype(np.int32), "at": pd.Series([x for part in at for x in part], dtype=object)})
 
     return docs.mapInPandas(together, "doc_id long, seed long, pos int, at array<int>")
 
 
-def first_matches(table: DataFrame, shared: DataFrame) -> DataFrame:
-    """The matches of each seed with its first holder. Places of seeds said over and over are matched in turn, from both ends."""
-    met = table.join(shared, "seed").filter("doc_id <> first_id")
+def first_matches(held: DataFrame) -> DataFrame:
+    """The matches of each shared seed with its first holder. Places of seeds said over and over are matched in turn, from both ends."""
+    met = held.filter("doc_id <> first_id")
     n, m = F.size("at"), F.size("first_at")
     forth = F.transform("at", lambda x, i: F.struct(x.alias("pos"), F.get("first_at", i % m).alias("first_pos")))
     back = F.transform("at", lambda x, i: F.struct(x.alias("pos"), F.get("first_at", m - 1 - (n - 1 - i) % m).alias("first_pos")))
@@ -392,6 +402,18 @@ def _meetings(mine: Column, theirs: Column) -> Column:
     return F.when(n * m <= FEW, every).otherwise(F.concat(forth, back))
 
 
+def _matches(links: DataFrame) -> DataFrame:
+    """doc_id, first_id, pos, first_pos and wanted of links(doc_id, first_id, mine, theirs), once each.
+
+    Runs of a pair overlap, so a match comes up many times; as one number each they are put together before rows are made.
+    """
+    packed = lambda r: F.transform(r["mine"], lambda x, i: F.shiftleft(x["pos"].cast("long"), 32) + F.shiftleft(F.get(r["theirs"], i).cast("long"), 1) + x["wanted"].cast("long"))
+    met = links.select("doc_id", "first_id", F.array_distinct(F.flatten(F.transform(_meetings(F.col("mine"), F.col("theirs")), packed))).alias("m"))
+    met = met.groupBy("doc_id", "first_id").agg(F.array_distinct(F.flatten(F.collect_list("m"))).alias("m")).select("doc_id", "first_id", F.explode("m").alias("m"))
+    low = F.col("m").bitwiseAND(F.lit(0xFFFFFFFF))
+    return met.select("doc_id", "first_id", F.shiftright("m", 32).cast("int").alias("pos"), F.shiftright(low, 1).cast("int").alias("first_pos"), (low % 2 == 1).alias("wanted"))
+
+
 def _linked_passages(shared: DataFrame, found: DataFrame, rows: DataFrame, key: Column) -> DataFrame:
     """found and the passages of shared seeds (doc_id, seed, pos, later) that lie in none of it.
 
@@ -420,10 +442,7 @@ def _linked_passages(shared: DataFrame, found: DataFrame, rows: DataFrame, key:
             theirs = theirs.groupBy("key", part.alias("_p")).agg(F.min(F.struct("first_id", "first_pos")).alias("m")).select("key", "m.first_id", F.array("m.first_pos").alias("theirs"))
         asks = asks.groupBy("key", "doc_id").agg(F.sort_array(F.collect_list("places")).alias("mine"))
         links = written(asks, "asking-documents").join(written(theirs, "asked-runs"), "key").filter(F.col("first_id") < F.col("doc_id"))
-        met = links.select("doc_id", "first_id", F.explode(_meetings(F.col("mine"), F.col("theirs"))).alias("r"))
-        met = met.select("doc_id", "first_id", F.explode(F.arrays_zip(F.col("r.mine").alias("places"), F.col("r.theirs").alias("first_pos"))).alias("m"))
-        met = met.select("doc_id", "first_id", F.col("m.places.pos").alias("pos"), F.col("m.first_pos").alias("first_pos"), F.col("m.places.wanted").alias("wanted")).distinct()
-        more = passages_of(written(met, "links"), rows, key)
+        more = passages_of(written(_matches(links), "links"), rows, key)
         seeds, passages, inside = _within(bare, more)
         new = passages.join(seeds, inside, "left_semi").drop("_part")
         found = written(found.unionByName(new.distinct()), "passages")
@@ -457,11 +476,11 @@ def _fuzzy_passages(docs: DataFrame) -> DataFrame:
     shared = table.groupBy("seed").agg(F.min(F.struct("doc_id", "pos", "at")).alias("first"), F.max("doc_id").alias("_last")).filter("first.doc_id <> _last")
     shared = shared.select("seed", F.col("first.doc_id").alias("first_id"), F.col("first.pos").alias("first_pos"), F.col("first.at").alias("first_at"))
     shared = written(shared, "shared-seeds")  # a plain table, so that the join below can split a frequent seed
-    found = passages_of(written(first_matches(table, shared), "matches"), rows, key)
-    held = table.filter("at IS NULL").join(shared, "seed").select("doc_id", "seed", "pos", (F.col("doc_id") > F.col("first_id")).alias("later"))
-    found = _linked_passages(written(held, "held-seeds"), found, rows, key)
+    held = written(table.join(shared, "seed"), "held-seeds")
+    found = passages_of(first_matches(held), rows, key)
+    found = _linked_passages(held.filter("at IS NULL").select("doc_id", "seed", "pos", (F.col("doc_id") > F.col("first_id")).alias("later")), found, rows, key)
     n_words = F.size(F.split(F.btrim(F.col("text"), F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+"))
-    whole = pick(rows, copies.select("doc_id"), "doc_id").select("doc_id", key.alias("_k"), n_words.alias("n")).filter(F.col("n") >= LEAST_WORDS).groupBy("doc_id").agg(F.min(F.struct("_k", "n"))["n"].alias("n"))
+    whole = pick(rows, copies.select("doc_id"), "doc_id").groupBy("doc_id").agg(F.min(F.struct(key.alias("_k"), n_words.alias("n")))["n"].alias("n")).filter(F.col("n") >= LEAST_WORDS)
     whole = copies.join(whole, "doc_id").select("doc_id", "first_id", F.lit(0).alias("start"), F.col("n").alias("stop"), F.lit(0).alias("first_start"), F.col("n").alias("first_stop"), F.lit(1.0).alias("identity"))
     return found.unionByName(whole)
 

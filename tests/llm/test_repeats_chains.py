@@ -300,3 +300,19 @@ def test_flanks_are_extended_over_changes_and_pieces(monkeypatch):
     assert chains.extend(a[:10] + [b"q"] + a[10:20], a[:20], 1) == (21, 20, 20)
     rng.shuffle(b)
     assert chains.extend(a[:300], b, 1)[2] <= 1
+
+
+def test_matches_of_overlapping_runs_are_made_once(spark):
+    run = lambda *places: [{"pos": x, "wanted": w} for x, _, w in places], lambda *places: [y for _, y, _ in places]
+    a, b, c, d = (0, 10, True), (5, 15, False), (2**31 - 1, 2**31 - 2, True), (7, 2**31 - 1, False)
+    rows = [(1, 0, [run[0](*r)], [run[1](*r)]) for r in ((a, b, c), (a, b, d), (b, c, d))] + [(2, 0, [run[0](a, b, c)], [run[1](a, b, c)])]
+    links = spark.createDataFrame(rows, "doc_id long, first_id long, mine array<array<struct<pos:int,wanted:boolean>>>, theirs array<array<int>>")
+    assert sorted(map(tuple, chains._matches(links).collect())) == sorted([(1, 0, *x) for x in (a, b, c, d)] + [(2, 0, *x) for x in (a, b, c)])
+
+
+def test_a_short_copy_is_no_passage_whatever_else_its_id_says(spark):
+    short, number = "a short text", 0
+    while hashlib.sha256((long := " ".join(f"w{number}x{k}" for k in range(60))).encode()).hexdigest() < hashlib.sha256(short.encode()).hexdigest():
+        number += 1
+    rows = [(1, short, "", ""), (5, short, "", ""), (5, long, "", "")]
+    assert chains.fuzzy_passages(spark.createDataFrame(rows, DOCS)).count() == 0
